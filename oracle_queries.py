@@ -8,7 +8,7 @@ from statistics import NormalDist
 ASSETS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 BAR = """min(l_extendedprice / l_quantity) AS low, max(l_extendedprice / l_quantity) AS high,
-  sum(l_extendedprice) / sum(l_quantity) AS adj_close, CAST(sum(l_quantity) AS BIGINT) AS volume"""
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / sum(l_quantity) AS adj_close, CAST(sum(l_quantity) AS BIGINT) AS volume"""
 
 CTE = {
     "prices": f"SELECT concat(l_returnflag, l_linestatus) AS asset, CAST(l_shipdate AS DATE) AS date, {BAR} FROM lineitem GROUP BY 1, 2",
@@ -268,7 +268,7 @@ def build(body: str, extra: dict[str, str] | None = None, recursive: bool = Fals
 
     def visit(text: str, own: str | None = None) -> None:
         for word in dict.fromkeys(re.findall(r"\b[a-z][a-z0-9_]*\b", text)):
-            if word in parts and word != own and word not in order and re.search(rf"\b(FROM|JOIN|,)\s*{word}\b", text):
+            if word in parts and word != own and word not in order and re.search(rf"(\bFROM|\bJOIN|,)\s*{word}\b", text):
                 visit(parts[word], word)
                 if word not in order:
                     order.append(word)
@@ -282,7 +282,7 @@ def build(body: str, extra: dict[str, str] | None = None, recursive: bool = Fals
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     add = sql.__setitem__
-    add("read_panel", build("SELECT asset, date, round(low, 6) AS low, round(high, 6) AS high, round(adj_close, 6) AS adj_close, volume FROM sprices WHERE date >= DATE '1995-01-01' AND date < DATE '2001-01-01'"))
+    add("read_panel", build("SELECT asset, date, low, high, adj_close, volume FROM sprices WHERE date >= DATE '1995-01-01' AND date < DATE '2001-01-01'"))
     add("normalized_bars", build("SELECT asset, CAST(bar_start AS DATE) AS date, open, high, low, close, close AS adj_close, n_ticks AS volume FROM bars"))
     add("panel_contract", """SELECT asset, date_key, CASE WHEN date_key LIKE '%/%' THEN 'date key is not YYYY-MM-DD' ELSE 'duplicate key' END AS reason, n_rows FROM (
       SELECT concat('S', l_suppkey) AS asset, CASE WHEN l_quantity = 50 THEN strftime(l_shipdate, '%Y/%m/%d') ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date_key, count(*) AS n_rows
@@ -290,11 +290,11 @@ def oracle_sql() -> dict[str, str]:
     add("clean_numeric", "SELECT o_orderkey AS row_id, CASE WHEN day(o_orderdate) NOT IN (13, 14, 15, 16) THEN o_totalprice END AS value, day(o_orderdate) = 15 AS violation FROM orders")
     add("finite_audit", build("""SELECT series_id, 'value missing or non-finite' AS reason, count(*) AS n_bad, string_agg(CAST(obs_date AS VARCHAR), ',' ORDER BY obs_date) FILTER (rn <= 5) AS first_keys
       FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date) AS rn FROM macro WHERE value IS NULL) GROUP BY 1"""))
-    add("upsert_prices", build("""SELECT asset, date, round(CASE WHEN date >= DATE '2000-07-01' THEN adj_close * 2 ELSE adj_close END, 6) AS adj_close,
+    add("upsert_prices", build("""SELECT asset, date, CASE WHEN date >= DATE '2000-07-01' THEN adj_close * 2 ELSE adj_close END AS adj_close,
       CASE WHEN date <= DATE '2000-12-31' THEN volume END AS volume FROM sprices"""))
-    add("append_prices", build("SELECT asset, date, round(adj_close, 6) AS adj_close, CASE WHEN date <= DATE '2000-12-31' THEN volume END AS volume FROM sprices"))
+    add("append_prices", build("SELECT asset, date, adj_close, CASE WHEN date <= DATE '2000-12-31' THEN volume END AS volume FROM sprices"))
     add("high_watermark", build("SELECT asset, max(date) AS max_date FROM sprices GROUP BY 1 UNION ALL SELECT asset, NULL FROM ghosts"))
-    add("incremental_prices", build("""SELECT asset, date, round(adj_close, 6) AS adj_close FROM sprices LEFT JOIN (SELECT asset, max(date) AS m FROM sstored GROUP BY 1) USING (asset) WHERE m IS NULL OR date >= m - 10"""))
+    add("incremental_prices", build("""SELECT asset, date, adj_close FROM sprices LEFT JOIN (SELECT asset, max(date) AS m FROM sstored GROUP BY 1) USING (asset) WHERE m IS NULL OR date >= m - 10"""))
     add("incremental_macro", build("""SELECT series_id, obs_date, round(value, 4) AS value FROM macro LEFT JOIN (
       SELECT series_id, max(obs_date) AS m FROM macro WHERE obs_date <= DATE '1998-06-30' AND series_id <> '5-LOW' GROUP BY 1) USING (series_id) WHERE m IS NULL OR obs_date > m"""))
     mismatch = """SELECT s.asset, s.date, s.adj_close AS stored, f.adj_close AS fetched FROM sstored s JOIN refetched f USING (asset, date)
@@ -302,8 +302,8 @@ def oracle_sql() -> dict[str, str]:
     merged = {"mismatch": mismatch, "plan": """SELECT asset, m, m IS NULL OR asset IN (SELECT asset FROM mismatch) AS whole
       FROM (SELECT DISTINCT asset FROM refetched) LEFT JOIN (SELECT asset, max(date) AS m FROM sstored GROUP BY 1) USING (asset)""",
       "taken": "SELECT r.*, m, whole FROM refetched r JOIN plan USING (asset) WHERE whole OR r.date >= m - 10"}
-    add("overlap_mismatches", build("SELECT asset, date, round(stored, 6) AS stored, round(fetched, 6) AS fetched FROM mismatch", merged))
-    add("revision_merge", build("""SELECT coalesce(t.asset, s.asset) AS asset, coalesce(t.date, s.date) AS date, round(coalesce(t.adj_close, s.adj_close), 6) AS adj_close, coalesce(t.volume, s.volume) AS volume
+    add("overlap_mismatches", build("SELECT asset, date, stored, fetched FROM mismatch", merged))
+    add("revision_merge", build("""SELECT coalesce(t.asset, s.asset) AS asset, coalesce(t.date, s.date) AS date, coalesce(t.adj_close, s.adj_close) AS adj_close, coalesce(t.volume, s.volume) AS volume
       FROM sstored s FULL JOIN taken t ON s.asset = t.asset AND s.date = t.date""", merged))
     add("revision_counts", build("""SELECT asset, count(*) FILTER (whole OR date > m) AS new_rows, bool_or(whole) AS full_refresh FROM taken GROUP BY 1 UNION ALL SELECT asset, 0, false FROM ghosts""", merged))
     add("append_macro", build("""SELECT series_id, obs_date, round(CASE WHEN obs_date <= DATE '1998-06-30' THEN value ELSE CASE WHEN obs_date > m OR m IS NULL THEN value + 1 END END, 4) AS value, available_date
@@ -323,7 +323,7 @@ def oracle_sql() -> dict[str, str]:
         ("lines", "unique", "l_orderkey,l_linenumber", "SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"),
     ]
     add("constraint_audit", build(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{r}' AS rule, '{c}' AS target, ({q}) AS n_violations" for t, r, c, q in checks)))
-    add("log_returns", build("SELECT asset, date, round(log_return, 10) AS log_return FROM sprices_r"))
+    add("log_returns", build("SELECT asset, date, round(log_return, 8) AS log_return FROM sprices_r"))
     add("realized_vol", build("SELECT asset, date, round(realized_vol, 8) AS realized_vol FROM sfeatures"))
     add("latest_features", build("""SELECT CAST(1 AS BIGINT) AS run_id, asset, name, round(value, 8) AS value FROM (
       SELECT asset, max_by(log_return, date) AS log_return, max_by(realized_vol, date) AS realized_vol FROM sfeatures GROUP BY 1) UNPIVOT (value FOR name IN (log_return, realized_vol))"""))
@@ -336,8 +336,8 @@ def oracle_sql() -> dict[str, str]:
     add("forecast_contract", build("""SELECT asset, 'sigma not positive and finite' AS reason FROM slatest WHERE asset LIKE '%3' UNION ALL
       SELECT asset, 'no forecast' FROM (SELECT DISTINCT asset FROM sprices) WHERE asset LIKE '%9' UNION ALL SELECT asset, 'no forecast' FROM ghosts UNION ALL
       SELECT asset, 'not in universe' FROM (SELECT DISTINCT asset FROM sprices) WHERE asset LIKE '%1'"""))
-    add("common_date_panel", build("SELECT asset, date, round(log_return, 10) AS log_return FROM joint"))
-    add("brand_common_dates", build("SELECT date FROM bprices_r GROUP BY date HAVING count(*) = (SELECT count(DISTINCT asset) FROM bprices_r)"))
+    add("common_date_panel", build("SELECT asset, date, round(log_return, 8) AS log_return FROM joint"))
+    add("common_dates", build("SELECT date FROM jdates"))
     add("covariance_window", build("""SELECT min(date) AS start, max(date) AS "end", count(*) AS bars, (SELECT max(f) FROM (SELECT min(date) AS f FROM prices_r GROUP BY asset)) AS overlap_start FROM jdates"""))
     add("macro_asof_join", build(f"SELECT series_id, date, round(value, 4) AS value FROM ({asof_sql('prices')})"))
     add("macro_wide", build(pivot_series(asof_sql("sprices"))))
@@ -352,8 +352,8 @@ def oracle_sql() -> dict[str, str]:
     add("memory_retained", build("SELECT fd.asset, round(corr(fracdiff, x), 8) AS memory, count(*) AS n_rows FROM fd JOIN slogs USING (asset, date) GROUP BY 1", short, True))
     add("fracdiff_wide", build("SELECT asset, date, round(fracdiff, 8) AS fracdiff FROM fd", {"ffd": weights_cte(0.5, 1e-4), "fd": fracdiff_sql("plogs")}, True))
     add("pair_moments", build("SELECT asset_i, asset_j, n, round(xy, 7) AS xy, round(x2y2, 7) AS x2y2 FROM pairs WHERE asset_i <= asset_j"))
-    add("brand_pair_moments", build("""SELECT a.asset AS asset_i, b.asset AS asset_j, round(sum(a.log_return * b.log_return), 6) AS xy, round(sum(a.log_return * a.log_return * b.log_return * b.log_return), 6) AS x2y2
-      FROM bprices_r a JOIN bprices_r b ON a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2"""))
+    add("tiled_pair_moments", build("""SELECT a.asset AS asset_i, b.asset AS asset_j, count(*) AS n, round(sum(a.log_return * b.log_return), 6) AS xy, round(sum(a.log_return * a.log_return * b.log_return * b.log_return), 6) AS x2y2
+      FROM joint a JOIN joint b ON a.date = b.date AND a.asset <= b.asset GROUP BY 1, 2"""))
     add("empirical_cov", build("SELECT asset_i, asset_j, round(xy / n, 9) AS cov FROM pairs"))
     add("ledoit_wolf_cov", build("SELECT asset_i, asset_j, round(cov, 8) AS cov FROM cov"))
     add("shrinkage_stats", build("SELECT p, n, round(mu, 9) AS mu, round(shrinkage, 8) AS shrinkage FROM lwstats"))
@@ -440,5 +440,5 @@ def oracle_sql() -> dict[str, str]:
     add("recent_runs", build("SELECT run_id, CAST(started_at AS DATE) AS day FROM runs WHERE CAST(started_at AS DATE) >= (SELECT max(CAST(started_at AS DATE)) FROM runs) - 365"))
     add("unknown_assets", build("SELECT DISTINCT asset FROM weights WHERE asset NOT IN (SELECT asset FROM prices WHERE asset NOT LIKE 'R%')"))
     add("hourly_bars", build("SELECT asset, bar_start, open, high, low, close, n_ticks FROM bars"))
-    add("canonical_order", build("""SELECT asset, max(date) AS date, round(max_by(adj_close, date), 6) AS adj_close, CAST(list_position(['RO', 'RF', 'NO', 'NF', 'AO', 'AF'], asset) AS BIGINT) AS ordinal FROM prices GROUP BY 1 ORDER BY ordinal"""))
+    add("canonical_order", build("""SELECT asset, max(date) AS date, max_by(adj_close, date) AS adj_close, CAST(list_position(['RO', 'RF', 'NO', 'NF', 'AO', 'AF'], asset) AS BIGINT) AS ordinal FROM prices GROUP BY 1 ORDER BY ordinal"""))
     return sql

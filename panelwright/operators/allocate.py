@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import MAX_WEIGHT, RISK_AVERSION, TURNOVER_COST, WEIGHT_CLIP
 from panelwright.functions.quadratic import box_problem, regularized, solve, tidy
+from panelwright.operators.layout import fresh
 
 OPTIMIZERS = ("mvu", "min_variance")
 _PREVIOUS_TOLERANCE = 1e-6
@@ -156,7 +157,7 @@ def allocate(
     schema = ", ".join(f"{b} {types[b]}" for b in by) + (
         f", asset {types['asset_i']}, weight double, prev_weight double, turnover double, relaxed_turnover boolean, status string"
     )
-    solved = post.groupBy(*by).cogroup(inputs.groupBy(*by)).applyInPandas(run, schema)
+    solved = fresh(post).groupBy(*by).cogroup(fresh(inputs).groupBy(*by)).applyInPandas(run, schema)
     for c in ("weight", "prev_weight", "turnover"):
         solved = solved.withColumn(c, F.nanvl(c, F.lit(None).cast("double")))
     if strict:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import RISK_AVERSION, TAU
 from panelwright.functions.scalars import annualize_mean, confidence
+from panelwright.operators.layout import fresh
 
 _SUM_TOLERANCE = 1e-6
 
@@ -85,7 +86,7 @@ def posterior(cov: DataFrame, prior: DataFrame, terms: DataFrame, by: list[str],
         return frame[[*by, "asset_i", "asset_j", "cov", "mu"]]
 
     schema = ", ".join(f"{b} {types[b]}" for b in by) + f", asset_i {types['asset_i']}, asset_j {types['asset_j']}, cov double, mu double"
-    out = cov.groupBy(*by).cogroup(inputs.groupBy(*by)).applyInPandas(blend, schema)
+    out = fresh(cov).groupBy(*by).cogroup(fresh(inputs).groupBy(*by)).applyInPandas(blend, schema)
     return out.withColumn("mu", F.nanvl("mu", F.lit(None).cast("double")))
 
 

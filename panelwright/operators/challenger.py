@@ -1,9 +1,13 @@
-"""A regression challenger: an ensemble of ridge fits on standardized return windows."""
+"""A regression challenger: an ensemble of ridge fits on standardized return windows.
+
+Every fit is a sum of cross products, so all folds and all ensemble members come out of one pass over
+the windows; only matrices of (context length + 2) squared are shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,64 +15,126 @@ from panelwright.defaults import SIGMA_FLOOR
 from panelwright.operators.layout import index_rows
 
 _KEEP_PERCENT = 80
+ALL_ROWS = -1
 
 
-def _kept(member: int, key: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.col("pos"), F.lit(member)), F.lit(100)) < _KEEP_PERCENT
-
+def fit_moments(rows: DataFrame, features: str = "context", target: str = "realized_h", fits: str = "fits") -> DataFrame:
+    """``(fit, i, j, v)``: sums of products of ``[features, target, 1]`` over the rows of each fit.
 
-def _fit(train: DataFrame, ridge: float, target: str):
-    regression = LinearRegression(featuresCol="_x", labelCol=target, regParam=ridge, elasticNetParam=0.0, standardization=False, solver="normal")
-    return regression.fit(train.select(array_to_vector("context").alias("_x"), target))
+    ``fits`` is the array of fits a row belongs to; a row is read once however many fits share it.
+    """
 
+    def multiply(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = np.column_stack([np.stack(batch[features].to_numpy()), batch[target].to_numpy(float), np.ones(len(batch))])
+            ids = [np.asarray(f, dtype="int64") for f in batch[fits]]
+            row_of = np.repeat(np.arange(len(batch)), [len(f) for f in ids])
+            flat = np.concatenate(ids) if len(ids) else np.array([], dtype="int64")
+            for fit in np.unique(flat):
+                part = m[row_of[flat == fit]]
+                totals[int(fit)] = totals.get(int(fit), 0.0) + part.T @ part
+        for fit, gram in totals.items():
+            i, j = np.indices(gram.shape)
+            yield pd.DataFrame({"fit": fit, "i": i.ravel(), "j": j.ravel(), "v": gram.ravel()})
+
+    parts = rows.select(features, target, fits).filter(F.size(fits) > 0).mapInPandas(multiply, "fit long, i int, j int, v double")
+    return parts.groupBy("fit", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def solve_fits(moments: DataFrame, ridge: float, members: int, scaled: bool = True) -> DataFrame:
+    """``(fold, member, mean, std, intercept, weights)``; a fit id is ``fold * (members + 1) + member + 1``.
+
+    Slot 0 of a fold holds all its training rows: they give the scale inputs are standardized with.
+    One fold's few small matrices are one group. The objective is mean squared error halved plus
+    ``ridge / 2`` times the squared weights of the standardized inputs.
+    """
+    slots = members + 1
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        fold, out, grams = int(rows["fold"].iloc[0]), [], {}
+        for fit, part in rows.groupby("fit"):
+            size = int(part["i"].max()) + 1
+            gram = np.zeros((size, size))
+            gram[part["i"], part["j"]] = part["v"]
+            grams[int(fit) % slots] = gram
+        whole = grams[0]
+        width = len(whole) - 2
+        n = whole[-1, -1]
+        mean = whole[:width, -1].sum() / (n * width)
+        std = float(np.sqrt(max(np.trace(whole[:width, :width]) / (n * width) - mean**2, 0.0)))
+        if not scaled:
+            mean, std = 0.0, 1.0
+        std = 1.0 if std < 1e-8 else std
+        for slot, gram in sorted(grams.items()):
+            if slot == 0:
+                continue
+            k = gram[-1, -1]
+            x, y = gram[:width, -1] / k, gram[width, -1] / k
+            xx = (gram[:width, :width] / k - np.outer(x, x)) / std**2
+            xy = (gram[:width, width] / k - x * y) / std
+            w = np.linalg.solve(xx + ridge * np.eye(width), xy)
+            out.append((fold, slot - 1, mean, std, float(y - ((x - mean) / std) @ w), w.tolist()))
+        return pd.DataFrame(out, columns=["fold", "member", "mean", "std", "intercept", "weights"])
+
+    keyed = moments.withColumn("fold", F.floor(F.col("fit") / slots))
+    return keyed.groupBy("fold").applyInPandas(
+        solve, "fold long, member long, mean double, std double, intercept double, weights array<double>"
+    )
 
-def fit_members(windows: DataFrame, members: int = 3, ridge: float = 0.1, key: str = "asset", target: str = "realized_h") -> list:
-    """One fit per member, each on its own hash-chosen share of the training windows.
 
-    With few features a fit is a single pass that adds up normal equations. Give a stored frame: the
-    windows are read once per member.
-    """
-    train = windows.filter("role = 'train'")
-    return [_fit(train.filter(_kept(m, key)) if members > 1 else train, ridge, target) for m in range(members)]
+def fits_of(fold: Column, key: str, members: int) -> Column:
+    """Fit ids of a training row: its fold's slot 0 and every member whose hash draw keeps it."""
+    base = fold.cast("long") * (members + 1)
+    draws = [
+        F.when((F.pmod(F.xxhash64(F.col(key), F.col("pos"), F.lit(m)), F.lit(100)) < _KEEP_PERCENT) | F.lit(members == 1), base + m + 1)
+        for m in range(members)
+    ]
+    return F.array_compact(F.array(base, *draws))
 
 
-def linear_prediction(model, vector: str = "context") -> Column:
-    """The fitted model as a native column, so scoring stays in code generation."""
-    weights = F.array(*[F.lit(float(c)) for c in model.coefficients])
-    products = F.zip_with(vector, weights, lambda x, w: x * w)
-    return F.aggregate(products, F.lit(float(model.intercept)), lambda a, x: a + x)
+def linear_prediction(model: Column, vector: str = "context") -> Column:
+    """A fitted model applied to a raw vector as a native column."""
+    scaled = F.zip_with(vector, model["weights"], lambda x, w: (x - model["mean"]) / model["std"] * w)
+    return F.aggregate(scaled, model["intercept"], lambda a, x: a + x)
 
 
-def predict_members(windows: DataFrame, models: list, key: str = "asset", order: str = "date") -> DataFrame:
-    """``(asset, date, pos, role, realized_h, member, prediction)``."""
-    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("member"), linear_prediction(m).alias("prediction")) for i, m in enumerate(models)])
-    return windows.select(key, order, "pos", "role", "realized_h", F.explode(cells).alias("_m")).select(
-        key, order, "pos", "role", "realized_h", "_m.*"
-    )
+def predict_members(rows: DataFrame, models: DataFrame, keep: list[str], fold: str = "fold") -> DataFrame:
+    """``keep`` plus ``member`` and ``prediction``. The models, a few per fold, reach the rows as one array."""
+    packed = models.select(F.collect_list(F.struct(*models.columns))).scalar()
+    mine = F.filter("_models", lambda m: m["fold"] == F.col(fold))
+    out = rows.withColumn("_models", packed).withColumn("_model", F.explode(mine))
+    return out.select(*keep, F.col("_model.member").alias("member"), linear_prediction(F.col("_model")).alias("prediction"))
 
 
-def residual_variance(predictions: DataFrame, key: str = "asset") -> DataFrame:
+def residual_variance(predictions: DataFrame, key: str = "asset", by: list[str] | None = None) -> DataFrame:
     """Holdout variance of realized minus ensemble mean per asset; pooled where an asset has under two points."""
-    floor = SIGMA_FLOOR**2
-    means = predictions.filter("role = 'holdout'").groupBy(key, "pos").agg(
+    by, floor = by or [], SIGMA_FLOOR**2
+    means = predictions.filter("role = 'holdout'").groupBy(*by, key, "pos").agg(
         F.avg("prediction").alias("_mu"), F.first("realized_h").alias("_y")
     )
     errors = means.withColumn("_e", F.col("_y") - F.col("_mu"))
-    pooled = errors.agg(F.greatest(F.coalesce(F.var_samp("_e"), F.lit(0.0)), F.lit(floor))).scalar()
-    per_asset = errors.groupBy(key).agg(F.count("_e").alias("n_holdout"), F.var_samp("_e").alias("_v"))
-    assets = predictions.select(key).distinct().join(per_asset, key, "left").withColumn("_pooled", pooled)
+    pooled = errors.groupBy(*by).agg(F.greatest(F.coalesce(F.var_samp("_e"), F.lit(0.0)), F.lit(floor)).alias("_pooled"))
+    per_asset = errors.groupBy(*by, key).agg(F.count("_e").alias("n_holdout"), F.var_samp("_e").alias("_v"))
+    assets = predictions.select(*by, key).distinct().join(per_asset, [*by, key], "left")
+    assets = assets.join(pooled, by) if by else assets.withColumn("_pooled", pooled.scalar())
     own = F.when(F.col("n_holdout") >= 2, F.greatest("_v", F.lit(floor))).otherwise(F.col("_pooled"))
-    return assets.select(key, F.coalesce("n_holdout", F.lit(0)).alias("n_holdout"), own.alias("residual_var"))
+    return assets.select(*by, key, F.coalesce("n_holdout", F.lit(0)).alias("n_holdout"), own.alias("residual_var"))
 
 
-def ensemble_forecast(predictions: DataFrame, residuals: DataFrame, key: str = "asset", order: str = "date") -> DataFrame:
+def ensemble_forecast(
+    predictions: DataFrame, residuals: DataFrame, key: str = "asset", order: str = "date", by: list[str] | None = None
+) -> DataFrame:
     """Mean of the members, and a deviation made of residual variance plus member disagreement."""
-    combined = predictions.groupBy(key, order).agg(
+    by = by or []
+    combined = predictions.groupBy(*by, key, order).agg(
         F.avg("prediction").alias("mu"), F.coalesce(F.var_samp("prediction"), F.lit(0.0)).alias("_between")
     )
     total = F.col("residual_var") + F.col("_between")
-    return combined.join(residuals.select(key, "residual_var"), key).select(
-        key, order, "mu", F.sqrt(F.greatest(total, F.lit(SIGMA_FLOOR**2))).alias("sigma")
+    return combined.join(residuals.select(*by, key, "residual_var"), [*by, key]).select(
+        *by, key, order, "mu", F.sqrt(F.greatest(total, F.lit(SIGMA_FLOOR**2))).alias("sigma")
     )
 
 
@@ -83,13 +149,17 @@ def shuffled_targets(train: DataFrame, seed: int = 0, key: str = "asset", target
 
 
 def shuffled_control(windows: DataFrame, ridge: float = 0.1, seed: int = 0, target: str = "realized_h") -> DataFrame:
-    """Holdout error of a fit on real pairs against one on permuted pairs: ``(real_mse, shuffled_mse)``."""
-    train = windows.filter("role = 'train'").select("asset", "pos", "context", target)
-    real = _fit(train, ridge, target)
-    shuffled = _fit(shuffled_targets(train, seed), ridge, target)
-
-    def squared(model) -> Column:
-        error = F.col(target) - linear_prediction(model)
-        return error * error
+    """Holdout error of a fit on real pairs against one on permuted pairs: ``(real_mse, shuffled_mse)``.
 
-    return windows.filter("role = 'holdout'").agg(F.avg(squared(real)).alias("real_mse"), F.avg(squared(shuffled)).alias("shuffled_mse"))
+    Both are fits of one fold; the rows of the scale slot are the real ones.
+    """
+    train = windows.filter("role = 'train'")
+    real = train.select("context", target).withColumn("fits", F.array(F.lit(0), F.lit(1)).cast("array<long>"))
+    mixed = shuffled_targets(train, seed, target=target).withColumn("fits", F.array(F.lit(2)).cast("array<long>"))
+    models = solve_fits(fit_moments(real.unionByName(mixed), target=target), ridge, members=2)
+    held = windows.filter("role = 'holdout'").withColumn("fold", F.lit(0))
+    scored = predict_members(held, models, [target])
+    error = F.pow(F.col(target) - F.col("prediction"), 2)
+    return scored.agg(
+        F.avg(F.when(F.col("member") == 0, error)).alias("real_mse"), F.avg(F.when(F.col("member") == 1, error)).alias("shuffled_mse")
+    )

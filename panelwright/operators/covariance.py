@@ -52,13 +52,15 @@ def pair_moments(
 
     def multiply(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, ti, tj = group
-        wide = part.pivot(index=order, columns=key, values="_x")
-        tile_of = part.drop_duplicates(key).set_index(key)["_tile"]
-        names = wide.columns.to_numpy()
-        left = wide.loc[:, names[(tile_of[names] == ti).to_numpy()]]
-        right = wide.loc[:, names[(tile_of[names] == tj).to_numpy()]]
-        a, b = left.to_numpy(float), right.to_numpy(float)
-        i, j = np.meshgrid(left.columns.to_numpy(), right.columns.to_numpy(), indexing="ij")
+        days, row = np.unique(part[order].to_numpy(), return_inverse=True)
+        names, column = np.unique(part[key].to_numpy(), return_inverse=True)
+        tile_of = np.zeros(len(names), dtype="int64")
+        tile_of[column] = part["_tile"].to_numpy()
+        x = np.full((len(days), len(names)), np.nan)
+        x[row, column] = part["_x"].to_numpy(float)
+        left, right = names[tile_of == ti], names[tile_of == tj]
+        a, b = x[:, tile_of == ti], x[:, tile_of == tj]
+        i, j = np.meshgrid(left, right, indexing="ij")
         xy, x2y2 = a.T @ b, (a * a).T @ (b * b)
         i, j, xy, x2y2 = i.ravel(), j.ravel(), xy.ravel(), x2y2.ravel()
         if ti == tj:
@@ -67,7 +69,7 @@ def pair_moments(
         else:
             swap = i > j
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"asset_i": i, "asset_j": j, "n": len(wide), "xy": xy, "x2y2": x2y2})
+        return pd.DataFrame({"asset_i": i, "asset_j": j, "n": len(days), "xy": xy, "x2y2": x2y2})
 
     parts = rows.groupBy("_dates", "_ti", "_tj").applyInPandas(
         multiply, f"asset_i {key_type}, asset_j {key_type}, n long, xy double, x2y2 double"

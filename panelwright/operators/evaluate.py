@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.defaults import CALIBRATION_Z, COVERAGE_TARGET, COVERAGE_TOLERANCE
 from panelwright.operators.ranks import spearman
+from panelwright.session import durable
 
 BASELINE_STAYS = "baseline remains"
 CHALLENGER_WINS = "challenger promoted"
@@ -22,19 +23,22 @@ def score_points(points: DataFrame, realized: DataFrame, forecasts: DataFrame, k
 
 
 def forecast_metrics(scored: DataFrame, z: float = CALIBRATION_Z, key: str = "asset") -> DataFrame:
-    """MSE, coverage and rank correlation per (model, asset), and pooled per model where asset is NULL."""
+    """MSE, coverage and rank correlation per (model, asset), and pooled per model where asset is NULL.
+
+    The points are stored first: ranking reads them several times, and they are a small share of the
+    panel (one bar per horizon). Each point then counts once for its asset and once pooled.
+    """
+    levels = F.array(F.struct(F.lit(False).alias("pooled"), F.col(key).alias("level")), F.struct(F.lit(True).alias("pooled"), F.lit("").alias("level")))
+    both = durable(scored.select("model", key, "mu", "sigma", "realized_h")).withColumn("_l", F.explode(levels))
+    points = both.select("model", "_l.*", "mu", "sigma", "realized_h")
+    by = ["model", "pooled", "level"]
     error = F.col("mu") - F.col("realized_h")
-    inside = F.abs(F.col("realized_h") - F.col("mu")) <= F.col("sigma") * z
-    base = scored.groupingSets([["model", key], ["model"]], "model", key).agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.avg(error * error).alias("mse"),
-        F.avg(inside.cast("double")).alias("coverage"),
-    )
-    ic = spearman(scored, ["model", key], "mu", "realized_h", "ic").unionByName(
-        spearman(scored, ["model"], "mu", "realized_h", "ic").withColumn(key, F.lit(None).cast(scored.schema[key].dataType))
+    inside = F.abs(error) <= F.col("sigma") * z
+    base = points.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_points"), F.avg(error * error).alias("mse"), F.avg(inside.cast("double")).alias("coverage")
     )
-    same = (base["model"] == ic["model"]) & base[key].eqNullSafe(ic[key])
-    return base.join(ic, same).select(base["model"], base[key], "n_points", "mse", "ic", "coverage")
+    joined = base.join(spearman(points, by, "mu", "realized_h", "ic"), by)
+    return joined.select("model", F.when(~F.col("pooled"), F.col("level")).alias(key), "n_points", "mse", "ic", "coverage")
 
 
 def promotion(

@@ -103,3 +103,8 @@ def arrange(
 def core_rows(df: DataFrame) -> DataFrame:
     """Drop halo copies and the layout columns."""
     return df.filter(F.col("_core")).drop("_core", "_blk", "_pos", "_n")
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """New column identities, so two frames derived from one another can be cogrouped."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])

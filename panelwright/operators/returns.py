@@ -44,7 +44,7 @@ def _return_column(key: str, order: str, price: str, w, strict: bool) -> Column:
             contracts.fail("duplicate date ", F.col(order), " for ", F.col(key)),
         )
         .when(
-            previous.isNull() & F.lead(price).over(w).isNull() & (F.col("_first")),
+            F.lag(order).over(w).isNull() & F.lead(order).over(w).isNull() & F.col("_first"),
             contracts.fail("need at least 2 prices for ", F.col(key)),
         )
         .otherwise(plain)

@@ -93,7 +93,7 @@ def joint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def read_panel(spark, sf):
-    return rounded(slice_panel(src.supplier_prices(spark, sf), None, "1995-01-01", "2001-01-01"), adj_close=6, low=6, high=6)
+    return slice_panel(src.supplier_prices(spark, sf), None, "1995-01-01", "2001-01-01")
 
 
 @query
@@ -142,14 +142,14 @@ def _split_store(spark, sf):
 @query
 def upsert_prices(spark, sf):
     _, stored, updates = _split_store(spark, sf)
-    return rounded(ing.upsert(stored, updates, ["asset", "date"]), adj_close=6)
+    return ing.upsert(stored, updates, ["asset", "date"])
 
 
 @query
 def append_prices(spark, sf):
     panel, stored, _ = _split_store(spark, sf)
     newer = panel.filter(F.col("date") > F.lit("2000-12-31").cast("date")).drop("volume")
-    return rounded(ing.append(stored, newer, universe(panel)), adj_close=6)
+    return ing.append(stored, newer, universe(panel))
 
 
 @query
@@ -162,7 +162,7 @@ def high_watermark(spark, sf):
 def incremental_prices(spark, sf):
     panel, stored, _ = _split_store(spark, sf)
     mark = ing.high_watermark(stored, wide_universe(panel))
-    return rounded(ing.incremental(panel, mark, 10).select("asset", "date", "adj_close"), adj_close=6)
+    return ing.incremental(panel, mark, 10).select("asset", "date", "adj_close")
 
 
 @query
@@ -185,13 +185,13 @@ def _revision(spark, sf):
 @query
 def overlap_mismatches(spark, sf):
     stored, refetched = _revision(spark, sf)
-    return rounded(ing.overlap_mismatches(stored, refetched), stored=6, fetched=6)
+    return ing.overlap_mismatches(stored, refetched)
 
 
 @query
 def revision_merge(spark, sf):
     stored, refetched = _revision(spark, sf)
-    return rounded(ing.merge_prices(stored, refetched, refetched)[0], adj_close=6)
+    return ing.merge_prices(stored, refetched, refetched)[0]
 
 
 @query
@@ -245,7 +245,7 @@ def constraint_audit(spark, sf):
 
 @query
 def log_returns(spark, sf):
-    return rounded(rt.log_returns(src.supplier_prices(spark, sf)), log_return=10)
+    return rounded(rt.log_returns(src.supplier_prices(spark, sf)), log_return=8)
 
 
 @query
@@ -302,13 +302,13 @@ def forecast_contract(spark, sf):
 
 @query
 def common_date_panel(spark, sf):
-    return rounded(joint(spark, sf), log_return=10).select("asset", "date", "log_return")
+    return rounded(joint(spark, sf), log_return=8).select("asset", "date", "log_return")
 
 
 @query
-def brand_common_dates(spark, sf):
-    returns = rt.log_returns(src.brand_prices(spark, sf))
-    return pn.common_dates(returns)
+def common_dates(spark, sf):
+    """The number of assets is found in the same plan."""
+    return pn.common_dates(rt.log_returns(src.prices(spark, sf)))
 
 
 @query
@@ -385,10 +385,9 @@ def pair_moments(spark, sf):
 
 
 @query
-def brand_pair_moments(spark, sf):
-    """Several tiles: 25 assets in tiles of eight."""
-    returns = rt.log_returns(src.brand_prices(spark, sf))
-    return rounded(cv.pair_moments(returns, tile_assets=8, centered=False), xy=6, x2y2=6).select("asset_i", "asset_j", "xy", "x2y2")
+def tiled_pair_moments(spark, sf):
+    """The same products from several tiles and short date blocks."""
+    return rounded(cv.pair_moments(joint(spark, sf), tile_assets=2, tile_dates=64, centered=False), xy=6, x2y2=6)
 
 
 @query
@@ -397,7 +396,7 @@ def empirical_cov(spark, sf):
 
 
 def _cov(spark, sf):
-    return cv.ledoit_wolf(cv.pair_moments(joint(spark, sf)))
+    return cv.ledoit_wolf(durable(cv.pair_moments(joint(spark, sf))))
 
 
 @query
@@ -581,9 +580,9 @@ def fold_report(spark, sf):
 
 
 def _scored(spark, sf):
-    returns = rt.log_returns(src.prices(spark, sf))
+    returns = durable(rt.log_returns(src.prices(spark, sf)))
     forecasts = {m: ewma_forecast(returns, halflife=h) for m, h in HALFLIVES.items()}
-    return evaluation_frame(returns, forecasts, _positions(spark, sf), FOLDS)
+    return evaluation_frame(returns, forecasts, joint_positions(returns, len(ASSETS)), FOLDS)
 
 
 @query
@@ -658,22 +657,22 @@ def ensemble_forecast(spark, sf):
 
 @query
 def ridge_challenger(spark, sf):
-    return rounded(ridge_latest(rt.log_returns(src.supplier_prices(spark, sf))), mu=6, sigma=6)
+    return rounded(ridge_latest(durable(rt.log_returns(src.supplier_prices(spark, sf)))), mu=6, sigma=6)
 
 
 @query
 def ridge_evaluation(spark, sf):
     """Baseline and challenger on the same folds, then the decision."""
-    returns = rt.log_returns(src.prices(spark, sf))
-    positions = _positions(spark, sf)
+    returns = durable(rt.log_returns(src.prices(spark, sf)))
+    positions = joint_positions(returns, len(ASSETS))
     forecasts = {"ewma63": ewma_forecast(returns), "ridge": ridge_walk_forward(returns, positions, FOLDS)}
     return ev.promotion(ev.forecast_metrics(evaluation_frame(returns, forecasts, positions, FOLDS)), "ewma63")
 
 
 @query
 def shuffled_control(spark, sf):
-    windows = durable(win.purged_holdout(win.context_windows(rt.log_returns(src.supplier_prices(spark, sf)))))
-    return rounded(challenger.shuffled_control(win.standardize(windows, ("context",))), real_mse=8, shuffled_mse=8)
+    windows = win.purged_holdout(win.context_windows(rt.log_returns(src.supplier_prices(spark, sf))))
+    return rounded(challenger.shuffled_control(windows), real_mse=8, shuffled_mse=8)
 
 
 @query
@@ -845,4 +844,4 @@ def canonical_order(spark, sf):
     """Latest rows in universe order, the order as an explicit ordinal."""
     latest = rt.latest_rows(src.prices(spark, sf).select("asset", "date", "adj_close"))
     ordinal = F.array_position(F.array(*[F.lit(a) for a in reversed(ASSETS)]), F.col("asset"))
-    return rounded(latest.withColumn("ordinal", ordinal.cast("long")), adj_close=6).orderBy("ordinal")
+    return latest.withColumn("ordinal", ordinal.cast("long")).orderBy("ordinal")

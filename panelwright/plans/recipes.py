@@ -17,6 +17,7 @@ from panelwright.operators.panel import common_date_panel
 from panelwright.operators.returns import log_returns
 from panelwright.operators.views import counterfactual_views, historical_views, parse_windows
 from panelwright.plans.registry import Recipe, resolve
+from panelwright.session import durable
 
 GROUP = ["config_id"]
 
@@ -42,6 +43,7 @@ def run_recipes(
     """
     spark = prices.sparkSession
     stacks = {r.config_id: resolve(r, kinds[r.scenario_id]) for r in recipes}
+    prices = durable(prices)
     returns = log_returns(prices)
     planned: dict[str, DataFrame] = {}
     rows = []
@@ -60,7 +62,8 @@ def run_recipes(
     written = counterfactual_views(scenarios, universe)
     chosen = settings.filter("kind <> 'forecast'").select(*GROUP, "scenario_id")
     views = from_model.unionByName(chosen.join(past.unionByName(written), "scenario_id").select(*GROUP, "asset", "mu", "sigma"))
-    single = ledoit_wolf(pair_moments(common_date_panel(returns)))
+    # Stored once: prior, views, posterior and report all read the matrix, which is far smaller than the panel.
+    single = ledoit_wolf(durable(pair_moments(common_date_panel(returns))))
     # Each group's task needs its own copy of the matrix; groups x matrix is also the output's size.
     everyone = F.array(*[F.lit(r.config_id).cast("long") for r in recipes])
     cov = single.withColumn("config_id", F.explode(everyone))

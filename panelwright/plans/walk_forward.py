@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.defaults import HORIZON_BARS
-from panelwright.operators.challenger import ensemble_forecast, fit_members, predict_members, residual_variance
+from panelwright.operators.challenger import ensemble_forecast, fit_moments, fits_of, predict_members, residual_variance, solve_fits
 from panelwright.operators.evaluate import forecast_metrics, promotion, score_points
 from panelwright.operators.ewma import ewma_forecast
 from panelwright.operators.folds import eval_points, fold_report, fold_roles, walk_forward_folds
 from panelwright.operators.panel import common_dates
-from panelwright.operators.layout import index_rows
-from panelwright.operators.returns import bar_positions, forward_return, latest_rows, log_returns
-from panelwright.operators.windows import context_windows, purged_holdout, standardize, train_scale
+from panelwright.operators.layout import AUTO, arrange, core_rows, index_rows
+from panelwright.operators.returns import bar_positions, forward_return, log_returns
+from panelwright.operators.windows import CONTEXT_BARS, HOLDOUT_SHARE
 from panelwright.session import durable
 
 
@@ -42,7 +43,8 @@ def evaluation_frame(
 
 def walk_forward(prices: DataFrame, halflives: dict[str, float], baseline: str, n_splits: int = 4, n_assets: int | None = None) -> dict[str, DataFrame]:
     """Metrics, decision and fold report for exponentially weighted forecasters."""
-    returns = log_returns(prices)
+    # Read by the joint panel and by every forecaster, so stored once.
+    returns = durable(log_returns(prices))
     positions = joint_positions(returns, n_assets)
     forecasts = {m: ewma_forecast(returns, halflife=h) for m, h in halflives.items()}
     metrics = forecast_metrics(evaluation_frame(returns, forecasts, positions, n_splits))
@@ -54,50 +56,84 @@ def walk_forward(prices: DataFrame, halflives: dict[str, float], baseline: str,
     }
 
 
-def _contexts(returns: DataFrame, context: int) -> DataFrame:
-    """Context vectors at every bar that has one, whether or not its future is known."""
-    from pyspark.sql import Window
-
-    placed = bar_positions(returns, rows_per_block=None)
-    w = Window.partitionBy("asset").orderBy("date").rowsBetween(-(context - 1), 0)
-    return placed.withColumn("context", F.collect_list("log_return").over(w)).filter(F.col("pos") >= context - 1).select(
-        "asset", "date", "pos", "context"
-    )
+def _contexts(returns: DataFrame, context: int, horizon: int, rows_per_block: int | str | None = AUTO) -> DataFrame:
+    """Every bar with a full context; ``realized_h`` is NULL where the future is not complete yet."""
+    placed = bar_positions(returns.select("asset", "date", "log_return"), rows_per_block=rows_per_block)
+    frame, w = arrange(placed, ["asset"], "date", back=context - 1, ahead=horizon, rows_per_block=rows_per_block)
+    coming = w.rowsBetween(1, horizon)
+    out = frame.select(
+        "*",
+        F.collect_list("log_return").over(w.rowsBetween(-(context - 1), 0)).alias("context"),
+        F.when(F.count("log_return").over(coming) == horizon, F.sum("log_return").over(coming)).alias("realized_h"),
+    ).filter(F.col("pos") >= context - 1)
+    return core_rows(out).select("asset", "date", "pos", "context", "realized_h")
 
 
-def _ridge(history: DataFrame, targets: DataFrame, members: int, ridge: float, context: int) -> DataFrame:
-    """Fit on ``history`` windows and forecast the ``targets`` contexts."""
-    labelled = durable(purged_holdout(context_windows(history, context)))
-    scale = train_scale(labelled).select(F.struct("mean", "std")).scalar()
-    models = fit_members(standardize(labelled, ("context",)), members, ridge)
-    held = predict_members(standardize(labelled, ("context",)), models)
-    scaled = targets.withColumn("_s", scale).withColumn("context", F.transform("context", lambda x: (x - F.col("_s.mean")) / F.col("_s.std")))
-    scored = predict_members(
-        scaled.drop("_s").withColumn("role", F.lit("score")).withColumn("realized_h", F.lit(None).cast("double")), models
-    )
-    return ensemble_forecast(scored, residual_variance(held))
+def _fold_roles(history: Column, context: int, horizon: int, share: float = HOLDOUT_SHARE) -> Callable[[Column, Column], Column]:
+    """Role of a window in a fold whose data ends after ``history`` bars of its asset."""
 
+    def role(fold: Column, pos: Column) -> Column:
+        bars = F.element_at(history, (fold + 1).cast("int"))
+        windows = bars - horizon - (context - 1)
+        start = (context - 1) + windows - F.greatest(F.lit(2), F.bround(windows * share).cast("long"))
+        return F.when((pos >= start) & (pos + horizon <= bars - 1), "holdout").when(pos + horizon < start, "train")
 
-def ridge_latest(returns: DataFrame, members: int = 3, ridge: float = 0.1, context: int = 16) -> DataFrame:
-    """Forecast of the newest bar of every asset by the regression ensemble."""
-    return _ridge(returns, latest_rows(_contexts(returns, context)), members, ridge, context)
+    return role
 
 
-def ridge_walk_forward(
-    returns: DataFrame, positions: DataFrame, n_splits: int = 4, members: int = 3, ridge: float = 0.1, context: int = 16
+def ridge_forecast(
+    returns: DataFrame,
+    cuts: DataFrame,
+    targets: DataFrame,
+    members: int = 3,
+    ridge: float = 0.1,
+    context: int = CONTEXT_BARS,
+    horizon: int = HORIZON_BARS,
 ) -> DataFrame:
-    """Ensemble forecasts at every evaluation point, each fold fitted only on data up to its last training bar.
+    """Ensemble forecasts ``(fold, asset, date, mu, sigma)`` for target dates, all folds in one plan.
 
-    The driver sees one last-training date per fold.
+    ``cuts`` is ``(fold, last)`` with folds numbered from 0: a fold sees bars up to ``last`` only, and
+    holds out each asset's trailing windows for the residual variance. ``targets`` is ``(fold, date)``.
     """
-    cuts = (
-        fold_roles(positions, n_splits).filter("role = 'train'").groupBy("fold").agg(F.max("date").alias("last")).orderBy("fold").collect()
+    ends = cuts.select(F.array_sort(F.collect_list(F.struct("fold", "last")))).scalar()
+    windows = _contexts(returns, context, horizon).withColumn("_ends", ends)
+    known = returns.select("asset", "date").withColumn("_ends", ends)
+    history = (
+        known.select("asset", F.posexplode(F.transform("_ends", lambda e: F.when(F.col("date") <= e["last"], 1).otherwise(0))).alias("_f", "_k"))
+        .groupBy("asset", "_f")
+        .agg(F.sum("_k").alias("_k"))
+        .groupBy("asset")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_k"))), lambda x: x["_k"]).alias("_history"))
+    )
+    placed = windows.join(history, "asset")
+    role = _fold_roles(F.col("_history"), context, horizon)
+    folds = F.transform("_ends", lambda e: e["fold"])
+    roles = F.transform(folds, lambda f: F.struct(f.alias("fold"), role(f, F.col("pos")).alias("role")))
+    labelled = placed.filter(F.col("realized_h").isNotNull()).withColumn("_roles", roles)
+    fits = F.flatten(
+        F.transform(F.filter("_roles", lambda r: r["role"] == "train"), lambda r: fits_of(r["fold"], "asset", members))
+    )
+    # A few rows per fold, read by the holdout scoring and by the targets.
+    models = durable(solve_fits(fit_moments(labelled.withColumn("fits", fits)), ridge, members))
+    held = labelled.withColumn("_role", F.explode(F.filter("_roles", lambda r: r["role"] == "holdout"))).select(
+        "asset", "date", "pos", "context", "realized_h", "_role.*"
     )
-    points = eval_points(positions, n_splits)
-    contexts = _contexts(returns, context)
-    parts = []
-    for cut in cuts:
-        dates = points.filter(F.col("fold") == cut["fold"]).select("date")
-        history = returns.filter(F.col("date") <= F.lit(cut["last"]))
-        parts.append(_ridge(history, contexts.join(dates, "date", "left_semi"), members, ridge, context))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    residuals = residual_variance(
+        predict_members(held, models, ["fold", "asset", "date", "pos", "role", "realized_h"]), by=["fold"]
+    )
+    wanted = windows.select("asset", "date", "context").join(targets.select("fold", "date"), "date")
+    return ensemble_forecast(predict_members(wanted, models, ["fold", "asset", "date"]), residuals, by=["fold"])
+
+
+def ridge_latest(returns: DataFrame, members: int = 3, ridge: float = 0.1, context: int = CONTEXT_BARS) -> DataFrame:
+    """Forecast of the newest bar of every asset by the regression ensemble."""
+    newest = returns.groupBy("asset").agg(F.max("date").alias("date"))
+    cuts = returns.agg(F.max("date").alias("last")).withColumn("fold", F.lit(0).cast("long"))
+    days = newest.select("date").distinct().withColumn("fold", F.lit(0).cast("long"))
+    return ridge_forecast(returns, cuts, days, members, ridge, context).join(newest, ["asset", "date"], "left_semi").drop("fold")
+
+
+def ridge_walk_forward(returns: DataFrame, positions: DataFrame, n_splits: int = 4, members: int = 3, ridge: float = 0.1) -> DataFrame:
+    """Ensemble forecasts at every evaluation point, each fold fitted on data up to its last training bar."""
+    cuts = fold_roles(positions, n_splits).filter("role = 'train'").groupBy("fold").agg(F.max("date").alias("last"))
+    return ridge_forecast(returns, cuts, eval_points(positions, n_splits).select("fold", "date"), members, ridge)

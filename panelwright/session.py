@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +28,23 @@ def build_session(app: str = "panelwright", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is configured (local tests)."""
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if configured:
+        return configured
+    if not hasattr(shared_folder, "local"):
+        shared_folder.local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return shared_folder.local
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder, so a lost executor costs no recompute.
+    """Store a frame that is read several times and continue from the stored copy.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    does a temporary folder stand in.
+    It is written once as a table in the shared folder, so neither a second reader nor a lost executor
+    repeats the work behind it. (A Dataset checkpoint would compute the frame twice.)
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/panelwright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -14,10 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _bars(lines: DataFrame, asset) -> DataFrame:
     unit = F.col("l_extendedprice") / F.col("l_quantity")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")  # exact sums whatever the order
     return lines.groupBy(asset.alias("asset"), F.col("l_shipdate").cast("date").alias("date")).agg(
         F.min(unit).alias("low"),
         F.max(unit).alias("high"),
-        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("adj_close"),
+        (F.sum(cents).cast("double") / 100.0 / F.sum("l_quantity")).alias("adj_close"),
         F.sum("l_quantity").cast("long").alias("volume"),
     )
 
