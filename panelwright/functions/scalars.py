@@ -29,6 +29,12 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.when(~F.isnan(value), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation, NULL when a side is constant (the built-in stops the job there in ANSI mode)."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def erf_capped(x: Column) -> Column:
     """``erf`` for ``x >= 0``, exact to double precision up to 1.5 and flat beyond.
 

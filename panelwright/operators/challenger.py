@@ -15,32 +15,30 @@ from panelwright.defaults import SIGMA_FLOOR
 from panelwright.operators.layout import index_rows
 
 _KEEP_PERCENT = 80
-ALL_ROWS = -1
 
 
-def fit_moments(rows: DataFrame, features: str = "context", target: str = "realized_h", fits: str = "fits") -> DataFrame:
+def fit_moments(rows: DataFrame, width: int, fits: dict[int, Column], features: str = "context", target: str = "realized_h") -> DataFrame:
     """``(fit, i, j, v)``: sums of products of ``[features, target, 1]`` over the rows of each fit.
 
-    ``fits`` is the array of fits a row belongs to; a row is read once however many fits share it.
+    ``fits`` maps a fit id to the condition its rows meet; a row is read once however many fits share
+    it. Vectors cross into Python as plain columns, so a batch is a matrix without copying lists.
     """
+    columns = [F.col(features)[i].alias(f"_x{i}") for i in range(width)]
+    flags = [F.coalesce(condition, F.lit(False)).alias(f"_f{fit}") for fit, condition in fits.items()]
+    size, ids = width + 2, list(fits)
 
     def multiply(batches):
-        totals: dict[int, np.ndarray] = {}
+        totals = {fit: np.zeros((size, size)) for fit in ids}
         for batch in batches:
-            if not len(batch):
-                continue
-            m = np.column_stack([np.stack(batch[features].to_numpy()), batch[target].to_numpy(float), np.ones(len(batch))])
-            ids = [np.asarray(f, dtype="int64") for f in batch[fits]]
-            row_of = np.repeat(np.arange(len(batch)), [len(f) for f in ids])
-            flat = np.concatenate(ids) if len(ids) else np.array([], dtype="int64")
-            for fit in np.unique(flat):
-                part = m[row_of[flat == fit]]
-                totals[int(fit)] = totals.get(int(fit), 0.0) + part.T @ part
+            m = np.column_stack([batch.iloc[:, : width + 1].to_numpy(float), np.ones(len(batch))])
+            for fit in ids:
+                part = m[batch[f"_f{fit}"].to_numpy(bool)]
+                totals[fit] += part.T @ part
+        i, j = np.indices((size, size))
         for fit, gram in totals.items():
-            i, j = np.indices(gram.shape)
             yield pd.DataFrame({"fit": fit, "i": i.ravel(), "j": j.ravel(), "v": gram.ravel()})
 
-    parts = rows.select(features, target, fits).filter(F.size(fits) > 0).mapInPandas(multiply, "fit long, i int, j int, v double")
+    parts = rows.select(*columns, target, *flags).mapInPandas(multiply, "fit long, i int, j int, v double")
     return parts.groupBy("fit", "i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -85,14 +83,14 @@ def solve_fits(moments: DataFrame, ridge: float, members: int, scaled: bool = Tr
     )
 
 
-def fits_of(fold: Column, key: str, members: int) -> Column:
-    """Fit ids of a training row: its fold's slot 0 and every member whose hash draw keeps it."""
-    base = fold.cast("long") * (members + 1)
-    draws = [
-        F.when((F.pmod(F.xxhash64(F.col(key), F.col("pos"), F.lit(m)), F.lit(100)) < _KEEP_PERCENT) | F.lit(members == 1), base + m + 1)
-        for m in range(members)
-    ]
-    return F.array_compact(F.array(base, *draws))
+def fits_of(fold: int, role: Column, key: str, members: int) -> dict[int, Column]:
+    """Fit conditions of one fold: slot 0 takes all training rows, each member those its hash draw keeps."""
+    base, train = fold * (members + 1), role == "train"
+    fits = {base: train}
+    for m in range(members):
+        drawn = F.pmod(F.xxhash64(F.col(key), F.col("pos"), F.lit(m)), F.lit(100)) < _KEEP_PERCENT
+        fits[base + m + 1] = train & drawn if members > 1 else train
+    return fits
 
 
 def linear_prediction(model: Column, vector: str = "context") -> Column:
@@ -148,15 +146,16 @@ def shuffled_targets(train: DataFrame, seed: int = 0, key: str = "asset", target
     return left.join(right, "_pos").select("context", target)
 
 
-def shuffled_control(windows: DataFrame, ridge: float = 0.1, seed: int = 0, target: str = "realized_h") -> DataFrame:
+def shuffled_control(windows: DataFrame, width: int = 16, ridge: float = 0.1, seed: int = 0, target: str = "realized_h") -> DataFrame:
     """Holdout error of a fit on real pairs against one on permuted pairs: ``(real_mse, shuffled_mse)``.
 
     Both are fits of one fold; the rows of the scale slot are the real ones.
     """
     train = windows.filter("role = 'train'")
-    real = train.select("context", target).withColumn("fits", F.array(F.lit(0), F.lit(1)).cast("array<long>"))
-    mixed = shuffled_targets(train, seed, target=target).withColumn("fits", F.array(F.lit(2)).cast("array<long>"))
-    models = solve_fits(fit_moments(real.unionByName(mixed), target=target), ridge, members=2)
+    real = train.select("context", target).withColumn("_mixed", F.lit(False))
+    mixed = shuffled_targets(train, seed, target=target).withColumn("_mixed", F.lit(True))
+    moments = fit_moments(real.unionByName(mixed), width, {0: ~F.col("_mixed"), 1: ~F.col("_mixed"), 2: F.col("_mixed")}, target=target)
+    models = solve_fits(moments, ridge, members=2)
     held = windows.filter("role = 'holdout'").withColumn("fold", F.lit(0))
     scored = predict_members(held, models, [target])
     error = F.pow(F.col(target) - F.col("prediction"), 2)

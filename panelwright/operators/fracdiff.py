@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelwright import contracts
 from panelwright.defaults import ADF_PVALUE, FFD_THRESHOLD, MIN_ADF_SAMPLES
+from panelwright.functions.scalars import correlation
 from panelwright.functions.stationarity import adf_from_moments, default_max_lag, lag_design
 from panelwright.operators.layout import AUTO, arrange, core_rows, index_rows, resolve_block
 
@@ -132,10 +133,10 @@ def min_d_search(
             kinds = np.concatenate([np.zeros(len(cells), int), np.ones(head.sum(), int)])
             slots = np.concatenate([np.arange(len(cells)), at[head]])
             values = np.concatenate([cells, z[head]])
-            out.append(pd.DataFrame({key: rows[key].iloc[0], "d": d, "kind": kinds, "slot": slots, "v": values, "n": n}))
-        if not out:
-            return pd.DataFrame({key: [], "d": [], "kind": [], "slot": [], "v": [], "n": []})
-        return pd.concat(out)
+            out.append(np.column_stack([np.full(len(values), d), kinds, slots, values]))
+        cells = np.concatenate(out) if out else np.zeros((0, 4))
+        name = np.full(len(cells), rows[key].iloc[0], dtype=object)
+        return pd.DataFrame({key: name, "d": cells[:, 0], "kind": cells[:, 1].astype(int), "slot": cells[:, 2].astype(int), "v": cells[:, 3], "n": n})
 
     parts = frame.groupBy(key, "_blk").applyInPandas(moments, f"{key} {key_type}, d double, kind int, slot long, v double, n long")
     sums = parts.groupBy(key, "d", "n", "kind", "slot").agg(F.sum("v").alias("v"))
@@ -176,5 +177,5 @@ def min_d_search(
 def memory_retained(series: DataFrame, differenced: DataFrame, key: str = "asset", order: str = "date", value: str = "log_price") -> DataFrame:
     """Correlation of the differenced series with its level on the rows after warm-up."""
     return differenced.join(series.select(key, order, value), [key, order]).groupBy(key).agg(
-        F.corr("fracdiff", value).alias("memory"), F.count(F.lit(1)).alias("n_rows")
+        correlation("fracdiff", value).alias("memory"), F.count(F.lit(1)).alias("n_rows")
     )

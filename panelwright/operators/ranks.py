@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.scalars import correlation
+
 BUCKETS = 64
 
 
@@ -50,7 +52,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str) -> DataFra
     pairs = df.select(*by, x, y)
     ranked = pairs.join(average_ranks(pairs, by, x, "_rx"), [*by, x]).join(average_ranks(pairs, by, y, "_ry"), [*by, y])
     usable = (F.count(F.lit(1)) > 1) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return ranked.groupBy(*by).agg(F.when(usable, F.corr("_rx", "_ry")).alias(name))
+    return ranked.groupBy(*by).agg(F.when(usable, correlation("_rx", "_ry")).alias(name))
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:

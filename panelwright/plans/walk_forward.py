@@ -69,55 +69,44 @@ def _contexts(returns: DataFrame, context: int, horizon: int, rows_per_block: in
     return core_rows(out).select("asset", "date", "pos", "context", "realized_h")
 
 
-def _fold_roles(history: Column, context: int, horizon: int, share: float = HOLDOUT_SHARE) -> Callable[[Column, Column], Column]:
-    """Role of a window in a fold whose data ends after ``history`` bars of its asset."""
-
-    def role(fold: Column, pos: Column) -> Column:
-        bars = F.element_at(history, (fold + 1).cast("int"))
-        windows = bars - horizon - (context - 1)
-        start = (context - 1) + windows - F.greatest(F.lit(2), F.bround(windows * share).cast("long"))
-        return F.when((pos >= start) & (pos + horizon <= bars - 1), "holdout").when(pos + horizon < start, "train")
-
-    return role
+def _role(bars: Column, context: int, horizon: int, share: float = HOLDOUT_SHARE) -> Column:
+    """Role of the window at ``pos`` in a fold that knows ``bars`` bars of its asset."""
+    windows = bars - horizon - (context - 1)
+    start = (context - 1) + windows - F.greatest(F.lit(2), F.bround(windows * share).cast("long"))
+    pos = F.col("pos")
+    return F.when((pos >= start) & (pos + horizon <= bars - 1), "holdout").when(pos + horizon < start, "train")
 
 
 def ridge_forecast(
     returns: DataFrame,
     cuts: DataFrame,
     targets: DataFrame,
+    n_folds: int,
     members: int = 3,
     ridge: float = 0.1,
     context: int = CONTEXT_BARS,
     horizon: int = HORIZON_BARS,
 ) -> DataFrame:
-    """Ensemble forecasts ``(fold, asset, date, mu, sigma)`` for target dates, all folds in one plan.
+    """Ensemble forecasts ``(fold, asset, date, mu, sigma)`` for target dates, all folds in one pass.
 
-    ``cuts`` is ``(fold, last)`` with folds numbered from 0: a fold sees bars up to ``last`` only, and
+    ``cuts`` is ``(fold, last)`` for folds ``0..n_folds-1``: a fold sees bars up to ``last`` only, and
     holds out each asset's trailing windows for the residual variance. ``targets`` is ``(fold, date)``.
     """
-    ends = cuts.select(F.array_sort(F.collect_list(F.struct("fold", "last")))).scalar()
-    windows = _contexts(returns, context, horizon).withColumn("_ends", ends)
-    known = returns.select("asset", "date").withColumn("_ends", ends)
+    folds = range(n_folds)
+    ends = cuts.groupBy().pivot("fold", list(folds)).agg(F.first("last")).select(F.struct(*[F.col(str(f)).alias(f"_e{f}") for f in folds])).scalar()
     history = (
-        known.select("asset", F.posexplode(F.transform("_ends", lambda e: F.when(F.col("date") <= e["last"], 1).otherwise(0))).alias("_f", "_k"))
-        .groupBy("asset", "_f")
-        .agg(F.sum("_k").alias("_k"))
-        .groupBy("asset")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_k"))), lambda x: x["_k"]).alias("_history"))
-    )
-    placed = windows.join(history, "asset")
-    role = _fold_roles(F.col("_history"), context, horizon)
-    folds = F.transform("_ends", lambda e: e["fold"])
-    roles = F.transform(folds, lambda f: F.struct(f.alias("fold"), role(f, F.col("pos")).alias("role")))
-    labelled = placed.filter(F.col("realized_h").isNotNull()).withColumn("_roles", roles)
-    fits = F.flatten(
-        F.transform(F.filter("_roles", lambda r: r["role"] == "train"), lambda r: fits_of(r["fold"], "asset", members))
-    )
-    # A few rows per fold, read by the holdout scoring and by the targets.
-    models = durable(solve_fits(fit_moments(labelled.withColumn("fits", fits)), ridge, members))
-    held = labelled.withColumn("_role", F.explode(F.filter("_roles", lambda r: r["role"] == "holdout"))).select(
-        "asset", "date", "pos", "context", "realized_h", "_role.*"
+        returns.select("asset", "date").withColumn("_e", ends).groupBy("asset")
+        .agg(*[F.count(F.when(F.col("date") <= F.col(f"_e._e{f}"), 1)).alias(f"_h{f}") for f in folds])
     )
+    windows = _contexts(returns, context, horizon).join(history, "asset")
+    roles = [_role(F.col(f"_h{f}"), context, horizon).alias(f"_role{f}") for f in folds]
+    # The windows feed the fits, the holdout scores and the targets, so they are stored once.
+    windows = durable(windows.select("asset", "date", "pos", "context", "realized_h", *roles))
+    labelled = windows.filter(F.col("realized_h").isNotNull())
+    fits = {i: c for f in folds for i, c in fits_of(f, F.col(f"_role{f}"), "asset", members).items()}
+    models = durable(solve_fits(fit_moments(labelled, context, fits), ridge, members))
+    held = F.array_compact(F.array(*[F.when(F.col(f"_role{f}") == "holdout", F.lit(f).cast("long")) for f in folds]))
+    held = labelled.withColumn("fold", F.explode(held)).withColumn("role", F.lit("holdout"))
     residuals = residual_variance(
         predict_members(held, models, ["fold", "asset", "date", "pos", "role", "realized_h"]), by=["fold"]
     )
@@ -130,10 +119,10 @@ def ridge_latest(returns: DataFrame, members: int = 3, ridge: float = 0.1, conte
     newest = returns.groupBy("asset").agg(F.max("date").alias("date"))
     cuts = returns.agg(F.max("date").alias("last")).withColumn("fold", F.lit(0).cast("long"))
     days = newest.select("date").distinct().withColumn("fold", F.lit(0).cast("long"))
-    return ridge_forecast(returns, cuts, days, members, ridge, context).join(newest, ["asset", "date"], "left_semi").drop("fold")
+    return ridge_forecast(returns, cuts, days, 1, members, ridge, context).join(newest, ["asset", "date"], "left_semi").drop("fold")
 
 
 def ridge_walk_forward(returns: DataFrame, positions: DataFrame, n_splits: int = 4, members: int = 3, ridge: float = 0.1) -> DataFrame:
     """Ensemble forecasts at every evaluation point, each fold fitted on data up to its last training bar."""
     cuts = fold_roles(positions, n_splits).filter("role = 'train'").groupBy("fold").agg(F.max("date").alias("last"))
-    return ridge_forecast(returns, cuts, eval_points(positions, n_splits).select("fold", "date"), members, ridge)
+    return ridge_forecast(returns, cuts, eval_points(positions, n_splits).select("fold", "date"), n_splits, members, ridge)
