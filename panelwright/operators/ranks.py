@@ -7,12 +7,14 @@ where work happens, the ranks are exact whatever the bounds are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import correlation
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def value_counts(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -21,9 +23,8 @@ def value_counts(df: DataFrame, by: list[str], value: str, buckets: int = BUCKET
         F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000))
     ).scalar()
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_bounds", bounds).withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
-    ).drop("_bounds")
+    passed = [F.when(F.col("_bounds")[i] < F.col(value), 1).otherwise(0) for i in range(buckets - 1)]
+    counts = counts.withColumn("_bounds", bounds).withColumn("_bucket", reduce(lambda a, b: a + b, passed)).drop("_bounds")
     totals = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_t"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
