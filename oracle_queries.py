@@ -441,4 +441,6 @@ def oracle_sql() -> dict[str, str]:
     add("unknown_assets", build("SELECT DISTINCT asset FROM weights WHERE asset NOT IN (SELECT asset FROM prices WHERE asset NOT LIKE 'R%')"))
     add("hourly_bars", build("SELECT asset, bar_start, open, high, low, close, n_ticks FROM bars"))
     add("canonical_order", build("""SELECT asset, max(date) AS date, max_by(adj_close, date) AS adj_close, CAST(list_position(['RO', 'RF', 'NO', 'NF', 'AO', 'AF'], asset) AS BIGINT) AS ordinal FROM prices GROUP BY 1 ORDER BY ordinal"""))
+    add("incremental_forecast", build("SELECT asset, date AS last_date, n, round(mu, 8) AS mu FROM slatest"))
+    add("moved_keys", build("SELECT asset FROM sprices GROUP BY 1 HAVING max(date) > DATE '2001-10-31'"))
     return sql

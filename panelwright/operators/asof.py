@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright import contracts
 from panelwright.operators.layout import order_bucket
+from panelwright.session import unite
 
 
 def business_days_after(day: Column, lag: Column) -> Column:
@@ -72,7 +73,7 @@ def asof_join(
         F.lit(None).cast(macro.schema[obs].dataType).alias("_obs"),
         F.lit(None).cast(right.schema["_match"].dataType).alias("_match"),
     )
-    both = left.unionByName(right)
+    both = unite(left, right)
     both = both.withColumn("_bucket", order_bucket(both, "_ts", width))
     w = Window.partitionBy(series, "_bucket").orderBy("_ts", "_side", "_obs")
     local = both.withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwright.defaults import SIGMA_FLOOR
 from panelwright.operators.layout import index_rows
+from panelwright.session import unite
 
 _KEEP_PERCENT = 80
 
@@ -138,11 +139,10 @@ def ensemble_forecast(
 
 def shuffled_targets(train: DataFrame, seed: int = 0, key: str = "asset", target: str = "realized_h") -> DataFrame:
     """Training windows with targets permuted: rows ranked by one hash are paired with targets ranked by another."""
-    spread = 2**57
     contexts = train.select("context", F.xxhash64(key, "pos", F.lit(seed)).alias("_h"))
     targets = train.select(target, F.xxhash64(key, "pos", F.lit(seed + 1_000_003)).alias("_h"))
-    left = index_rows(contexts, [], "_h", width=spread).select("context", "_pos")
-    right = index_rows(targets, [], "_h", width=spread).select(target, "_pos")
+    left = index_rows(contexts, [], "_h").select("context", "_pos")
+    right = index_rows(targets, [], "_h").select(target, "_pos")
     return left.join(right, "_pos").select("context", target)
 
 
@@ -154,7 +154,7 @@ def shuffled_control(windows: DataFrame, width: int = 16, ridge: float = 0.1, se
     train = windows.filter("role = 'train'")
     real = train.select("context", target).withColumn("_mixed", F.lit(False))
     mixed = shuffled_targets(train, seed, target=target).withColumn("_mixed", F.lit(True))
-    moments = fit_moments(real.unionByName(mixed), width, {0: ~F.col("_mixed"), 1: ~F.col("_mixed"), 2: F.col("_mixed")}, target=target)
+    moments = fit_moments(unite(real, mixed), width, {0: ~F.col("_mixed"), 1: ~F.col("_mixed"), 2: F.col("_mixed")}, target=target)
     models = solve_fits(moments, ridge, members=2)
     held = windows.filter("role = 'holdout'").withColumn("fold", F.lit(0))
     scored = predict_members(held, models, [target])

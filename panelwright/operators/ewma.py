@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import ERROR_WARMUP_BARS, HALFLIFE_BARS, HORIZON_BARS, MIN_ERROR_SAMPLES
 from panelwright.operators.layout import AUTO, arrange, index_rows, resolve_block
+from panelwright.session import durable
 
 # 2^(pos/halflife) stays inside the double range up to this many halflives.
 _SAFE_HALFLIVES = 1000
@@ -39,7 +40,10 @@ def _whole_key(returns, key, order, ret, halflife, horizon, warmup):
 
 def _blocked(returns, key, order, ret, halflife, horizon, warmup, block):
     block = max(1, min(block, int(_BLOCK_HALFLIVES * halflife)))
-    base = index_rows(returns.select(key, order, F.col(ret).alias("_r")), [key], order)
+    if "_pos" in returns.columns:
+        base = returns.select(key, order, F.col(ret).alias("_r"), "_pos", "_n")
+    else:
+        base = index_rows(returns.select(key, order, F.col(ret).alias("_r")), [key], order)
     offset = (F.col("_pos") % block).cast("double")
     base = (
         base.withColumn("_blk", F.floor(F.col("_pos") / block))
@@ -66,6 +70,8 @@ def _blocked(returns, key, order, ret, halflife, horizon, warmup, block):
     mu = (F.col("_ln") * back + F.col("_cn") * fade) / (F.col("_lw") * back + F.col("_cw") * fade) * horizon
     scored = local.join(carried, [key, "_blk"]).select(key, order, "_r", "_pos", "_n", mu.alias("mu"))
 
+    # The error sums and the rows both read this; stored, it is computed once.
+    scored = durable(scored)
     frame, near = arrange(scored, [key], order, back=horizon, rows_per_block=max(block, horizon))
     error = F.lag("mu", horizon).over(near) - F.sum("_r").over(near.rowsBetween(-(horizon - 1), 0))
     errors = frame.withColumn("_e", F.when(F.col("_pos") >= warmup + horizon, error)).filter("_core").drop("_core")

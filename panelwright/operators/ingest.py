@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import ADJ_REL_TOL, OVERLAP_DAYS
 from panelwright.operators.asof import available_date
+from panelwright.session import unite
 
 _DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -82,7 +83,7 @@ def append(target: DataFrame, rows: DataFrame, universe: DataFrame | None = None
         rows = checked.withColumn(
             key, F.when(F.col("_known").isNull(), contracts.fail(F.col(key), " is not in the universe", type_="string")).otherwise(F.col(key))
         ).drop("_known")
-    return target.unionByName(rows, allowMissingColumns=True)
+    return unite(target, rows, fill=True)
 
 
 def high_watermark(df: DataFrame, universe: DataFrame, key: str = "asset", order: str = "date") -> DataFrame:
@@ -130,7 +131,7 @@ def merge_prices(
     top = stored.groupBy(key).agg(F.max(order).alias("max_date"))
     revised = overlap_mismatches(stored, fetched, overlap_days, key=key, order=order).select(key).distinct()
     plan = (
-        full.select(key).unionByName(fetched.select(key)).distinct()
+        unite(full.select(key), fetched.select(key)).distinct()
         .join(top, key, "left")
         .join(revised.withColumn("_revised", F.lit(True)), key, "left")
         .withColumn("_full", F.col("max_date").isNull() | F.coalesce("_revised", F.lit(False)))
@@ -138,7 +139,7 @@ def merge_prices(
     )
     everything = full.join(plan.filter("_full"), key)
     recent = fetched.join(plan.filter("NOT _full"), key).filter(F.col(order) >= F.date_sub("max_date", overlap_days))
-    chosen = everything.unionByName(recent)
+    chosen = unite(everything, recent)
     counts = chosen.groupBy(key).agg(
         F.count(F.when(F.col("_full") | (F.col(order) > F.col("max_date")), 1)).alias("new_rows"), F.max("_full").alias("full_refresh")
     )
@@ -163,7 +164,7 @@ def append_macro(stored: DataFrame, incoming: DataFrame, lags: dict[str, int], i
     fresh = available_date(fresh.withColumn("value", value).drop("violation"), lags)
     if ingested_at is not None:
         fresh = fresh.withColumn("ingested_at", ingested_at)
-    return stored.unionByName(fresh, allowMissingColumns=True)
+    return unite(stored, fresh, fill=True)
 
 
 def coverage(df: DataFrame, universe: DataFrame, key: str = "asset", order: str = "date") -> DataFrame:
@@ -218,10 +219,7 @@ def audit_tables(tables: dict[str, DataFrame], rules: list[dict]) -> DataFrame:
                 F.lit(table).alias("table_name"), "_c.rule", "_c.target", F.col("_c.n").alias("n_violations")
             )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return unite(*parts)
 
 
 def set_difference(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 AUTO = "auto"
 DEFAULT_ROWS_PER_BLOCK = 65_536
+ROWS_PER_BUCKET = 1_000_000
 BUCKET_DAYS = 512
 BUCKET_SECONDS = 86_400
 
@@ -25,25 +26,26 @@ def is_date(df: DataFrame, order: str) -> bool:
     return isinstance(df.schema[order].dataType, T.DateType)
 
 
-def order_bucket(df: DataFrame, order: str, width: int | None = None) -> Column:
-    """A coarse, order-preserving bucket: ``width`` days for dates, seconds for timestamps, units for numbers."""
-    kind = df.schema[order].dataType
-    column = F.col(order)
+def order_number(df: DataFrame, order: str) -> Column:
+    """The order column as a number that never decreases with it: days, seconds or the number itself."""
+    kind, column = df.schema[order].dataType, F.col(order)
     if isinstance(kind, T.DateType):
-        return F.floor(F.unix_date(column) / F.lit(width or BUCKET_DAYS))
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        seconds = (
-            F.unix_date(F.to_date(column)).cast("long") * 86_400
-            + F.hour(column) * 3_600
-            + F.minute(column) * 60
-            + F.second(column)
-        )
-        return F.floor(seconds / F.lit(width or BUCKET_SECONDS))
+        return F.unix_date(column).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_seconds(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), column)
     if isinstance(kind, T.NumericType):
-        return F.floor(column / F.lit(width or DEFAULT_ROWS_PER_BLOCK))
+        return column
     raise TypeError(f"order column {order!r} must be a date, timestamp or number, got {kind.simpleString()}")
 
 
+def order_bucket(df: DataFrame, order: str, width: int | None = None) -> Column:
+    """A coarse, order-preserving bucket: ``width`` days for dates, seconds for timestamps, units for numbers."""
+    default = BUCKET_DAYS if is_date(df, order) else BUCKET_SECONDS
+    return F.floor(order_number(df, order) / F.lit(width or default))
+
+
 def resolve_block(df: DataFrame, order: str, rows_per_block: int | str | None) -> int | None:
     if rows_per_block == AUTO:
         return None if is_date(df, order) else DEFAULT_ROWS_PER_BLOCK
@@ -51,28 +53,40 @@ def resolve_block(df: DataFrame, order: str, rows_per_block: int | str | None) -
 
 
 def index_rows(
-    df: DataFrame, keys: list[str], order: str, pos: str = "_pos", size: str = "_n", width: int | None = None
+    df: DataFrame, keys: list[str], order: str, pos: str = "_pos", size: str = "_n", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Add the 0-based position of each row within its key and the key's length.
 
-    Rows are ranked inside (key, time bucket); bucket offsets come from a prefix sum over bucket
-    counts, so no task ever holds a whole key. ``keys=[]`` ranks the whole frame the same way.
+    A key longer than ``rows_per_bucket`` is cut into as many equal spans of its own order range as
+    it has that many rows; rows are ranked inside a span, and spans get their offset from a table with
+    one row per span. Short keys stay in one piece. ``keys=[]`` ranks the whole frame the same way.
+
+    Both helper tables are broadcast: of N rows at most ``N / rows_per_bucket`` keys can be long, and
+    those have at most twice that many spans. So the rows themselves are shuffled once.
     """
-    staged = df.withColumn("_bucket", order_bucket(df, order, width))
-    counts = staged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    staged = df.withColumn("_v", order_number(df, order).cast("double"))
+    ends = [F.count(F.lit(1)).alias("_all"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    if keys:
+        long_keys = staged.select(*keys, "_v").groupBy(*keys).agg(*ends).filter(F.col("_all") > rows_per_bucket)
+        staged = staged.join(F.broadcast(long_keys), keys, "left")
+    else:
+        whole = staged.agg(*ends).select(F.struct("_all", "_low", "_high")).scalar()
+        staged = staged.withColumn("_w", whole).select(*staged.columns, "_w.*")
+    spans = F.ceil(F.col("_all") / rows_per_bucket)
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1.0)
+    bucket = F.coalesce(F.least(F.floor(share * spans), spans - 1), F.lit(0))
+    staged = staged.withColumn("_bucket", bucket).drop("_v", "_low", "_high")
+    counts = staged.filter(F.col("_all").isNotNull()).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys,
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias(size),
+    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    near = Window.partitionBy(*keys, "_bucket")
+    ranked = staged.withColumn("_local", F.row_number().over(near.orderBy(order)) - 1).withColumn(
+        size, F.coalesce("_all", F.count(F.lit(1)).over(near))
     )
-    local = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    ranked = staged.withColumn("_local", F.row_number().over(local) - 1)
     return (
-        ranked.join(offsets, [*keys, "_bucket"])
-        .withColumn(pos, F.col("_local") + F.col("_before"))
-        .drop("_bucket", "_local", "_before")
+        ranked.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
+        .withColumn(pos, F.col("_local") + F.coalesce("_before", F.lit(0)))
+        .drop("_bucket", "_local", "_before", "_all")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.defaults import STAGES
 from panelwright.functions.scalars import json_object
 from panelwright.operators.ranks import nearest_rank
+from panelwright.session import unite
 
 SWEEP_TEXT = "interrupted: the process stopped before this run finished"
 MAX_HISTORY = 200
@@ -193,7 +194,7 @@ def reference_checks(scenarios: DataFrame, configs: DataFrame, runs: DataFrame)
             F.lit(entity).alias("entity"), F.col(column).cast("long").alias("id"), F.coalesce("_hit", F.lit(False)).alias("in_use")
         )
 
-    return used(scenarios, "scenario_id", configs, "scenario").unionByName(used(configs, "config_id", runs, "config"))
+    return unite(used(scenarios, "scenario_id", configs, "scenario"), used(configs, "config_id", runs, "config"))
 
 
 def recipe_problems(configs: DataFrame, scenarios: DataFrame, known: dict[str, list[str]]) -> DataFrame:

@@ -9,6 +9,7 @@ from panelwright.operators.asof import asof_join, macro_wide
 from panelwright.operators.fracdiff import fracdiff
 from panelwright.operators.layout import AUTO, index_rows
 from panelwright.operators.returns import return_features
+from panelwright.session import unite
 
 SEPARATOR = "_"
 
@@ -67,10 +68,7 @@ def feature_panel(
             fracdiff(logs.filter(F.col(key).isin(assets)), d, threshold, key, order, "log_price", rows_per_block)
             for d, assets in sorted(by_d.items())
         ]
-        joined = parts[0]
-        for part in parts[1:]:
-            joined = joined.unionByName(part)
-        features = features.join(joined, [key, order])
+        features = features.join(unite(*parts), [key, order])
     return common_date_panel(features, n_assets, key, order)
 
 

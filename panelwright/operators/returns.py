@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import HORIZON_BARS, TRADING_DAYS
 from panelwright.operators.layout import AUTO, arrange, core_rows, index_rows, resolve_block
+from panelwright.session import unite
 
 
 def _bad_price(price: Column) -> Column:
@@ -27,7 +28,7 @@ def _screen_prices(prices: DataFrame, key: str, order: str, price: str) -> tuple
         F.col("_rows").alias("n_bad"),
         F.array(F.col(order).cast("string")).alias("first_keys"),
     )
-    return contracts.quarantine(prices, key, bad.unionByName(short))
+    return contracts.quarantine(prices, key, unite(bad, short))
 
 
 def _return_column(key: str, order: str, price: str, w, strict: bool) -> Column:
@@ -58,8 +59,13 @@ def log_returns(
     price: str = "adj_close",
     rows_per_block: int | str | None = AUTO,
     on_invalid: str = "raise",
+    keep_index: bool = False,
 ):
-    """``ln(P_t / P_{t-1})`` per key; the first bar of each key is dropped."""
+    """``ln(P_t / P_{t-1})`` per key; the first bar of each key is dropped.
+
+    In the blocked layout ``keep_index`` keeps the row index (``_pos``, ``_n``), so that the next blocked
+    operator need not rank the rows again.
+    """
     contracts.check_mode(on_invalid)
     report = None
     panel = prices.select(key, order, price)
@@ -70,7 +76,11 @@ def log_returns(
     out = frame.withColumn("_first", first).withColumn(
         "log_return", _return_column(key, order, price, w, on_invalid == contracts.RAISE)
     )
-    out = core_rows(out.filter(F.col("log_return").isNotNull())).select(key, order, "log_return")
+    out = out.filter(F.col("log_return").isNotNull())
+    if keep_index and "_pos" in out.columns:
+        out = out.filter("_core").select(key, order, "log_return", (F.col("_pos") - 1).alias("_pos"), (F.col("_n") - 1).alias("_n"))
+    else:
+        out = core_rows(out).select(key, order, "log_return")
     return out if report is None else (out, report)
 
 

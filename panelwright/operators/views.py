@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import HORIZON_BARS, SIGMA_FLOOR
 from panelwright.functions.scalars import horizon_mean, horizon_sigma, json_object
+from panelwright.session import unite
 
 KINDS = ("forecast", "historical", "counterfactual")
 _PAYLOAD = "map<string, struct<mu: double, confidence: double>>"
@@ -25,7 +26,7 @@ def check_forecasts(forecasts: DataFrame, universe: DataFrame, key: str = "asset
     ).filter(F.col("reason").isNotNull())
     missing = universe.select(key).join(forecasts, key, "left_anti").select(key, F.lit("no forecast").alias("reason"))
     unknown = forecasts.join(universe.select(key), key, "left_anti").select(key, F.lit("not in universe").alias("reason"))
-    return broken.unionByName(missing).unionByName(unknown)
+    return unite(broken, missing, unknown)
 
 
 def forecast_views(forecasts: DataFrame, key: str = "asset") -> DataFrame:
@@ -131,4 +132,4 @@ def scenario_views(
     from_model = follow.join(forecast_views(forecasts, key), key).select(scenario, key, "mu", "sigma")
     from_past = historical_views(returns, parse_windows(scenarios, scenario), scenario, key)
     by_hand = counterfactual_views(scenarios, universe, scenario, key)
-    return from_model.unionByName(from_past).unionByName(by_hand)
+    return unite(from_model, from_past, by_hand)

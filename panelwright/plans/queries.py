@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +29,10 @@ from panelwright.operators.ewma import ewma_forecast, latest_forecast
 from panelwright.plans.recipes import run_recipes
 from panelwright.plans.registry import Recipe, known_keys
 from panelwright.plans.walk_forward import evaluation_frame, joint_positions, ridge_latest, ridge_walk_forward
-from panelwright.session import durable
+from panelwright.session import durable, unite
 from panelwright.sources import derived as src
 from panelwright.sources.panel_store import normalize_bars, slice_panel
+from panelwright.streaming import ewma_state, price_ingest
 from panelwright.streaming.bars import tick_bars
 
 ASSETS = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -81,7 +81,7 @@ def universe(df: DataFrame) -> DataFrame:
 def wide_universe(df: DataFrame) -> DataFrame:
     """The assets of a panel and two that have no rows."""
     ghosts = df.sparkSession.createDataFrame([("XX",), ("YY",)], "asset string")
-    return universe(df).unionByName(ghosts)
+    return unite(universe(df), ghosts)
 
 
 def joint(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,7 +277,7 @@ def ewma_forecasts(spark, sf):
 def bar_forecasts(spark, sf):
     """Hourly bars are ordered by timestamp, so this takes the blocked layout."""
     bars = tick_bars(src.table(spark, sf, "events")).select("asset", F.col("bar_start").alias("date"), F.col("close").alias("adj_close"))
-    return rounded(ewma_forecast(rt.log_returns(bars), rows_per_block=256), mu=8, sigma=8)
+    return rounded(ewma_forecast(rt.log_returns(bars, keep_index=True), rows_per_block=256), mu=8, sigma=8)
 
 
 @query
@@ -641,7 +641,7 @@ def _member_predictions(spark, sf):
         ewma_forecast(returns, halflife=float(h)).select("asset", "date", F.lit(i).cast("long").alias("member"), F.col("mu").alias("prediction"))
         for i, h in enumerate((63, 42, 21))
     ]
-    return base.join(reduce(lambda a, b: a.unionByName(b), members), ["asset", "date"])
+    return base.join(unite(*members), ["asset", "date"])
 
 
 @query
@@ -845,3 +845,21 @@ def canonical_order(spark, sf):
     latest = rt.latest_rows(src.prices(spark, sf).select("asset", "date", "adj_close"))
     ordinal = F.array_position(F.array(*[F.lit(a) for a in reversed(ASSETS)]), F.col("asset"))
     return latest.withColumn("ordinal", ordinal.cast("long")).orderBy("ordinal")
+
+
+@query
+def incremental_forecast(spark, sf):
+    """The streaming state fed in two batches gives the forecast of the whole history."""
+    bars = src.supplier_prices(spark, sf).select("asset", "date", "adj_close")
+    cut = F.lit("1998-12-31").cast("date")
+    first, _ = ewma_state.advance(ewma_state.empty_state(spark), durable(bars.filter(F.col("date") <= cut)))
+    state, _ = ewma_state.advance(durable(first), durable(bars.filter(F.col("date") > cut)))
+    return rounded(ewma_state.state_forecast(state), mu=8)
+
+
+@query
+def moved_keys(spark, sf):
+    """Assets whose data marks moved between two snapshots of the store."""
+    bars = src.supplier_prices(spark, sf).select("asset", "date", F.to_timestamp("date").alias("fetched_at"))
+    before = price_ingest.key_marks(bars.filter(F.col("date") <= F.lit("2001-10-31").cast("date")))
+    return price_ingest.moved_keys(before, price_ingest.key_marks(bars))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +16,11 @@ from panelwright.operators.panel import common_date_panel
 from panelwright.operators.returns import log_returns
 from panelwright.operators.views import counterfactual_views, historical_views, parse_windows
 from panelwright.plans.registry import Recipe, resolve
-from panelwright.session import durable
+from panelwright.session import durable, unite
 
 GROUP = ["config_id"]
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
 def run_recipes(
     prices: DataFrame,
     recipes: list[Recipe],
@@ -56,12 +51,12 @@ def run_recipes(
     settings = spark.createDataFrame(
         rows, "config_id long, name string, scenario_id long, kind string, model string, optimizer string, min_weight double"
     )
-    forecasts = _union(list(planned.values()))
+    forecasts = unite(*planned.values())
     from_model = settings.filter("kind = 'forecast'").join(forecasts, "model").select(*GROUP, "asset", "mu", "sigma")
     past = historical_views(returns, parse_windows(scenarios))
     written = counterfactual_views(scenarios, universe)
     chosen = settings.filter("kind <> 'forecast'").select(*GROUP, "scenario_id")
-    views = from_model.unionByName(chosen.join(past.unionByName(written), "scenario_id").select(*GROUP, "asset", "mu", "sigma"))
+    views = unite(from_model, chosen.join(unite(past, written), "scenario_id").select(*GROUP, "asset", "mu", "sigma"))
     # Stored once: prior, views, posterior and report all read the matrix, which is far smaller than the panel.
     single = ledoit_wolf(durable(pair_moments(common_date_panel(returns))))
     # Each group's task needs its own copy of the matrix; groups x matrix is also the output's size.

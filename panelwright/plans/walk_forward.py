@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from panelwright.operators.panel import common_dates
 from panelwright.operators.layout import AUTO, arrange, core_rows, index_rows
 from panelwright.operators.returns import bar_positions, forward_return, log_returns
 from panelwright.operators.windows import CONTEXT_BARS, HOLDOUT_SHARE
-from panelwright.session import durable
+from panelwright.session import durable, unite
 
 
 def joint_positions(returns: DataFrame, n_assets: int | None = None) -> DataFrame:
@@ -35,9 +34,7 @@ def evaluation_frame(
     points = eval_points(positions, n_splits, horizon, stride)
     panel = returns.join(positions.select("date"), "date", "left_semi")
     realized = forward_return(panel, horizon=horizon).select("asset", "date", "realized_h")
-    models = reduce(
-        lambda a, b: a.unionByName(b), [f.select("asset", "date", "mu", "sigma").withColumn("model", F.lit(m)) for m, f in forecasts.items()]
-    )
+    models = unite(*[f.select("asset", "date", "mu", "sigma").withColumn("model", F.lit(m)) for m, f in forecasts.items()])
     return score_points(points, realized, models)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from panelwright.defaults import HALFLIFE_BARS, HORIZON_BARS
 from panelwright.operators.layout import AUTO, index_rows
 from panelwright.operators.returns import log_returns, latest_rows
+from panelwright.session import durable, unite
 from panelwright.sources.panel_store import store_exists
 
 STATE_SCHEMA = "asset string, num double, den double, n long, last_date date, last_price double"
@@ -36,7 +37,7 @@ def advance(
     late = tagged.filter(F.col("date") <= F.col("_d")).select("asset").distinct()
     fresh = tagged.select("asset", "date", "adj_close").join(late, "asset", "left_anti")
     anchors = old.filter(F.col("_d").isNotNull()).join(fresh.select("asset").distinct(), "asset", "left_semi")
-    panel = fresh.unionByName(anchors.select("asset", F.col("_d").alias("date"), F.col("_p").alias("adj_close")))
+    panel = unite(fresh, anchors.select("asset", F.col("_d").alias("date"), F.col("_p").alias("adj_close")))
     newest = latest_rows(panel)
     counted = panel.groupBy("asset").agg(F.count(F.lit(1)).alias("_k"))
     returns = log_returns(panel.join(counted.filter("_k > 1"), "asset", "left_semi"), rows_per_block=rows_per_block)
@@ -79,7 +80,7 @@ def foreach_batch(path: str, halflife: float = HALFLIFE_BARS, on_late: Callable[
         spark = batch.sparkSession
         earlier = [b for b in range(batch_id - 1, -1, -1) if store_exists(spark, f"{path}/batch={b}/_SUCCESS")][:1]
         state = spark.read.schema(STATE_SCHEMA).parquet(f"{path}/batch={earlier[0]}") if earlier else empty_state(spark)
-        updated, late = advance(state, batch, halflife)
+        updated, late = advance(state, durable(batch), halflife)
         updated.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         if on_late is not None:
             on_late(late, batch_id)

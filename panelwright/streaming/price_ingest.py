@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelwright.defaults import OVERLAP_DAYS
 from panelwright.operators.ingest import overlap_mismatches
+from panelwright.session import durable, unite
 from panelwright.sources.panel_store import PARTITION, rewrite_years, store_exists
 
 INTERVAL = "5 minutes"
@@ -45,6 +46,7 @@ def foreach_batch(
         chosen = batch.groupBy(key, order).agg(
             F.max_by(F.struct(*[c for c in batch.columns if c not in (key, order)]), "fetched_at").alias("_r")
         ).select(key, order, "_r.*").select(*batch.columns)
+        chosen = durable(chosen)  # read by the revision check, the marks and the write
         before = None
         if store_exists(spark, path):
             stored = spark.read.parquet(path).drop(PARTITION)
@@ -54,7 +56,7 @@ def foreach_batch(
                 revised = overlap_mismatches(mine, chosen, OVERLAP_DAYS, key=key, order=order).select(key).distinct()
                 history = full_history(revised).select(*batch.columns)
                 fresh = chosen.join(history.select(key, order), [key, order], "left_anti")
-                chosen = fresh.unionByName(history)
+                chosen = durable(unite(fresh, history))
         if recompute is not None:
             after = key_marks(chosen, key)
             recompute(after.select(key) if before is None else moved_keys(before, after, key), batch_id)

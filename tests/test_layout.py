@@ -42,15 +42,18 @@ def test_fracdiff(long_walk, d):
     same(fracdiff(logs, d, 1e-3), fracdiff(logs, d, 1e-3, rows_per_block=50))
 
 
-def test_positions_of_a_hot_key(spark):
+@pytest.mark.parametrize("rows", [10**6, 200])
+def test_positions_of_a_hot_key(spark, rows):
     stamps = pd.date_range("2024-01-01", periods=3000, freq="7min")
     hot = pd.DataFrame({"asset": "hot", "ts": stamps})
     cold = pd.DataFrame({"asset": [f"k{i % 9}" for i in range(300)], "ts": stamps[:300]})
     df = spark.createDataFrame(pd.concat([hot, cold]).sample(frac=1, random_state=1))
-    got = index_rows(df, ["asset"], "ts").toPandas().sort_values(["asset", "ts"])
+    got = index_rows(df, ["asset"], "ts", rows_per_bucket=rows).toPandas().sort_values(["asset", "ts"])
     want = got.groupby("asset").cumcount()
     assert np.array_equal(got["_pos"], want)
     assert got.groupby("asset")["_n"].first()["hot"] == 3000
+    whole = index_rows(df.filter("asset = 'hot'").select("ts"), [], "ts", rows_per_bucket=rows).toPandas().sort_values("ts")
+    assert np.array_equal(whole["_pos"], np.arange(3000))
 
 
 def test_ewma_against_pandas(long_walk):

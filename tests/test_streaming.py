@@ -120,3 +120,13 @@ def test_price_ingest_upserts_refreshes_and_gates(spark, tmp_path):
     assert len(got) == 32 and got[("b", 15)] == 15.5 and got[("a", 1)] == pytest.approx(0.7) and got[("a", 16)] == pytest.approx(11.2)
     handler(batches[2], 2)
     assert {(r["asset"], r["date"].day): r["adj_close"] for r in spark.read.parquet(path).collect()} == got
+
+
+def test_unions_keep_keys_together(spark):
+    """A union below a window must not inherit a partitioning that adaptive execution has changed."""
+    from panelwright.session import UNION_CONF, unite
+
+    spark.conf.set(UNION_CONF, "true")
+    a = spark.range(200).select((F.col("id") % 50).cast("string").alias("asset"), F.lit(1).alias("x"))
+    unite(a, a)
+    assert spark.conf.get(UNION_CONF) == "false"
