@@ -477,7 +477,7 @@ def _recipes() -> list[Recipe]:
 
 
 def _batch(spark, sf):
-    prices = src.prices(spark, sf)
+    prices = durable(src.prices(spark, sf))
     return run_recipes(prices, _recipes(), scenarios(spark), KINDS, universe(prices), _benchmark(prices))
 
 
@@ -580,7 +580,7 @@ def fold_report(spark, sf):
 
 
 def _scored(spark, sf):
-    returns = durable(rt.log_returns(src.prices(spark, sf)))
+    returns = rt.log_returns(src.prices(spark, sf))
     forecasts = {m: ewma_forecast(returns, halflife=h) for m, h in HALFLIVES.items()}
     return evaluation_frame(returns, forecasts, joint_positions(returns, len(ASSETS)), FOLDS)
 

@@ -34,11 +34,11 @@ def run_recipes(
     """Forecasts, posteriors and allocations of every recipe, grouped by ``config_id``.
 
     Each distinct forecaster setting is planned once and shared; the covariance is planned once.
+    ``prices`` is read several times: pass a stored panel, not one derived on the fly.
     ``kinds`` maps scenario to view kind, so unknown names fail before any job starts.
     """
     spark = prices.sparkSession
     stacks = {r.config_id: resolve(r, kinds[r.scenario_id]) for r in recipes}
-    prices = durable(prices)
     returns = log_returns(prices)
     planned: dict[str, DataFrame] = {}
     rows = []

@@ -40,8 +40,8 @@ def evaluation_frame(
 
 def walk_forward(prices: DataFrame, halflives: dict[str, float], baseline: str, n_splits: int = 4, n_assets: int | None = None) -> dict[str, DataFrame]:
     """Metrics, decision and fold report for exponentially weighted forecasters."""
-    # Read by the joint panel and by every forecaster, so stored once.
-    returns = durable(log_returns(prices))
+    # One plan: the joint panel and all forecasters share the exchange below the returns.
+    returns = log_returns(prices)
     positions = joint_positions(returns, n_assets)
     forecasts = {m: ewma_forecast(returns, halflife=h) for m, h in halflives.items()}
     metrics = forecast_metrics(evaluation_frame(returns, forecasts, positions, n_splits))
