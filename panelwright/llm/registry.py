@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, license_scan, line_dedup, near_dup, quality, topk, url_filter
+from panelwright.llm import decontaminate, license_scan, line_dedup, near_dup, quality, repeats, topk, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -44,6 +44,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.drop("text")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return docs.select("doc_id", "held_out", "score", "predicted")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
+    "op9_repeats": op9_repeats,
     "op10_quality": op10_quality,
 }
 
