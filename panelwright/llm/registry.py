@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, license_scan, line_dedup, near_dup, quality, repeats, topk, url_filter
+from panelwright.llm import decontaminate, license_scan, line_dedup, near_dup, pieces, quality, repeats, topk, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -29,6 +29,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rule_frame(spark, RULES)).drop("url")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0).select("vec_id"), 20)
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_url_filter": op4_url_filter,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_topk": op6_topk,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,

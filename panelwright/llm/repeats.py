@@ -38,9 +38,6 @@ from panelwright.session import durable
 
 LENGTH = 400
 SEGMENT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_POWER = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(SEGMENT + 65536, _BASE, np.uint64)]))
-_INVERSE = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(SEGMENT + 65536, pow(_BASE, -1, 1 << 64), np.uint64)]))
 _PLACE = np.uint64((1 << 21) - 1)
 
 
@@ -51,8 +48,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tu
         part = data[base : base + SEGMENT + length - 1]
         if len(part) < length:
             return
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(T.BYTE_KEYS[part] * _POWER[: len(part)], dtype=np.uint64)])
-        raw = T.mix((sums[short:] - sums[:-short]) * _INVERSE[: len(part) - short + 1])
+        power, inverse = T.powers(SEGMENT + 65536)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(T.BYTE_KEYS[part] * power[: len(part)], dtype=np.uint64)])
+        raw = T.mix((sums[short:] - sums[:-short]) * inverse[: len(part) - short + 1])
         keys = (raw & ~_PLACE) | np.arange(len(raw), dtype=np.uint64)  # ties: the first place
         blocks = -(-len(keys) // span)
         square = np.full(blocks * span, np.iinfo(np.uint64).max)

@@ -7,6 +7,7 @@ size of a batch or partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,17 @@ _LOW = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(65535, _BA
 _HIGH = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.repeat(_LOW[-1:] * _BASE, 65535)]))
 
 
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x)])) for x in (_BASE, inverse))
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse (mod 2 ** 64), at least ``size`` of each."""
+    return _powers(1 << max(16, int(size - 1).bit_length()))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values, so sums of products spread over all bits."""
     x = x.astype(np.uint64, copy=True)
