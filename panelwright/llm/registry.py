@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, license_scan, line_dedup, near_dup, pieces, quality, repeats, topk, url_filter
+from panelwright.llm import decontaminate, license_scan, line_dedup, near_dup, pieces, quality, repeats, token_counts, topk, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -24,6 +24,21 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), threshold=(85, 100))
 
 
+def derived_edits(doc_id: Column, text: Column, n: int = 3) -> Column:
+    """Edits that depend on the row alone: cuts of up to 23 characters, insertions of up to 39 from the text itself."""
+    draw = lambda k, below: F.pmod(F.xxhash64(doc_id, F.lit(k)), below).cast("int")
+    size = F.coalesce(F.length(text), F.lit(0))
+    return F.array(
+        *[F.struct(draw(4 * k, size + 1).alias("at"), draw(4 * k + 1, F.lit(24)).alias("removed"), F.substring(text, draw(4 * k + 2, size + 1), draw(4 * k + 3, F.lit(40))).alias("inserted")) for k in range(n)]
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", derived_edits(F.col("doc_id"), F.col("text")).alias("edits"))
+    counted = token_counts.count_tokens(docs).withColumn("n_before", F.col("n_tokens"))
+    return token_counts.apply_edits(counted).select("doc_id", "n_before", "n_tokens", "encoded_chars")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.rule_frame(spark, RULES)).drop("url")
@@ -61,6 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_topk": op6_topk,
