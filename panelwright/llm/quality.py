@@ -166,6 +166,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     alike. A null id is not held out and never trains. Without usable labels the score is 0.5 throughout.
     """
     model = train(docs, labels, id_col, text_col, max_train=max_train)
-    rows = _with_statistics(docs.drop("held_out", "score", "predicted"), text_col)
-    rows = rows.withColumn("score", model.score({n: F.col(f"_stats.{n}") for n in statistics(F.lit(""))})).withColumn("held_out", held_out(F.col(f"`{id_col}`")))
-    return rows.withColumn("predicted", F.when(F.col("score") >= cutoff, 1).otherwise(0)).drop("_stats")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")])
+    rows = _with_statistics(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")), "text")
+    score = model.score({n: F.col(f"_stats.{n}") for n in statistics(F.lit(""))})
+    rows = rows.select("row", score.alias("score")).select("row.*", held_out(F.col("row")[id_col]).alias("held_out"), "score")
+    return rows.withColumn("predicted", F.when(F.col("score") >= cutoff, 1).otherwise(0))
