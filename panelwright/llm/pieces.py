@@ -202,7 +202,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     kept = [c for c in docs.columns if c != "pieces"]
     at_id, at_text = kept.index(id_col), kept.index(text_col)
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = rows.withColumn("pieces", F.array().cast("array<int>")).schema
+    schema = rows.withColumn("pieces", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
@@ -229,7 +229,7 @@ def decode(encoded: DataFrame, pieces_col: str = "pieces", into: str = "decoded"
     kept = [c for c in encoded.columns if c != into]
     at = kept.index(pieces_col)
     rows = encoded.select(*[F.col(f"`{c}`") for c in kept])
-    schema = rows.withColumn(into, F.lit("").cast("string")).schema
+    schema = rows.withColumn(into, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(model, ALPHA).bytes
