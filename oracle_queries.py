@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+SUPPLIER_CONFIDENCES = (0.25, 0.4, 0.55, 0.8)
 ASSETS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 BAR = """min(l_extendedprice / l_quantity) AS low, max(l_extendedprice / l_quantity) AS high,
@@ -153,8 +154,8 @@ def z_of(c: float) -> float:
     return NormalDist().inv_cdf((1 + c) / 2)
 
 
-CTE["written"] = f"""SELECT * FROM (VALUES (6, 'AF', 0.10 * 21 / 252, {z_of(0.5)!r}), (7, 'AF', -0.15 * 21 / 252, {z_of(0.5)!r}), (7, 'NO', -0.12 * 21 / 252, {z_of(0.5)!r}),
-  (7, 'RF', 0.04 * 21 / 252, {z_of(0.4)!r})) t(scenario_id, asset, mu, z)"""
+CTE["written"] = f"""SELECT * FROM (VALUES (6, 'RO', 0.073 * 21 / 252, {z_of(0.62)!r}), (7, 'NF', 0.021 * 21 / 252, {z_of(0.35)!r}), (7, 'AO', -0.088 * 21 / 252, {z_of(0.5)!r}),
+  (7, 'RO', 0.055 * 21 / 252, {z_of(0.7)!r})) t(scenario_id, asset, mu, z)"""
 CTE["written_views"] = "SELECT scenario_id, asset, CAST(mu AS DOUBLE) AS mu, greatest(abs(mu) / z, 1e-8) AS sigma FROM written"
 
 
@@ -364,6 +365,14 @@ def oracle_sql() -> dict[str, str]:
     add("bl_posterior_cov", build("SELECT asset_i, asset_j, round((a.cov + b.cov) / 2, 8) AS cov FROM post a JOIN (SELECT asset_j AS asset_i, asset_i AS asset_j, cov FROM post) b USING (asset_i, asset_j)", one))
     add("recipe_posteriors", build(REPORT.format(key="CAST(m6.g AS BIGINT)", name="config_id", d=6, terms="recipe_terms"), posterior_ctes("recipe_groups", "recipe_terms")))
     add("historical_views", build(f"SELECT CAST(scenario_id AS BIGINT) AS scenario_id, asset, round(mu, 8) AS mu, round(sigma, 8) AS sigma FROM ({historical_of('sprices_r')})"))
+    scores = ", ".join(f"({k}, {z_of(c)!r})" for k, c in enumerate(SUPPLIER_CONFIDENCES))
+    assets = ", ".join(f"({k}, '{a}')" for k, a in enumerate(ASSETS))
+    add(
+        "supplier_views",
+        f"""SELECT CAST(s_suppkey AS BIGINT) AS scenario_id, asset, round(s_acctbal / 100000 * 21 / 252, 10) AS mu,
+          round(greatest(abs(s_acctbal / 100000 * 21 / 252) / z, 1e-8), 8) AS sigma
+        FROM supplier JOIN (VALUES {scores}) c(k, z) ON s_suppkey % {len(SUPPLIER_CONFIDENCES)} = k JOIN (VALUES {assets}) a(i, asset) ON s_suppkey % {len(ASSETS)} = i""",
+    )
     add("counterfactual_views", build("SELECT CAST(scenario_id AS BIGINT) AS scenario_id, asset, round(mu, 10) AS mu, round(sigma, 8) AS sigma FROM written_views WHERE asset IN (SELECT asset FROM prices)"))
     add("box_feasibility", build("""SELECT run_id, reason FROM (SELECT run_id, CASE WHEN w_max <= 0 OR w_max > 1 THEN 'w_max must be in (0, 1]' WHEN w_max * n_assets < 1 THEN 'w_max too small for the budget'
       WHEN min_weight < 0 THEN 'min_weight must be >= 0' WHEN min_weight > w_max THEN 'min_weight exceeds w_max' WHEN min_weight * n_assets > 1 THEN 'min_weight too large for the budget' END AS reason

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright import contracts
 from panelwright.defaults import SIGMA_FLOOR
 from panelwright.operators.layout import index_rows
 from panelwright.session import unite
 
-_KEEP_PERCENT = 80
+# Share of the training rows that each ensemble member draws, by a hash of the row.
+MEMBER_PERCENT = 80
 
 
 def fit_moments(rows: DataFrame, width: int, fits: dict[int, Column], features: str = "context", target: str = "realized_h") -> DataFrame:
@@ -84,13 +86,14 @@ def solve_fits(moments: DataFrame, ridge: float, members: int, scaled: bool = Tr
     )
 
 
-def fits_of(fold: int, role: Column, key: str, members: int) -> dict[int, Column]:
-    """Fit conditions of one fold: slot 0 takes all training rows, each member those its hash draw keeps."""
+def fits_of(fold: int, role: Column, key: str, members: int, percent: int = MEMBER_PERCENT) -> dict[int, Column]:
+    """Fit conditions of one fold: slot 0 takes all training rows, each member (also a single one) the
+    ``percent`` of them that its hash draw keeps."""
     base, train = fold * (members + 1), role == "train"
     fits = {base: train}
     for m in range(members):
-        drawn = F.pmod(F.xxhash64(F.col(key), F.col("pos"), F.lit(m)), F.lit(100)) < _KEEP_PERCENT
-        fits[base + m + 1] = train & drawn if members > 1 else train
+        drawn = F.pmod(F.xxhash64(F.col(key), F.col("pos"), F.lit(m)), F.lit(100)) < percent
+        fits[base + m + 1] = train & drawn
     return fits
 
 
@@ -108,8 +111,12 @@ def predict_members(rows: DataFrame, models: DataFrame, keep: list[str], fold: s
     return out.select(*keep, F.col("_model.member").alias("member"), linear_prediction(F.col("_model")).alias("prediction"))
 
 
-def residual_variance(predictions: DataFrame, key: str = "asset", by: list[str] | None = None) -> DataFrame:
-    """Holdout variance of realized minus ensemble mean per asset; pooled where an asset has under two points."""
+def residual_variance(predictions: DataFrame, key: str = "asset", by: list[str] | None = None, assets: DataFrame | None = None) -> DataFrame:
+    """Holdout variance of realized minus ensemble mean per asset; pooled where an asset has under two points.
+
+    ``assets`` lists the (by, key) pairs that need one, by default those of the predictions: an asset
+    too young to have a holdout is listed there and takes the pooled variance.
+    """
     by, floor = by or [], SIGMA_FLOOR**2
     means = predictions.filter("role = 'holdout'").groupBy(*by, key, "pos").agg(
         F.avg("prediction").alias("_mu"), F.first("realized_h").alias("_y")
@@ -117,9 +124,12 @@ def residual_variance(predictions: DataFrame, key: str = "asset", by: list[str]
     errors = means.withColumn("_e", F.col("_y") - F.col("_mu"))
     pooled = errors.groupBy(*by).agg(F.greatest(F.coalesce(F.var_samp("_e"), F.lit(0.0)), F.lit(floor)).alias("_pooled"))
     per_asset = errors.groupBy(*by, key).agg(F.count("_e").alias("n_holdout"), F.var_samp("_e").alias("_v"))
-    assets = predictions.select(*by, key).distinct().join(per_asset, [*by, key], "left")
-    assets = assets.join(pooled, by) if by else assets.withColumn("_pooled", pooled.scalar())
-    own = F.when(F.col("n_holdout") >= 2, F.greatest("_v", F.lit(floor))).otherwise(F.col("_pooled"))
+    listed = (predictions if assets is None else assets).select(*by, key).distinct()
+    assets = listed.join(per_asset, [*by, key], "left")
+    assets = assets.join(pooled, by, "left") if by else assets.withColumn("_pooled", pooled.scalar())
+    own = F.when(F.col("n_holdout") >= 2, F.greatest("_v", F.lit(floor))).otherwise(
+        F.coalesce("_pooled", contracts.fail("no holdout at all: no residual variance for ", F.col(key)))
+    )
     return assets.select(*by, key, F.coalesce("n_holdout", F.lit(0)).alias("n_holdout"), own.alias("residual_var"))
 
 

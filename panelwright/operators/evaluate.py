@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright import contracts
 from panelwright.defaults import CALIBRATION_Z, COVERAGE_TARGET, COVERAGE_TOLERANCE
 from panelwright.operators.ranks import spearman
 from panelwright.session import durable
@@ -48,7 +49,7 @@ def promotion(
     tolerance: float = COVERAGE_TOLERANCE,
     key: str = "asset",
 ) -> DataFrame:
-    """Decide per challenger on pooled metrics; the baseline keeps every tie."""
+    """Decide per challenger on pooled metrics; the baseline keeps every tie. A baseline without metrics stops the job."""
     pooled = metrics.filter(F.col(key).isNull())
     base = pooled.filter(F.col("model") == baseline).select(
         F.lit(1).alias("_k"), F.col("mse").alias("_mse"), F.abs(F.col("coverage") - target).alias("_distance")
@@ -56,6 +57,8 @@ def promotion(
     rows = pooled.filter(F.col("model") != baseline).withColumn(
         "_b", base.select(F.struct("_mse", "_distance")).scalar()
     )
+    known = F.when(F.col("_b").isNull(), contracts.fail("no pooled metrics of the baseline ", baseline, type_="boolean")).otherwise(F.lit(True))
+    rows = rows.filter(known)
     distance = F.abs(F.col("coverage") - target)
 
     def clause(ok: Column, name: str) -> Column:

@@ -12,9 +12,10 @@ from panelwright.defaults import ERROR_WARMUP_BARS, HALFLIFE_BARS, HORIZON_BARS,
 from panelwright.operators.layout import AUTO, arrange, index_rows, resolve_block
 from panelwright.session import durable
 
-# 2^(pos/halflife) stays inside the double range up to this many halflives.
-_SAFE_HALFLIVES = 1000
+# 2^(pos/halflife) stays inside the double range within a span of this many halflives.
 _BLOCK_HALFLIVES = 512
+# A decay over so many halflives is zero as a double.
+_GONE_HALFLIVES = 1100
 
 
 def _running(w):
@@ -27,12 +28,19 @@ def _whole_key(returns, key, order, ret, halflife, horizon, warmup):
     base = returns.select(
         key, order, F.col(ret).alias("_r"), pos.alias("_pos"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n")
     )
-    weight = F.when(
-        F.col("_pos") > _SAFE_HALFLIVES * halflife,
-        contracts.fail("history of ", F.col(key), " is too long for one block at this halflife: set rows_per_block"),
-    ).otherwise(F.pow(F.lit(2.0), F.col("_pos") / halflife))
-    mu = F.sum(F.col("_r") * F.col("_w")).over(_running(w)) / F.sum("_w").over(_running(w)) * horizon
-    scored = base.withColumn("_w", weight).withColumn("mu", mu)
+    # Weights start again every span; what one span hands to the next fades by 2^-512, and what lay
+    # before that by 2^-1024, so the last finished span is all that a double can show.
+    span = max(1, int(_BLOCK_HALFLIVES * halflife))
+    base = base.withColumn("_span", F.floor(F.col("_pos") / span)).withColumn("_w", F.pow(F.lit(2.0), (F.col("_pos") % span) / halflife))
+    near = _running(Window.partitionBy(key, "_span").orderBy(order))
+    base = base.withColumn("_ln", F.sum(F.col("_r") * F.col("_w")).over(near)).withColumn("_lw", F.sum("_w").over(near))
+    closing = (F.col("_pos") + 1) % span == 0
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    fade = 2.0 ** (-span / halflife)
+    handed = [F.coalesce(F.last(F.when(closing, F.col(c)), ignorenulls=True).over(past) * fade, F.lit(0.0)) for c in ("_ln", "_lw")]
+    base = base.withColumn("_cn", handed[0]).withColumn("_cw", handed[1])
+    mu = (F.col("_ln") + F.col("_cn")) / (F.col("_lw") + F.col("_cw")) * horizon
+    scored = base.withColumn("mu", mu)
     error = F.lag("mu", horizon).over(w) - F.sum("_r").over(w.rowsBetween(-(horizon - 1), 0))
     scored = scored.withColumn("_e", F.when(F.col("_pos") >= warmup + horizon, error))
     return scored.withColumn("sigma", F.stddev_samp("_e").over(_running(w)))
@@ -50,9 +58,8 @@ def _blocked(returns, key, order, ret, halflife, horizon, warmup, block):
         .withColumn("_i", offset)
         .withColumn("_w", F.pow(F.lit(2.0), (offset - (block - 1)) / halflife))
     )
-    # State carried into a block: earlier block totals, each decayed by whole blocks. Totals older
-    # than 128 halflives are below 2^-128 of the state and do not change a double.
-    reach = math.ceil(128 * halflife / block) + 1
+    # State carried into a block: all earlier block totals that have not decayed to zero.
+    reach = math.ceil(_GONE_HALFLIVES * halflife / block) + 1
     decay = 2.0 ** (-block / halflife)
     earlier = Window.partitionBy(key).orderBy("_blk").rowsBetween(-reach, -1)
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright import contracts
@@ -42,38 +42,55 @@ def fracdiff(
     order: str = "date",
     value: str = "log_price",
     rows_per_block: int | str | None = AUTO,
-) -> DataFrame:
+    on_invalid: str = "raise",
+):
     """``(key, date, fracdiff)``; rows without a full window are dropped.
 
-    Short windows are a sum of lags inside codegen; long ones (thousands of terms at small ``d``)
-    are a convolution per key block with its halo.
+    A value that is missing or not finite, and a key with fewer rows than the window, stop the job or, with
+    ``on_invalid="quarantine"``, leave the key out and report it, whatever the window's length. Short
+    windows are a sum of lags inside codegen; long ones (thousands of terms at small ``d``) are a
+    convolution per key block with its halo.
     """
+    contracts.check_mode(on_invalid)
     weights = ffd_weights(d, threshold)
     terms = len(weights)
     block = resolve_block(series, order, rows_per_block)
     block = None if block is None else max(block, terms)
-    frame, w = arrange(series.select(key, order, value), [key], order, back=terms - 1, rows_per_block=block)
+    data = series.select(key, order, F.col(value).cast("double").alias("_x"))
+    if block is None:
+        data = data.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    else:
+        data = index_rows(data, [key], order)
+    short, wrong = F.col("_n") < terms, contracts.not_finite(F.col("_x"))
+    report = None
+    if on_invalid == contracts.RAISE:
+        checked = F.when(wrong, contracts.fail("value of ", F.col(key), " at ", F.col(order), " is not finite")).when(
+            short, contracts.fail(F.col(key), " has ", F.col("_n"), f" rows, the window needs {terms}")
+        )
+        data = data.withColumn("_x", checked.otherwise(F.col("_x")))
+    else:
+        reason = F.when(wrong, F.lit("value not finite")).otherwise(F.lit("fewer rows than the window"))
+        report = contracts.violation_report(data.filter(wrong | short), key, order, reason)
+        data, report = contracts.quarantine(data, key, report)
+    frame, w = arrange(data, [key], order, back=terms - 1, rows_per_block=block)
     if terms <= MAX_NATIVE_TERMS:
-        total = F.col(value) * weights[0]
+        total = F.col("_x") * weights[0]
         for lag, weight in enumerate(weights[1:], start=1):
-            total = total + F.lag(value, lag).over(w) * weight
-        out = frame.withColumn("fracdiff", total).filter(F.col("fracdiff").isNotNull())
-        return core_rows(out).select(key, order, "fracdiff")
+            total = total + F.lag("_x", lag).over(w) * weight
+        out = core_rows(frame.withColumn("fracdiff", total).filter(F.col("fracdiff").isNotNull())).select(key, order, "fracdiff")
+        return out if report is None else (out, report)
     kernel = np.asarray(weights)
     schema = f"{key} {series.schema[key].dataType.simpleString()}, {order} {series.schema[order].dataType.simpleString()}, fracdiff double"
 
     def convolve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        if len(rows) < terms:
-            return pd.DataFrame({key: [], order: [], "fracdiff": []})
         tail = rows.iloc[terms - 1 :]
-        out = pd.DataFrame(
-            {key: tail[key], order: tail[order], "fracdiff": np.convolve(rows[value].to_numpy(float), kernel, "valid")}
-        )
-        return out[tail["_core"].to_numpy(bool)]
+        full = np.convolve(rows["_x"].to_numpy(float), kernel, "valid") if len(tail) else np.zeros(0)
+        return tail[[key, order]].assign(fracdiff=full)[tail["_core"].to_numpy(bool)]
 
     groups = [key] + (["_blk"] if "_blk" in frame.columns else [])
-    return frame.groupBy(*groups).applyInPandas(convolve, schema)
+    out = frame.groupBy(*groups).applyInPandas(convolve, schema)
+    return out if report is None else (out, report)
 
 
 def min_d_search(
@@ -106,7 +123,8 @@ def min_d_search(
     if block is None:
         frame = indexed.withColumn("_core", F.lit(True)).withColumn("_blk", F.lit(0).cast("long"))
     else:
-        reach = widest + 2000
+        longest = indexed.agg(F.max("_n")).first()[0] or 0
+        reach = widest + default_max_lag(max(longest, 1)) + 2
         frame, _ = arrange(indexed, [key], order, back=reach, rows_per_block=max(block, reach))
     key_type = series.schema[key].dataType.simpleString()
 

@@ -10,6 +10,7 @@ from panelwright.defaults import ADJ_REL_TOL, OVERLAP_DAYS
 from panelwright.operators.asof import available_date
 from panelwright.session import unite
 
+_NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
 _DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -26,10 +27,13 @@ def check_panel(panel: DataFrame, required: list[str], key: str = "asset", order
 
 
 def clean_numeric(df: DataFrame, column: str) -> DataFrame:
-    """Missing markers to NULL, numeric text to double; ``violation`` marks any other text."""
+    """Missing markers to NULL, numeric text to double; ``violation`` marks any other text.
+
+    Infinities are numbers here (``finite_audit`` finds them); suffixed literals such as ``5d`` are not.
+    """
     text = F.trim(F.col(column).cast("string"))
     missing = text.isNull() | text.isin("", ".")
-    number = F.when(~missing, text.try_cast("double"))
+    number = F.when(~missing & text.rlike(_NUMBER_SHAPE), text.try_cast("double"))
     number = F.when(F.isnan(number), F.lit(None).cast("double")).otherwise(number)
     is_nan = F.coalesce(F.lower(text) == "nan", F.lit(False))
     return df.withColumn("violation", ~missing & number.isNull() & ~is_nan).withColumn(column, number)
@@ -67,8 +71,11 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return joined.filter(F.col("_hit") | F.col("_hit").isNotNull()).select(*columns)
 
 
-def append(target: DataFrame, rows: DataFrame, universe: DataFrame | None = None, key: str = "asset") -> DataFrame:
-    """Append rows whose columns the target knows and whose keys are in the universe."""
+def append(
+    target: DataFrame, rows: DataFrame, universe: DataFrame | None = None, key: str = "asset", unique: list[str] | None = None
+) -> DataFrame:
+    """Append rows whose columns the target knows, whose keys are in the universe and whose ``unique`` columns
+    (``[key, "date"]`` where both are there) are not in the target or twice among the rows."""
     unknown = [c for c in rows.columns if c not in target.columns]
     if unknown:
         raise ValueError(f"unknown column(s) {unknown}")
@@ -83,9 +90,24 @@ def append(target: DataFrame, rows: DataFrame, universe: DataFrame | None = None
         rows = checked.withColumn(
             key, F.when(F.col("_known").isNull(), contracts.fail(F.col(key), " is not in the universe", type_="string")).otherwise(F.col(key))
         ).drop("_known")
+    unique = [c for c in (key, "date") if c in rows.columns] if unique is None else unique
+    if len(unique) > 1:
+        repeated = duplicate_keys(target, rows, unique).select(*unique, F.lit(True).alias("_repeated"))
+        checked = rows.join(repeated, unique, "left")
+        shown = F.concat_ws(", ", *[F.col(c).cast("string") for c in unique])
+        first = unique[0]
+        stop = contracts.fail("key is already stored or occurs twice: ", shown, type_=rows.schema[first].dataType.simpleString())
+        rows = checked.withColumn(first, F.when(F.col("_repeated"), stop).otherwise(F.col(first))).select(*rows.columns)
     return unite(target, rows, fill=True)
 
 
+def duplicate_keys(target: DataFrame, rows: DataFrame, unique: list[str]) -> DataFrame:
+    """``(unique columns, n_stored, n_new)`` of the keys that appending ``rows`` would repeat."""
+    both = unite(target.select(*unique, F.lit(0).alias("_new")), rows.select(*unique, F.lit(1).alias("_new")))
+    counts = both.groupBy(*unique).agg((F.count(F.lit(1)) - F.sum("_new")).alias("n_stored"), F.sum("_new").alias("n_new"))
+    return counts.filter((F.col("n_new") > 0) & (F.col("n_stored") + F.col("n_new") > 1))
+
+
 def high_watermark(df: DataFrame, universe: DataFrame, key: str = "asset", order: str = "date") -> DataFrame:
     """Newest stored date per universe key, NULL where nothing is stored."""
     newest = df.groupBy(key).agg(F.max(order).alias("max_date"))

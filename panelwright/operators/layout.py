@@ -61,14 +61,14 @@ def index_rows(
     it has that many rows; rows are ranked inside a span, and spans get their offset from a table with
     one row per span. Short keys stay in one piece. ``keys=[]`` ranks the whole frame the same way.
 
-    Both helper tables are broadcast: of N rows at most ``N / rows_per_bucket`` keys can be long, and
-    those have at most twice that many spans. So the rows themselves are shuffled once.
+    Of N rows at most ``N / rows_per_bucket`` keys can be long, and those have at most twice that many
+    spans. Both helper tables grow with N, so whether they are broadcast is left to Spark's size check.
     """
     staged = df.withColumn("_v", order_number(df, order).cast("double"))
     ends = [F.count(F.lit(1)).alias("_all"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
     if keys:
         long_keys = staged.select(*keys, "_v").groupBy(*keys).agg(*ends).filter(F.col("_all") > rows_per_bucket)
-        staged = staged.join(F.broadcast(long_keys), keys, "left")
+        staged = staged.join(long_keys, keys, "left")
     else:
         whole = staged.agg(*ends).select(F.struct("_all", "_low", "_high")).scalar()
         staged = staged.withColumn("_w", whole).select(*staged.columns, "_w.*")
@@ -84,7 +84,7 @@ def index_rows(
         size, F.coalesce("_all", F.count(F.lit(1)).over(near))
     )
     return (
-        ranked.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
+        ranked.join(offsets, [*keys, "_bucket"], "left")
         .withColumn(pos, F.col("_local") + F.coalesce("_before", F.lit(0)))
         .drop("_bucket", "_local", "_before", "_all")
     )

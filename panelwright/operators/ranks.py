@@ -49,16 +49,19 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, name: str) -> DataFrame:
-    """Rank correlation per group; NULL below two points or when a side is constant."""
-    pairs = df.select(*by, x, y)
+    """Rank correlation per group over its complete pairs; NULL below two points or when a side is constant."""
+    pairs = df.select(*by, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = pairs.join(average_ranks(pairs, by, x, "_rx"), [*by, x]).join(average_ranks(pairs, by, y, "_ry"), [*by, y])
     usable = (F.count(F.lit(1)) > 1) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     return ranked.groupBy(*by).agg(F.when(usable, correlation("_rx", "_ry")).alias(name))
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """The element at position ``min(n-1, floor(q*n))`` of each sorted group, one column per quantile."""
-    counted = value_counts(df, by, value)
+    """The element at position ``min(n-1, floor(q*n))`` of each sorted group, one column per quantile.
+
+    NULL values are no samples: they don't count in ``n``, and a group of NULLs only has no row.
+    """
+    counted = value_counts(df.filter(F.col(value).isNotNull()), by, value)
     picks = []
     for name, q in quantiles.items():
         target = F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(float(q))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright import contracts
 from panelwright.defaults import HORIZON_BARS
 from panelwright.operators.layout import AUTO, arrange, core_rows
 from panelwright.operators.returns import bar_positions
@@ -41,14 +42,27 @@ def context_windows(
     return core_rows(out.filter(complete)).select(key, order, "pos", "context", "target", "realized_h")
 
 
-def purged_holdout(windows: DataFrame, horizon: int = HORIZON_BARS, share: float = HOLDOUT_SHARE, key: str = "asset") -> DataFrame:
+def purged_holdout(
+    windows: DataFrame, horizon: int = HORIZON_BARS, share: float = HOLDOUT_SHARE, key: str = "asset", on_invalid: str = "raise"
+):
     """Mark each key's trailing windows ``holdout`` and the earlier ones ``train``; windows whose label
-    reaches the holdout are dropped."""
+    reaches the holdout are dropped. A key left without training windows stops the job; with
+    ``on_invalid="quarantine"`` such keys are reported and left out."""
+    contracts.check_mode(on_invalid)
     spans = windows.groupBy(key).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_k"))
     holdout = F.greatest(F.lit(2), F.bround(F.col("_k") * share).cast("long"))
-    spans = spans.select(key, (F.col("_first") + F.col("_k") - holdout).alias("_start"))
+    spans = spans.select(key, F.col("_first").alias("_begin"), (F.col("_first") + F.col("_k") - holdout).alias("_start"))
     role = F.when(F.col("pos") >= F.col("_start"), "holdout").when(F.col("pos") + horizon < F.col("_start"), "train")
-    return windows.join(spans, key).withColumn("role", role).filter(F.col("role").isNotNull()).drop("_start")
+    # Positions of a key's windows are consecutive, so the first window tells whether any trains.
+    spans = spans.withColumn("_empty", F.col("_begin") + horizon >= F.col("_start"))
+    joined = windows.join(spans, key)
+    if on_invalid == contracts.RAISE:
+        stop = contracts.fail("no training windows before the holdout of ", F.col(key), type_="string")
+        role = F.when(F.col("_empty"), stop).otherwise(role)
+        return joined.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_start", "_begin", "_empty")
+    report = contracts.violation_report(joined.filter("_empty"), key, "pos", "no training windows before the holdout")
+    good = joined.filter("NOT _empty").withColumn("role", role).filter(F.col("role").isNotNull())
+    return good.drop("_start", "_begin", "_empty"), report
 
 
 def train_scale(windows: DataFrame, vector: str = "context") -> DataFrame:

@@ -103,7 +103,7 @@ def publish_run(spark: SparkSession, root: str, run_id: int, config_id: int, sta
                 status = "skipped"
                 break
         except Exception as problem:  # the ledger must record any failure
-            status, error = "error", f"{name}: {type(problem).__name__}: {problem}"[:4000]
+            status, error = "error", f"{name}: {type(problem).__name__}: {problem}"
             records.append((run_id, name, "error", begun, _now(), json.dumps({"error": error})))
             break
     if status == "error":

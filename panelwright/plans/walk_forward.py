@@ -104,10 +104,10 @@ def ridge_forecast(
     models = durable(solve_fits(fit_moments(labelled, context, fits), ridge, members))
     held = F.array_compact(F.array(*[F.when(F.col(f"_role{f}") == "holdout", F.lit(f).cast("long")) for f in folds]))
     held = labelled.withColumn("fold", F.explode(held)).withColumn("role", F.lit("holdout"))
+    wanted = windows.select("asset", "date", "context").join(targets.select("fold", "date"), "date")
     residuals = residual_variance(
-        predict_members(held, models, ["fold", "asset", "date", "pos", "role", "realized_h"]), by=["fold"]
+        predict_members(held, models, ["fold", "asset", "date", "pos", "role", "realized_h"]), by=["fold"], assets=wanted.select("fold", "asset")
     )
-    wanted = windows.select("asset", "date", "context").join(targets.select("fold", "date"), "date")
     return ensemble_forecast(predict_members(wanted, models, ["fold", "asset", "date"]), residuals, by=["fold"])
 
 

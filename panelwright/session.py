@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 UNION_CONF = "spark.sql.unionOutputPartitioning"
+_stored: list[str] = []
 
 
 def build_session(app: str = "panelwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,10 +44,17 @@ def unite(first: DataFrame, *others: DataFrame, fill: bool = False) -> DataFrame
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (local tests)."""
+    """The cluster's checkpoint folder; a temporary one only where none is configured and all tasks share this machine.
+
+    On a cluster without the setting each executor would write to its own disk and the read-back would miss
+    rows, so that is refused.
+    """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share: this session runs on {master}")
     if not hasattr(shared_folder, "local"):
         shared_folder.local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return shared_folder.local
@@ -60,5 +68,21 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/panelwright-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_mark() -> int:
+    """A point in the list of stored frames, to release only what is stored after it."""
+    return len(_stored)
+
+
+def release(spark: SparkSession, mark: int = 0) -> int:
+    """Delete the frames that ``durable`` stored since ``mark``, once nothing reads them any more; returns how many."""
+    gone = _stored[mark:]
+    del _stored[mark:]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(gone)

@@ -176,8 +176,8 @@ def test_scenarios(spark, walk):
     universe = walk.select("asset").distinct()
     rows = [
         (1, "historical", "{}"), (2, "historical", '{"window_start": "2026-02-01", "window_end": "2026-03-01"}'), (3, "historical", '{"window_start": "2030-01-01"}'),
-        (4, "counterfactual", '{"SPY": {"mu": 0.10, "confidence": 0.5}}'), (5, "counterfactual", '{"AGG": {"mu": 0.03}}'),
-        (6, "counterfactual", '{"GLD": {"mu": 0.03}}'), (7, "counterfactual", '{"SPY": {"confidence": 0.5}}'), (8, "counterfactual", "broken"),
+        (4, "counterfactual", '{"SPY": {"mu": 0.066, "confidence": 0.45}}'), (5, "counterfactual", '{"AGG": {"mu": -0.017}}'),
+        (6, "counterfactual", '{"OIL": {"mu": 0.012}}'), (7, "counterfactual", '{"SPY": {"confidence": 0.5}}'), (8, "counterfactual", "broken"),
     ]
     s = spark.createDataFrame(rows, "scenario_id long, kind string, payload_json string")
     returns = log_returns(walk)
@@ -191,7 +191,7 @@ def test_scenarios(spark, walk):
     good, bad = counterfactual_views(s, universe, on_invalid="quarantine")
     out = {(r["scenario_id"], r["asset"]): r for r in good.withColumn("c", confidence(F.col("mu"), F.col("sigma"))).collect()}
     assert set(out) == {(4, "SPY"), (5, "AGG")}
-    assert out[(4, "SPY")]["mu"] == pytest.approx(0.10 * 21 / 252) and out[(5, "AGG")]["c"] == pytest.approx(0.5)
+    assert out[(4, "SPY")]["mu"] == pytest.approx(0.066 * 21 / 252) and out[(5, "AGG")]["c"] == pytest.approx(0.5)
     assert {r["scenario_id"]: r["reason"] for r in bad.collect()} == {6: "asset not in universe", 7: "view has no mu"}
     with pytest.raises(PySparkException, match="asset not in universe|view has no mu"):
         counterfactual_views(s, universe).collect()
