@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright import contracts
@@ -150,26 +150,50 @@ def merge_prices(
     A key with any overlap disagreement, or nothing stored, takes its full refreshed history; other
     keys take the overlap and newer rows only.
     """
-    top = stored.groupBy(key).agg(F.max(order).alias("max_date"))
-    revised = overlap_mismatches(stored, fetched, overlap_days, key=key, order=order).select(key).distinct()
-    plan = (
-        unite(full.select(key), fetched.select(key)).distinct()
-        .join(top, key, "left")
-        .join(revised.withColumn("_revised", F.lit(True)), key, "left")
-        .withColumn("_full", F.col("max_date").isNull() | F.coalesce("_revised", F.lit(False)))
-        .select(key, "max_date", "_full")
-    )
-    everything = full.join(plan.filter("_full"), key)
-    recent = fetched.join(plan.filter("NOT _full"), key).filter(F.col(order) >= F.date_sub("max_date", overlap_days))
-    chosen = unite(everything, recent)
-    counts = chosen.groupBy(key).agg(
-        F.count(F.when(F.col("_full") | (F.col(order) > F.col("max_date")), 1)).alias("new_rows"), F.max("_full").alias("full_refresh")
+    unknown = [c for c in full.columns if c not in stored.columns]
+    if unknown:
+        raise ValueError(f"unknown column(s) {unknown}")
+    rows = _aligned(stored, fetched, full, key, order)
+    whole, whole_times = ("_f", "_f_times") if full is fetched else ("_u", "_u_times")
+    # A key's rows are together already, so what the whole key decides is a window and no further exchange.
+    per_key = Window.partitionBy(key)
+    a, b = F.col("_s.adj_close"), F.col("_f.adj_close")
+    apart = (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > F.greatest(F.abs(a), F.abs(b)) * ADJ_REL_TOL, F.lit(False))
+    rows = rows.withColumn("_max", F.max(F.when(F.col("_s").isNotNull(), F.col(order))).over(per_key))
+    since = F.col(order) >= F.date_sub("_max", overlap_days)
+    votes = F.col("_s").isNotNull() & F.col("_f").isNotNull() & since & (F.col(order) < F.col("_max")) & apart
+    rows = rows.withColumn("_full", F.col("_max").isNull() | F.max(F.coalesce(votes, F.lit(False))).over(per_key))
+    chosen = F.when(F.col("_full"), F.col(whole)).when(since, F.col("_f"))
+    times = F.when(F.col("_full"), F.col(whole_times)).when(since, F.col("_f_times"))
+    repeated = contracts.fail("key occurs twice in updates: ", F.col(key), ", ", F.col(order), type_="boolean")
+    rows = rows.withColumn("_new", chosen).withColumn("_hit", F.when(F.coalesce(times, F.lit(0)) > 1, repeated).otherwise(F.col("_new").isNotNull()))
+    counts = rows.filter("_hit").groupBy(key).agg(
+        F.count(F.when(F.col("_full") | (F.col(order) > F.col("_max")), 1)).alias("new_rows"), F.max("_full").alias("full_refresh")
     )
     if universe is not None:
         counts = universe.select(key).join(counts, key, "left").select(
             key, F.coalesce("new_rows", F.lit(0)).alias("new_rows"), F.coalesce("full_refresh", F.lit(False)).alias("full_refresh")
         )
-    return upsert(stored, chosen.drop("max_date", "_full"), [key, order]), counts
+    given = [c for c in full.columns if c not in (key, order)]
+    columns = [
+        F.col(c) if c in (key, order) else (F.when(F.col("_hit"), F.col(f"_new.{c}")).otherwise(F.col(f"_s.{c}")) if c in given else F.col(f"_s.{c}")).alias(c)
+        for c in stored.columns
+    ]
+    return rows.filter(F.col("_hit") | F.col("_s").isNotNull()).select(*columns), counts
+
+
+def _aligned(stored: DataFrame, fetched: DataFrame, full: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per (key, date) with the stored, fetched and fully refreshed values side by side.
+
+    Each frame is read once; one that serves as both fetched and full is not read again.
+    """
+    sources = {"_s": stored, "_f": fetched} | ({} if full is fetched else {"_u": full})
+    parts = [df.select(key, order, F.lit(name).alias("_src"), F.struct(*[c for c in df.columns if c not in (key, order)]).alias(name)) for name, df in sources.items()]
+    together = unite(*parts, fill=True).repartition(key)
+    values = [F.max(name).alias(name) for name in sources]
+    times = [F.count(F.when(F.col("_src") == name, 1)).alias(f"{name}_times") for name in sources]
+    twice = contracts.fail("key is stored twice: ", F.col(key), ", ", F.col(order), type_="boolean")
+    return together.groupBy(key, order).agg(*values, *times).filter(F.when(F.col("_s_times") > 1, twice).otherwise(F.lit(True)))
 
 
 def append_macro(stored: DataFrame, incoming: DataFrame, lags: dict[str, int], ingested_at: Column | None = None) -> DataFrame:
