@@ -8,9 +8,12 @@ make candidates; links are confirmed on the full sets; groups are connected comp
 
 No bucket is compared in all pairs. Equal sets are one node from the start. Each bucket first compares its
 members with a single hub, the member that sits in the most crowded buckets (in a group of edited copies
-that is the text they were made from). Only members of a bucket that are still in different components are
-compared further, with 32, 64, 128, ... hubs per bucket until every pair of a bucket is either compared or
-already connected, so no link between buckets' members is lost, and crowded buckets cost rows x hubs.
+that is the text they were made from). What is then left are buckets whose members lie in different
+components. Those members meet by prefix filtering: with shingles ordered from rare to frequent, two sets that
+reach the threshold share one of the first few (|x| - shared + 1) shingles of both, so copies that went too far
+apart, whose first shingles are all their own, meet nobody. A shingle's bucket is again compared with 32, 64,
+128, ... hubs until all its pairs are compared or connected, so no link is lost and crowded buckets cost
+rows x hubs.
 
 Scale: signatures, nodes and links are narrow tables; texts are shuffled once, to bring candidates' sets
 together. With 25 bands of 5 slots a pair at the threshold 0.85 is missed with a chance of 4e-7, one at 0.8
@@ -156,12 +159,14 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(links: DataFrame) -> DataFrame:
     """``k, root``: the least node of its component for every linked node but the roots themselves.
 
-    Union-find inside partitions, then large-star and small-star steps between them until nothing moves; a
-    step only shuffles (node, node) pairs.
+    Union-find inside partitions, then large-star and small-star steps between them until every node has one
+    root that is no other node's child; a step only shuffles (node, node) pairs.
     """
     edges = durable(links.mapInPandas(_forest, "a binary, b binary"))
-    seen = None
     while True:
+        roles = edges.unionByName(edges.select(F.col("b").alias("a"), "b"))
+        if roles.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").isEmpty():
+            return edges.distinct().select(F.col("a").alias("k"), F.col("b").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -169,20 +174,59 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         moved = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         edges = durable(moved)
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("k"), F.col("b").alias("root"))
-        seen = state
 
 
-def _candidates(members: DataFrame, hubs: int) -> DataFrame:
-    """Pairs between the first ``hubs`` members of each bucket and its members in other components."""
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` after more links: only the roots that these connect are worked on again."""
+    if roots is None:
+        return durable(components(links))
+    named = lambda c: roots.select(F.col("k").alias(c), F.col("root").alias(f"{c}_root"))
+    lifted = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = durable(components(lifted.where("a <> b").distinct()))
+    moved = roots.join(above.select(F.col("k").alias("root"), F.col("root").alias("upper")), "root", "left").select("k", F.coalesce("upper", "root").alias("root"))
+    return durable(moved.unionByName(above))
+
+
+def _prefixes(keys: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``band, k, n, place``: the shingles among which each set must share one with any set it is linked to.
+
+    Shingles are ordered by the number of these sets that hold them, rarest first; ``place`` counts from 1.
+    """
+    share, whole = threshold
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, shingles in zip(batch.column(0), batch.column(1), strict=True):
+                values = np.frombuffer(shingles.as_buffer(), np.int64)
+                n = len(values)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, pa.binary()), pa.array(np.full(n, n)), pa.array(values)], ["k", "n", "band"])
+
+    rows = durable(sets.join(keys, "k").select("k", "shingles").mapInArrow(spread, "k binary, n long, band long"))
+    held = rows.groupBy("band").agg(F.count(F.lit(1)).alias("held"))
+    order = Window.partitionBy("k").orderBy("held", "band")
+    placed = rows.join(held, "band").withColumn("place", F.row_number().over(order))
+    return placed.where(f"place <= n - (n * {share} + {whole - 1}) div {whole} + 1 AND held > 1").select("band", "k", "n", "place")
+
+
+def _candidates(members: DataFrame, hubs: int, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs between the first ``hubs`` members of each bucket and its members in other components.
+
+    Where sizes are known, only pairs whose prefixes for these two sizes both contain the bucket's shingle.
+    """
+    share, whole = threshold
     order = Window.partitionBy("band").orderBy(F.desc("score"), "k")
-    top = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hubs).select("band", F.col("k").alias("hub"), F.col("root").alias("hub_root"))
-    met = members.join(top, "band").where("k <> hub AND root <> hub_root")
+    top = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs)
+    top = top.select("band", F.col("k").alias("hub"), F.col("root").alias("hub_root"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"))
+    shared = f"(({share} * (n + hub_n) + {whole + share - 1}) div {whole + share})"
+    reach = F.expr(f"place <= n - {shared} + 1 AND hub_place <= hub_n - {shared} + 1")
+    met = members.join(top, "band").where(F.col("k") != F.col("hub")).where("root <> hub_root").where(F.coalesce(reach, F.lit(True)))
     return met.select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct()
 
 
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -190,7 +234,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with nothing and stay. A text of fewer than ``width`` words is one shingle. Repeated rows are linked as equal texts. A null id takes its component's
     smallest id (null if there is none, then it stays). Other columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = durable(signatures(docs, id_col, text_col, width))
     nodes = durable(rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
     keys = nodes.select("k", F.explode("bands").alias("band"))
@@ -198,24 +241,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = keys.join(crowd, "band")
     members = durable(members.join(members.groupBy("k").agg(F.sum("crowd").alias("score")), "k").select("band", "k", "score"))
     sets = durable(_sets(docs, nodes.join(members.select("k").distinct(), "k").select("k", "id"), id_col, text_col, width))
-    roots = spark.createDataFrame([], "k binary, root binary")
-    links, tested, hubs = None, None, 1
-    open_members = members.withColumn("root", F.col("k"))
+    open_members = members.select("*", F.col("k").alias("root"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("place"))
+    scores = members.select("k", "score").distinct()
+    roots, tested, hubs = None, None, 1
     while True:
-        pairs = _candidates(open_members, hubs)
+        pairs = _candidates(open_members, hubs, threshold)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = durable(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = durable(verified(pairs, sets, threshold))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        if roots is None or not pairs.isEmpty():
+            roots = _joined(roots, durable(verified(pairs, sets, threshold)))
         # A hub has met its whole bucket and leaves it; a bucket whose rest is one component is done.
         order = Window.partitionBy("band").orderBy(F.desc("score"), "k")
-        met = open_members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hubs).select("band", "k")
-        left = open_members.drop("root").join(met, ["band", "k"], "left_anti").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+        met = open_members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs).select("band", "k")
+        left = _rooted(open_members.drop("root").join(met, ["band", "k"], "left_anti"), roots)
         mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        open_members = durable(left.join(mixed, "band").select("band", "k", "score", "root"))
+        open_members = durable(left.join(mixed, "band"))
+        if hubs == 1:
+            prefixes = _prefixes(open_members.select("k").distinct(), sets, threshold)
+            open_members = durable(_rooted(prefixes.join(scores, "k"), roots))
         if open_members.isEmpty():
             break
         hubs = max(HUBS, 2 * hubs)
