@@ -4,17 +4,18 @@ A byte goes if it is covered by a ``length``-byte string that also starts somewh
 positions by strings of growing length and drops a position as soon as its rank is unique. Ranking every byte
 of a corpus would shuffle it dozens of times over, so the first round ranks sampled positions only, in a way
 that loses nothing: every start s is represented by m(s), the position of the least hash among the short
-strings (about half of ``length``) beginning in s's window. m depends on the window's bytes alone, so equal windows have equal
+strings (about a quarter of ``length``) beginning in s's window. m depends on the window's bytes alone, so equal windows have equal
 representatives at equal distance, and neighbouring starts share one. Then
 
 1. representatives are ranked by their short string; unique ones are dropped with all their starts;
 2. the rest are ranked at the full offset, by the whole stretch that their starts' windows cover: a stretch
    that occurs again makes all its starts repeated; a short string with one stretch only is settled;
 3. where one short string stands in different stretches (the borders of repeated passages), each different
-   stretch ranks its starts one by one at the full length.
+   stretch ranks its starts, first 16 at a time, then 4, then one: if what the windows of such a block have in
+   common is unique, none of its starts is repeated; if what they cover together occurs again, all are; only
+   blocks in between go on to the next round.
 
-Ranks are fingerprints (64 bits for the short string and 64 for the stretch together, 128 for single starts)
-instead of sort positions: equal strings get equal ranks, which is all that reranking needs.
+Ranks are fingerprints (64 bits for the short string, and 64 more for what is compared within its group) instead of sort positions: equal strings get equal ranks, which is all that reranking needs.
 
 Scale: rounds shuffle fixed-size rows, about one per hundred bytes in the first; counts are combined before the
 shuffle, so a passage in a third of all documents is no hot task. Texts travel compressed and once per
@@ -43,7 +44,8 @@ _PLACE = np.uint64((1 << 21) - 1)
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, short-string hash, representative, first start and last start (places in ``data``), by segments."""
-    short, span = length - length // 2 + 1, length // 2
+    span = 3 * length // 4
+    short = length - span + 1
     for base in range(0, max(len(data), 1), SEGMENT):
         part = data[base : base + SEGMENT + length - 1]
         if len(part) < length:
@@ -81,20 +83,21 @@ def _bytes(texts: DataFrame, text_col: str) -> DataFrame:
 
 
 def sampled(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """``h, c, t, low, high``: short-string rank, stretch rank, text digest, first and last start of each stretch."""
+    """``h, c, t, low, more, at``: short-string rank, stretch rank, text digest, first start of each stretch, number of
+    further starts, and the representative's distance from the first start."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in T.runs(batch.column(0), SEGMENT):
                 view = memoryview(data)
                 digests = [_digest(view[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
-                for rows, h, _, low, high in stretches(data, offsets, length):
+                for rows, h, at, low, high in stretches(data, offsets, length):
                     c = np.array([xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array([digests[r] for r in rows.tolist()], pa.binary()), pa.array(low - offsets[rows]), pa.array((high - low).astype(np.int32))], ["h", "c", "t", "low", "more"]
+                        [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array([digests[r] for r in rows.tolist()], pa.binary()), pa.array(low - offsets[rows]), pa.array((high - low).astype(np.int32)), pa.array((at - low).astype(np.int32))], ["h", "c", "t", "low", "more", "at"]
                     )
 
-    return _bytes(docs, text_col).mapInArrow(sample, "h long, c long, t binary, low long, more int")
+    return _bytes(docs, text_col).mapInArrow(sample, "h long, c long, t binary, low long, more int, at int")
 
 
 def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -110,20 +113,62 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     return _bytes(docs, text_col).mapInArrow(pack, "t binary, z binary").groupBy("t").agg(F.first("z").alias("z"))
 
 
-def single_starts(texts: DataFrame, borders: DataFrame, length: int) -> DataFrame:
-    """``g1, g2, t, start``: 128-bit rank of every start of the border stretches."""
+def border_bytes(texts: DataFrame, borders: DataFrame, length: int) -> DataFrame:
+    """``h, c, t, low, more, at, body``: the border stretches with their bytes."""
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for t, z, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                view = memoryview(press.decompress(z))
-                starts = np.unique(np.concatenate([np.arange(s["low"], s["low"] + s["more"] + 1) for s in spans]))
-                marks = np.frombuffer(b"".join([_digest(view[s : s + length]) for s in starts.tolist()]), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array([t] * len(starts), pa.binary()), pa.array(starts)], ["g1", "g2", "t", "start"])
+                text = press.decompress(z)
+                columns = [pa.array([x[n] for x in spans], k) for n, k in (("h", pa.int64()), ("c", pa.int64()), ("low", pa.int64()), ("more", pa.int32()), ("at", pa.int32()))]
+                bodies = pa.array([text[x["low"] : x["low"] + x["more"] + length] for x in spans], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns[:2], pa.array([t] * len(spans), pa.binary()), *columns[2:], bodies], ["h", "c", "t", "low", "more", "at", "body"])
+
+    wanted = borders.groupBy("t").agg(F.collect_list(F.struct("h", "c", "low", "more", "at")).alias("spans"))
+    return texts.join(wanted, "t").mapInArrow(fetch, "h long, c long, t binary, low long, more int, at int, body binary")
+
 
-    wanted = borders.groupBy("t").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
-    return texts.join(wanted, "t").mapInArrow(rank, "g1 long, g2 long, t binary, start long")
+def _block_ranks(stretches: DataFrame, width: int, length: int) -> DataFrame:
+    """Blocks of ``width`` starts inside the asked spans of distances: ``common`` ranks what all windows of the whole
+    block share, ``covered`` what the windows of the block's starts in this stretch cover together."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, c, at, body, spans in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                view = memoryview(body)
+                for span in spans:
+                    for block in range(span["near"] // width, span["far"] // width + 1):
+                        near, far = max(span["near"], block * width), min(span["far"], (block + 1) * width - 1)
+                        first = at - block * width
+                        common = xxhash.xxh3_64_intdigest(view[first : first + length - width + 1])
+                        covered = xxhash.xxh3_64_intdigest(view[at - far : at - near + length])
+                        out.append((h, c, block, near, far, common, covered))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            arrays = [pa.array(np.array(x, np.uint64 if i > 4 else np.int64).view(np.int64), pa.int64()) for i, x in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "block", "near", "far", "common", "covered"])
+
+    return stretches.select("h", "c", "at", "body", "spans").mapInArrow(rank, "h long, c long, block long, near long, far long, common long, covered long")
+
+
+def border_starts(stretches: DataFrame, length: int) -> DataFrame:
+    """``t, low, more``: the repeated starts of border stretches, by narrowing blocks."""
+    asked = stretches.select("h", "c", F.array(F.struct((F.col("at") - F.col("more")).cast("long").alias("near"), F.col("at").cast("long").alias("far"))).alias("spans"))
+    found, place = None, stretches.select("h", "c", "t", (F.col("low") + F.col("at")).alias("m"))
+    for width in [w for w in (16, 4, 1) if w == 1 or 2 * w <= length]:
+        ranks = durable(_block_ranks(stretches.join(asked, ["h", "c"]), width, length))
+        again = ranks.groupBy("h", "block", "common").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        open_blocks = durable(ranks.join(again, ["h", "block", "common"]))
+        whole = open_blocks.groupBy("h", "near", "far", "covered").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        marked = open_blocks.join(whole.withColumn("all", F.lit(True)), ["h", "near", "far", "covered"], "left")
+        marked = durable(marked.withColumn("all", F.col("all").isNotNull()))
+        settled, between = marked.where("all"), marked.where("NOT all")
+        found = settled.select("h", "c", "near", "far") if found is None else found.unionByName(settled.select("h", "c", "near", "far"))
+        # One of each kind of settled blocks goes on as a witness for those in between.
+        witness = settled.groupBy("h", "block", "common", "near", "far", "covered").agg(F.min("c").alias("c")).join(between.select("h", "block", "common").distinct(), ["h", "block", "common"], "left_semi")
+        asked = between.select("h", "c", "near", "far").unionByName(witness.select("h", "c", "near", "far")).groupBy("h", "c").agg(F.collect_list(F.struct("near", "far")).alias("spans"))
+    return found.join(place, ["h", "c"]).select("t", (F.col("m") - F.col("far")).alias("low"), (F.col("far") - F.col("near")).cast("int").alias("more"))
 
 
 def repeated_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
@@ -131,14 +176,11 @@ def repeated_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     rows = sampled(docs, text_col, length)
     twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("h", "mixed")
     rows = durable(rows.join(twice, "h"))
-    again = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.any_value("mixed").alias("mixed"), F.min(F.struct("t", "low", "more")).alias("one"))
-    again = durable(again)
+    again = durable(rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.any_value("mixed").alias("mixed"), F.min(F.struct("t", "low", "more", "at")).alias("one")))
     whole = rows.join(again.where("n > 1").select("h", "c"), ["h", "c"]).select("t", "low", "more").distinct()
-    # Each different stretch of a mixed short string ranks its starts, also those known to be repeated: they bear witness.
-    marks = durable(single_starts(distinct_texts(docs, text_col), again.where("mixed").select("one.*"), length))
-    shared = marks.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g1", "g2")
-    single = marks.join(shared, ["g1", "g2"]).select("t", F.col("start").alias("low"), F.lit(0).alias("more"))
-    return whole.unionByName(single)
+    # Each different stretch of a mixed short string is ranked, also those known to be repeated: they bear witness.
+    borders = durable(border_bytes(distinct_texts(docs, text_col), again.where("mixed").select("h", "c", "one.*"), length))
+    return whole.unionByName(border_starts(borders, length))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
