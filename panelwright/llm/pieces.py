@@ -31,7 +31,8 @@ from panelwright.llm import text_arrays as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 0
 SPACE, LITERAL = "▁", "\udfff"  # a space mark that stands in the text itself becomes a code no text can hold
-RUN_CHARS = 2_000_000
+RUN_CHARS = 600_000
+STOCK = 100_000
 _CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -135,7 +136,7 @@ class Lattice:
             total[into] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, spread)), groups))
         chance = np.exp(total[start] + weight - total[end])
         order = np.argsort(end, kind="stable")
-        self.start, self.piece, end, chance = start[order], piece[order], end[order], chance[order]
+        self.start, self.piece, end, chance = start[order].astype(np.int32), piece[order].astype(np.int32), end[order], chance[order]
         edge = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([edge, [len(end)]]))
         running = np.cumsum(chance)
@@ -143,7 +144,7 @@ class Lattice:
         if len(end):
             within[edge + size - 1] = 1.0
         self.key = np.repeat(np.arange(len(edge)), size) + np.minimum(within, 1.0)
-        self.rank = np.zeros(n + len(words), np.int64)
+        self.rank = np.zeros(n + len(words), np.int32)
         self.rank[end[edge]] = np.arange(len(edge))
 
     def sample(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,33 +165,69 @@ class Lattice:
         return out, counts
 
 
-def segment(texts: list[str], keys: list[object], v: Vocabulary, seed: int) -> list[np.ndarray]:
+class Words:
+    """Lattices of the words of one task: a fixed stock of the first ``STOCK`` different words, kept from run to run,
+    and those of the run that it lacks."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.known, self.stock = v, {}, None
+
+    def sample(self, found: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all occurrences in order, and their number."""
+        index = self.known if self.stock is None else {}
+        known, base = self.known, len(self.known) if self.stock is not None else 0
+        if self.stock is None:
+            at = np.array([index.setdefault(w, len(index)) for w in found])
+            stock = Lattice(list(index), self.v)
+            if len(index) >= STOCK:
+                self.stock = stock
+            return stock.sample(at, keys)
+        at = np.array([k if (k := known.get(w, -1)) >= 0 else base + index.setdefault(w, len(index)) for w in found])
+        old = at < base
+        parts = [(np.flatnonzero(old), self.stock, at[old])]
+        if index:
+            parts.append((np.flatnonzero(~old), Lattice(list(index), self.v), at[~old] - base))
+        counts, drawn = np.zeros(len(at), np.int64), []
+        for rows, lattice, words in parts:
+            ids, n = lattice.sample(words, keys[rows])
+            counts[rows] = n
+            drawn.append((rows, ids, n))
+        first = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.int32)
+        for rows, ids, n in drawn:
+            out[np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, counts
+
+
+def segment(texts: list[str], keys: list[object], words: Words, seed: int) -> list[np.ndarray]:
     """One sampled list of piece ids per text."""
-    index: dict[str, int] = {}
-    words, sizes = [], []
+    v = words.v
+    found, sizes = [], []
     for text in texts:
         marked = (SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else ""
-        found = _CHUNK.findall(marked)
-        words += [index.setdefault(w, len(index)) for w in found]
-        sizes.append(len(found))
-    if not words:
+        parts = _CHUNK.findall(marked)
+        found += parts
+        sizes.append(len(parts))
+    if not found:
         return [np.zeros(0, np.int32) for _ in texts]
-    words, sizes = np.array(words), np.array(sizes)
+    sizes = np.array(sizes)
     rows = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     seeds = np.array([xxhash.xxh3_64_intdigest(repr(k), seed & (2**64 - 1)) for k in keys], np.uint64)
-    ids, counts = Lattice(list(index), v).sample(words, T.mix(seeds[rows] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    per_text = np.bincount(np.repeat(rows, counts), minlength=len(texts))
+    ids, counts = words.sample(found, T.mix(seeds[rows] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+    out = np.split(ids.astype(np.int32, copy=False), ends[:-1])
     if (ids <= 0).any():
         spelled = {c: [v.byte_ids[b] for b in (SPACE if chr(-c) == LITERAL else chr(-c)).encode()] for c in np.unique(ids[ids <= 0]).tolist()}
-        out, at = [], 0
-        for n in per_text.tolist():
-            part, at = ids[at : at + n], at + n
-            if (part <= 0).any():
-                part = np.array([x for p in part.tolist() for x in (spelled[p] if p <= 0 else (p,))])
-            out.append(part.astype(np.int32))
-        return out
-    return [x.astype(np.int32) for x in np.split(ids, np.cumsum(per_text)[:-1])]
+        out = [np.array([x for p in part.tolist() for x in (spelled[p] if p <= 0 else (p,))], np.int32) if (part <= 0).any() else part for part in out]
+    return out
+
+
+def spell(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of the pieces, joined, and the size of each."""
+    sizes = offsets[ids + 1] - offsets[ids]
+    first = np.cumsum(sizes) - sizes
+    return flat[np.repeat(offsets[ids] - first, sizes) + np.arange(int(sizes.sum()))].tobytes(), sizes
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -205,7 +242,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     schema = rows.withColumn("pieces", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model, alpha)
+        words = Words(vocabulary(model, alpha))
         for batch in batches:
             texts, keys = batch.column(at_text).to_pylist(), batch.column(at_id).to_pylist()
             first = 0
@@ -213,7 +250,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 end, chars = first, 0
                 while end < len(texts) and (end == first or chars + len(texts[end] or "") <= RUN_CHARS):
                     chars, end = chars + len(texts[end] or ""), end + 1
-                ids = segment([x or "" for x in texts[first:end]], keys[first:end], v, seed)
+                ids = segment([x or "" for x in texts[first:end]], keys[first:end], words, seed)
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 nulls = pa.array([x is None for x in texts[first:end]])
                 lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids), pa.int32()), mask=nulls)
@@ -233,9 +270,21 @@ def decode(encoded: DataFrame, pieces_col: str = "pieces", into: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(model, ALPHA).bytes
+        flat = np.frombuffer(b"".join(table), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in table])]).astype(np.int64)
         for batch in batches:
             lists = batch.column(at)
-            texts = [None if not x.is_valid else b"".join(map(table.__getitem__, x.values.to_pylist()))[1:].decode() for x in lists]
+            edges, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            texts: list[str | None] = []
+            first = 0
+            while first < len(lists):
+                end = min(len(lists), max(first + 1, int(np.searchsorted(edges, edges[first] + RUN_CHARS, "right")) - 1))
+                ids = values[edges[first] : edges[end]]
+                joined, sizes = spell(ids, flat, offsets)
+                cuts = np.concatenate([[0], np.cumsum(sizes)])[edges[first : end + 1] - edges[first]].tolist()
+                texts += [joined[a:b][1:].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                first = end
+            texts = [None if null else x for null, x in zip(lists.is_null().to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
     return rows.mapInArrow(run, schema)

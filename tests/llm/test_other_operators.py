@@ -137,7 +137,7 @@ def test_segmentations_are_drawn_with_their_probability():
 
     walk(0, (), 0.0)
     n, total = 20_000, sum(paths.values())
-    drawn = [tuple(v.bytes[i] for i in x) for x in pieces.segment(["theres"] * n, list(range(n)), v, 0)]
+    drawn = [tuple(v.bytes[i] for i in x) for x in pieces.segment(["theres"] * n, list(range(n)), pieces.Words(v), 0)]
     for path, weight in paths.items():
         p = weight / total
         assert abs(drawn.count(path) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
