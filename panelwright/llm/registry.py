@@ -136,4 +136,16 @@ b AS (SELECT source, list(line) AS cut FROM l JOIN t USING (source) WHERE line <
 k AS (SELECT doc_id, source, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(cut, []), trim(x))) AS kept FROM d LEFT JOIN b USING (source))
 SELECT doc_id, source, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(lines) - len(kept) AS INTEGER) AS n_removed, array_to_string(kept, chr(10)) AS text FROM k"""
 
-SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op4_url_filter": _url_sql(), "op6_topk": TOPK_SQL, "op7_line_dedup": LINE_SQL}
+NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT reach.d, l.y FROM reach JOIN l ON l.x = reach.c)
+SELECT d AS doc_id, any_value(n) AS n_shingles, min(c) AS component_id, d = min(c) AS kept FROM reach JOIN n ON n.doc_id = d GROUP BY d"""
+
+SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op2_near_duplicates": NEAR_SQL, "op4_url_filter": _url_sql(), "op6_topk": TOPK_SQL, "op7_line_dedup": LINE_SQL}
