@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from panelwright.defaults import HALFLIFE_BARS, HORIZON_BARS
 from panelwright.operators.layout import AUTO, index_rows
 from panelwright.operators.returns import log_returns, latest_rows
-from panelwright.session import durable, unite
+from panelwright.session import durable, release, stored_mark, unite
 from panelwright.sources.panel_store import store_exists
 
 STATE_SCHEMA = "asset string, num double, den double, n long, last_date date, last_price double"
@@ -73,43 +73,62 @@ def foreach_batch(path: str, halflife: float = HALFLIFE_BARS, on_late: Callable[
     """A ``foreachBatch`` function keeping one state snapshot per batch under ``path``.
 
     Batch ``b`` reads the snapshot before it and overwrites its own, so a replayed batch gives the
-    same state. ``on_late`` gets the keys to recompute.
+    same state. ``on_late`` gets the keys to recompute. Snapshots before the one just read are deleted: only the
+    newest batch can be replayed.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = [b for b in range(batch_id - 1, -1, -1) if store_exists(spark, f"{path}/batch={b}/_SUCCESS")][:1]
-        state = spark.read.schema(STATE_SCHEMA).parquet(f"{path}/batch={earlier[0]}") if earlier else empty_state(spark)
+        mark = stored_mark()
+        earlier = next((b for b in range(batch_id - 1, -1, -1) if store_exists(spark, f"{path}/batch={b}/_SUCCESS")), None)
+        state = empty_state(spark) if earlier is None else spark.read.schema(STATE_SCHEMA).parquet(f"{path}/batch={earlier}")
         updated, late = advance(state, durable(batch), halflife)
         updated.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         if on_late is not None:
             on_late(late, batch_id)
+        if earlier:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={earlier - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        release(spark, mark)
 
     return run
 
 
+def faded_sums(x: np.ndarray, halflife: float, start: float) -> np.ndarray:
+    """``s_i = s_(i-1) * 2^(-1 / halflife) + x_i`` from ``s_0 = start``, by cumulative sums over spans that stay in range."""
+    span, out = max(1, int(512 * halflife)), np.empty(len(x))
+    for at in range(0, len(x), span):
+        part = x[at : at + span]
+        if span == 1:
+            out[at] = start * 2.0 ** (-1.0 / halflife) + part[0]
+        else:
+            steps = np.arange(1, len(part) + 1) / halflife
+            out[at : at + span] = (start + np.cumsum(part * np.exp2(steps))) * np.exp2(-steps)
+        start = out[min(at + span, len(x)) - 1]
+    return out
+
+
 def stateful_forecast(stream: DataFrame, halflife: float = HALFLIFE_BARS, horizon: int = HORIZON_BARS) -> DataFrame:
     """The same forecast emitted for every arriving return, with Spark keeping the state per key.
 
-    Takes ``(asset, date, log_return)``. Rows of a key stream through in Arrow chunks; a return at or
-    before the newest one seen is emitted as ``recompute`` and does not touch the state. For keys that
-    dominate a batch use :func:`foreach_batch`, which combines before it shuffles by key.
+    Takes ``(asset, date, log_return)``. A return at or before the newest one of earlier batches, and a second one
+    for a date, is emitted as ``recompute`` and does not touch the state. A key's rows of a batch are put in
+    order as a whole, so the result doesn't depend on how they arrive in chunks; for keys that dominate a batch use
+    :func:`foreach_batch`, which combines before it shuffles by key.
     """
-    fade = 0.5 ** (1.0 / halflife)
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         num, den, n, last = state.get if state.exists else (0.0, 0.0, 0, -(10**9))
-        for chunk in chunks:
-            chunk = chunk.sort_values("date")
-            days = (pd.to_datetime(chunk["date"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy()
-            mu, status = np.full(len(chunk), np.nan), np.array(["recompute"] * len(chunk), dtype=object)
-            count = np.zeros(len(chunk), dtype="int64")
-            for i, (day, r) in enumerate(zip(days, chunk["log_return"].to_numpy(float))):
-                if day > last:
-                    num, den, n, last = num * fade + r, den * fade + 1.0, n + 1, int(day)
-                    mu[i], status[i] = num / den * horizon, "ok"
-                count[i] = n
-            yield pd.DataFrame({"asset": key[0], "date": chunk["date"].to_numpy(), "n": count, "mu": mu, "status": status})
+        rows = pd.concat(list(chunks)).sort_values(["date", "log_return"], kind="stable")
+        days = (pd.to_datetime(rows["date"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy()
+        fresh = (days > last) & np.concatenate([[True], days[1:] != days[:-1]])
+        r = rows["log_return"].to_numpy(float)[fresh]
+        nums, dens = faded_sums(r, halflife, num), faded_sums(np.ones(len(r)), halflife, den)
+        mu = np.full(len(rows), np.nan)
+        mu[fresh] = nums / dens * horizon
+        yield pd.DataFrame({"asset": key[0], "date": rows["date"].to_numpy(), "n": n + np.cumsum(fresh), "mu": mu, "status": np.where(fresh, "ok", "recompute")})
+        if len(r):
+            num, den, n, last = float(nums[-1]), float(dens[-1]), n + len(r), int(days[fresh][-1])
         state.update((num, den, n, last))
 
     return stream.groupBy("asset").applyInPandasWithState(

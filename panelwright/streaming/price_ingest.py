@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelwright.defaults import OVERLAP_DAYS
 from panelwright.operators.ingest import overlap_mismatches
-from panelwright.session import durable, unite
+from panelwright.session import durable, release, stored_mark, unite
 from panelwright.sources.panel_store import PARTITION, rewrite_years, store_exists
 
 INTERVAL = "5 minutes"
@@ -38,11 +38,11 @@ def foreach_batch(
 
     Keys whose overlap disagrees with the store are refreshed from ``full_history(keys)``. Writes are
     keyed upserts of whole years, so replaying a batch changes nothing. ``recompute`` gets the batch's
-    keys whose marks moved.
+    keys whose marks moved, once the store holds the batch. What a batch stored on the way is deleted at its end.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, mark = batch.sparkSession, stored_mark()
         chosen = batch.groupBy(key, order).agg(
             F.max_by(F.struct(*[c for c in batch.columns if c not in (key, order)]), "fetched_at").alias("_r")
         ).select(key, order, "_r.*").select(*batch.columns)
@@ -57,10 +57,15 @@ def foreach_batch(
                 history = full_history(revised).select(*batch.columns)
                 fresh = chosen.join(history.select(key, order), [key, order], "left_anti")
                 chosen = durable(unite(fresh, history))
+        moved = None
         if recompute is not None:
+            # The marks of the old store are read before it is rewritten.
             after = key_marks(chosen, key)
-            recompute(after.select(key) if before is None else moved_keys(before, after, key), batch_id)
+            moved = durable(after.select(key) if before is None else moved_keys(before, after, key))
         rewrite_years(spark, path, chosen, [key, order], order)
+        if moved is not None:
+            recompute(moved, batch_id)
+        release(spark, mark)
 
     return run
 

@@ -79,7 +79,8 @@ def test_stateful_operator_equals_batch(spark, tmp_path):
     query = ewma_state.stateful_forecast(stream).writeStream.format("memory").queryName("mu_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     try:
         for part in (pdf[pdf["date"] <= days[40]], pdf[pdf["date"] > days[40]], old):
-            spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+            # One file a batch: several would become visible one after the other.
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
             query.processAllAvailable()
     finally:
         query.stop()
@@ -130,3 +131,42 @@ def test_unions_keep_keys_together(spark):
     a = spark.range(200).select((F.col("id") % 50).cast("string").alias("asset"), F.lit(1).alias("x"))
     unite(a, a)
     assert spark.conf.get(UNION_CONF) == "false"
+
+
+def test_faded_sums_follow_the_recurrence():
+    from panelwright.streaming.ewma_state import faded_sums
+
+    x = np.random.default_rng(1).normal(size=2500)
+    for halflife in (0.001, 0.5, 1.7, 63.0):
+        fade, s, want = 0.5 ** (1 / halflife), 0.3, []
+        for v in x:
+            s = s * fade + v
+            want.append(s)
+        assert np.allclose(faded_sums(x, halflife, 0.3), want, rtol=1e-9)
+
+
+def test_stateful_forecast_does_not_depend_on_chunks(spark, tmp_path):
+    pdf = log_returns(spark.createDataFrame(walk_frame(days=60), PRICES)).toPandas()
+    mixed = pdf.sample(frac=1.0, random_state=4)
+    seen = []
+    for size in (3, 10_000):
+        spark.createDataFrame(mixed, "asset string, date date, log_return double").coalesce(1).write.parquet(f"{tmp_path}/in{size}")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            stream = spark.readStream.schema("asset string, date date, log_return double").parquet(f"{tmp_path}/in{size}")
+            run = ewma_state.stateful_forecast(stream).writeStream.format("memory").queryName(f"chunks{size}").option("checkpointLocation", f"{tmp_path}/c{size}").trigger(availableNow=True).start()
+            run.awaitTermination(120)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        seen.append(sorted((r["asset"], str(r["date"]), r["n"], r["mu"], r["status"]) for r in spark.table(f"chunks{size}").collect()))
+    assert seen[0] == seen[1] and {r[4] for r in seen[0]} == {"ok"}
+
+
+def test_recompute_reads_a_store_that_holds_the_batch(spark, tmp_path):
+    found = []
+    handler = price_ingest.foreach_batch(str(tmp_path / "p"), recompute=lambda keys, b: found.append((b, keys.count(), spark.read.parquet(str(tmp_path / "p")).count())))
+    rows = spark.createDataFrame(walk_frame(days=5), PRICES).withColumn("fetched_at", F.lit("2026-02-01 00:00:00").cast("timestamp_ntz"))
+    first = rows.filter("date < '2026-01-07'")
+    handler(first, 0)
+    handler(rows, 1)
+    assert found == [(0, 3, first.count()), (1, 3, rows.count())]
