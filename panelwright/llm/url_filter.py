@@ -8,8 +8,8 @@ is the rule host's own rules plus those of the hosts around it, and after a clos
 next host outside. Both are worked out once per rule host, so the sweep itself is one running ``last``.
 
 Scale: the sweep runs per slice. Rows of one domain (last two labels) share a bucket, rule hosts go only to
-the buckets that can need them, and a domain with more rows than a slice holds is dealt over several slices,
-with its few rule events copied to each. No slice depends on one host, url or domain being small.
+the buckets that can need them, and a domain with more rows than a slice holds (and over 1/4096 of all) is
+dealt over several slices, with its few rule events copied to each. No slice depends on one host, url or domain being small.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelwright.llm.skew import hot_parts
+
 ROWS_PER_SLICE = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,8 +107,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
 
     # Equal for a row however often a lost task runs again: drawn on the scan, before any shuffle.
     urls = urls.withColumn("draw", F.rand(20))
-    sizes = urls.groupBy("domain").agg(F.count(F.lit(1)).alias("rows"))
-    hot = sizes.where(F.col("rows") > rows_per_slice).select("domain", F.ceil(F.col("rows") / rows_per_slice).cast("int").alias("parts"))
+    hot = F.broadcast(hot_parts(urls.select("domain"), "domain", rows_per_slice))
     buckets = F.lit(max(1, -(-pages.count() // rows_per_slice)))
     part = F.floor(F.col("draw") * F.coalesce("parts", F.lit(1)))
     urls = urls.join(hot, "domain", "left").select("row", "host", "path", _key(F.col("host")).alias("key"), F.lit(1).alias("kind"), _slice(buckets, F.col("parts"), part))
