@@ -6,8 +6,8 @@ it stands on that host, if that is more than ``ratio`` of the host's different p
 
 Scale: lines travel as 16-byte digests, combined before each shuffle, so a host or a line holding a third of
 all rows is spread over many tasks. A host can have at most (lines per page / ratio) boilerplate lines,
-whatever its size, so the list joined to the pages is small; that join is left to Spark, which broadcasts it
-only if its measured size allows and else splits hot hosts.
+whatever its size, so the list joined to the pages is small. Pages of a host with more than 1/4096 of all rows
+are dealt over parts that each get a copy of the list.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.skew import hot_parts
+
 RATIO = 0.08
 MIN_PAGES = 5
 
@@ -48,8 +50,14 @@ def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text
     """
     found = boilerplate_lines(docs, host_col, text_col, ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("drop"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
-    rows = docs.select(row.alias("row"), F.col(f"`{host_col}`").alias("host"), _lines(F.col(f"`{text_col}`")).alias("lines"))
-    rows = rows.join(found, "host", "left")
+    hosts = docs.select(F.col(f"`{host_col}`").alias("host")).where("host IS NOT NULL")
+    hot = F.broadcast(hot_parts(hosts, "host"))
+    # Drawn on the scan, before any shuffle: equal for a row however often a lost task runs again.
+    rows = docs.select(row.alias("row"), F.col(f"`{host_col}`").alias("host"), _lines(F.col(f"`{text_col}`")).alias("lines"), F.rand(7).alias("draw"))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(hot, "host", "left").select("row", "host", "lines", F.floor(F.col("draw") * parts).cast("int").alias("part"))
+    found = found.join(hot, "host", "left").select("host", "drop", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = rows.join(found, ["host", "part"], "left")
     keep = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _digest(F.trim(x)))))
     rows = rows.select("row", "lines", keep.alias("kept"))
     n = F.coalesce(F.size("lines"), F.lit(0))
