@@ -162,6 +162,7 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     sizes = own.groupBy("digest").agg(F.countDistinct("window").alias("n"))
     met = template_windows(docs, text_col, width, _bloom(own)).join(own.withColumnRenamed("digest", "item_digest"), "window")
     met = met.select("digest", "item_digest", (F.col("place") - F.col("item_place")).alias("shift"), "window", F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda s: (s["a"] != 0) | (s["b"] != 0)).alias("pairs"))
+    met = durable(met)
     # A slot value of the item stands for one value in the document, and the other way round, within a place.
     pairs = met.select("digest", "item_digest", "shift", F.explode("pairs").alias("p")).select("digest", "item_digest", "shift", "p.*").distinct()
     clash = pairs.groupBy("digest", "item_digest", "shift").agg((F.countDistinct("a") != F.count("a")).alias("x"), (F.countDistinct("b") != F.count("b")).alias("y")).where("x OR y")
