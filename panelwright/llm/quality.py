@@ -2,21 +2,23 @@
 
 Shallow boosted trees are grown on text statistics of labelled rows; every path from a root to a node becomes
 a conjunctive rule ("share of symbols > 0.1 and distinct words <= 0.5"). A lasso logistic regression over the
-rules keeps few of them, and those are compiled into one Spark column, so scoring is a projection without
-Python. Labels, language, source and id never enter the statistics.
+rules keeps few of them, and those are compiled into one Spark column, so scoring is a projection. Labels, language, source and id never enter the statistics.
 
-Scale: statistics are built-in functions, computed once per document and stored (a few numbers per row).
+Scale: statistics come from one vectorised pass over the bytes of a run of texts, without a shuffle.
 Training takes at most ``max_train`` labelled rows, drawn by a hash of the id: the only bounded step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm import text_arrays as T
 from panelwright.session import durable
 
 MAX_TRAIN = 20_000
@@ -25,23 +27,39 @@ HOLD_OUT = 5
 Condition = tuple[str, bool, float]  # statistic, above (else not above), threshold
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Text statistics from 0 upwards; all are 0 for null and empty texts."""
-    text = F.coalesce(text, F.lit(""))
-    chars, words = F.greatest(F.length(text), F.lit(1)), F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
-    tokens = F.split(F.lower(text), r"\s+")
-    share = lambda pattern, of: F.regexp_count(text, F.lit(pattern)) / of
-    return {
-        "log_words": F.log1p(F.regexp_count(text, F.lit(r"\S+"))),
-        "word_length": F.length(F.regexp_replace(text, r"\s+", "")) / words,
-        "upper": share(r"\p{Lu}", chars),
-        "symbols": share(r"[^\p{L}\p{N}\s.,;:'\"()\-]", chars),
-        "digits": share(r"\p{Nd}", chars),
-        "bare": share(r"(?:^|\s)[^\p{L}\p{N}\s]+(?=\s|$)", words),
-        "distinct": F.when(F.length(text) > 0, F.size(F.array_distinct(tokens)) / words).otherwise(0.0),
-        "sentence_ends": share(r"[.!?](?=\s|$)", words),
-        "line_words": F.when(F.length(text) > 0, words / F.greatest(F.size(F.split(text, "\n")), F.lit(1))).otherwise(0.0),
-    }
+NAMES = ("log_words", "word_length", "upper", "symbols", "digits", "bare", "distinct", "repeats", "sentence_ends", "line_words")
+_CLASS = np.zeros(256, np.uint8)  # 0 other, 1 upper, 2 digit, 3 symbol, 4 newline, 5 end of a sentence, 6 inside a character
+_CLASS[65:91], _CLASS[48:58], _CLASS[10], _CLASS[128:192] = 1, 2, 4, 6
+_CLASS[[*range(35, 39), 42, 43, 47, *range(60, 63), 64, *range(91, 97), *range(123, 127)]] = 3
+_CLASS[[33, 46, 63]] = 5
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row of ``NAMES`` per text, all from 0 upwards; all are 0 for an empty text."""
+    n = len(offsets) - 1
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(n), size)
+    kind = np.bincount(row * 8 + _CLASS[data], minlength=8 * n).reshape(n, 8)
+    chars = np.maximum(size - kind[:, 6], 1)
+    starts, ends, rows = T.words(~T.BLANK[data], offsets)
+    hashes = T.span_hashes(T.FOLD[data], starts, ends)
+    per_row = lambda mask=None: np.bincount(rows if mask is None else rows[mask], minlength=n)[:n]
+    count = per_row()
+    words = np.maximum(count, 1)
+    letters = np.concatenate([[0], np.cumsum(_ALNUM[data])])
+    bare = letters[ends] == letters[starts]
+    closing = _CLASS[data[ends - 1]] == 5 if len(ends) else bare
+    again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])]) if len(rows) else bare
+    _, first = np.unique(T.mix(hashes + T.mix(rows.astype(np.uint64))), return_index=True)
+    return np.stack(
+        [
+            np.log1p(count), (size - np.bincount(row[T.BLANK[data]], minlength=n)[:n]) / words, kind[:, 1] / chars, kind[:, 3] / chars, kind[:, 2] / chars, per_row(bare) / words,
+            np.bincount(rows[first], minlength=n)[:n] / words, per_row(again) / words, per_row(closing) / words, np.where(size > 0, count / (kind[:, 4] + 1), 0.0),
+        ],
+        1,
+    )
 
 
 @dataclass(frozen=True)
@@ -134,10 +152,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 0, F.lit(False))
 
 
-def _with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` plus ``_stats``; the generator keeps the optimizer from copying each statistic into all its uses."""
-    stats = F.struct(*[c.alias(n) for n, c in statistics(F.col(f"`{text_col}`")).items()])
-    return docs.select("*", F.explode(F.array(stats)).alias("_stats"))
+def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` plus one double per statistic, named ``stat_...`` (existing columns of these names are replaced)."""
+    added = [f"stat_{x}" for x in NAMES]
+    kept = [c for c in docs.columns if c not in added]
+    at, rows = kept.index(text_col), docs.select(*[F.col(f"`{c}`") for c in kept])
+    schema = rows.select("*", *[F.lit(None).cast("double").alias(x) for x in added]).schema
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in T.runs(batch.column(at)):
+                values = statistics(data, offsets)
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, values.T)], [*kept, *added])
+
+    return rows.mapInArrow(measure, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> RuleModel:
@@ -146,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Statistics are computed only for documents up to the hash of the last drawn label. Rows without an id or
     a label don't count; of an id labelled twice the smaller label holds.
     """
-    names = list(statistics(F.lit("")))
+    names = [f"stat_{x}" for x in NAMES]
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label")).withColumn("draw", F.xxhash64("id")).orderBy("draw", "id").limit(max_train)
     known = durable(known)
@@ -154,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if last is None:
         return fit(np.zeros((0, len(names))), names, np.zeros(0))
     ids = docs.select(F.col(f"`{id_col}`").cast(known.schema["id"].dataType).alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.xxhash64("id") <= last)
-    rows = _with_statistics(ids, "text").select("id", "_stats.*").join(known, "id").orderBy("draw", "id", *names).limit(max_train).select(*names, "label").collect()
+    rows = with_statistics(ids, "text").drop("text").join(known, "id").orderBy("draw", "id", *names).limit(max_train).select(*names, "label").collect()
     data = np.array(rows, dtype=float).reshape(-1, len(names) + 1)
     return fit(data[:, :-1], names, (data[:, -1] > 0.5).astype(float))
 
@@ -166,8 +195,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     alike. A null id is not held out and never trains. Without usable labels the score is 0.5 throughout.
     """
     model = train(docs, labels, id_col, text_col, max_train=max_train)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")])
-    rows = _with_statistics(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")), "text")
-    score = model.score({n: F.col(f"_stats.{n}") for n in statistics(F.lit(""))})
+    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    rows = with_statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").alias("text")), "text")
+    score = model.score({f"stat_{x}": F.col(f"stat_{x}") for x in NAMES})
     rows = rows.select("row", score.alias("score")).select("row.*", held_out(F.col("row")[id_col]).alias("held_out"), "score")
     return rows.withColumn("predicted", F.when(F.col("score") >= cutoff, 1).otherwise(0))
