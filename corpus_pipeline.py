@@ -48,7 +48,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, decoded again to show that nothing is lost."""
-    coded = pieces.decode(pieces.encode(docs))
+    coded = pieces.encode(docs, decoded="decoded")
     return coded.withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
 
 

@@ -31,8 +31,8 @@ from panelwright.llm import text_arrays as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 0
 SPACE, LITERAL = "▁", "\udfff"  # a space mark that stands in the text itself becomes a code no text can hold
-RUN_CHARS = 600_000
-STOCK = 100_000
+RUN_CHARS = 500_000
+STOCK = 50_000
 _CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -54,6 +54,8 @@ class Vocabulary:
         self.bytes = [p.replace(SPACE, " ").encode() for p in pieces]
         for value, i in self.byte_ids.items():
             self.bytes[i] = bytes([value])
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in self.bytes])]).astype(np.int64)
         ranks = np.empty(n)
         ranks[sorted(usual, key=lambda i: (-model.get_score(i), i))] = np.arange(1, len(usual) + 1)
         weights = -alpha * np.log(ranks[usual] * np.log(len(usual) + 1.0))
@@ -97,7 +99,7 @@ class Lattice:
     def __init__(self, words: list[str], v: Vocabulary) -> None:
         codes, offsets = _codes(words)
         sizes = np.diff(offsets)
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         stop, of, n = offsets[1:][word], _prefix_hash(codes), len(codes)
         start, end, piece, weight = [], [], [], []
         covered = np.zeros(n, bool)
@@ -107,17 +109,17 @@ class Lattice:
             if not len(place):
                 break
             hit, at = v.find(of(place, place + size))
-            start.append(place[hit]), end.append(place[hit] + size), piece.append(v.ids[at]), weight.append(v.weights[at])
+            start.append(place[hit].astype(np.int32)), end.append((place[hit] + size).astype(np.int32)), piece.append(v.ids[at].astype(np.int32)), weight.append(v.weights[at])
             if size == 1:
                 covered[place[hit]] = True
         alone = np.flatnonzero(~covered)  # spelled in bytes; noted as the negative code
         code = codes[alone].astype(np.int64)
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-        start.append(alone), end.append(alone + 1), piece.append(-code), weight.append(v.rare * n_bytes)
+        start.append(alone.astype(np.int32)), end.append((alone + 1).astype(np.int32)), piece.append(-code.astype(np.int32)), weight.append(v.rare * n_bytes)
         start, end, piece, weight = (np.concatenate(x) for x in (start, end, piece, weight))
         # A word of n characters has n + 1 nodes, its first one at offset + word.
         shift = word[start]
-        local = end - offsets[shift]
+        local = (end - offsets[shift]).astype(np.int32)
         order = np.lexsort((end, local))
         start, end, piece, weight, shift, local = (x[order] for x in (start, end, piece, weight, shift, local))
         start, end = start + shift, end + shift
@@ -230,37 +232,50 @@ def spell(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[bytes
     return flat[np.repeat(offsets[ids] - first, sizes) + np.arange(int(sizes.sum()))].tobytes(), sizes
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, decoded: str | None = None
+) -> DataFrame:
     """All columns of ``docs`` plus ``pieces array<int>`` (an existing column of this name is replaced).
 
-    Null texts give null, empty texts an empty list. Rows with equal id and text get equal pieces; rows with a
-    null id share one key. Every row comes back once.
+    With ``decoded``, also a column of this name with the text the pieces spell, made in the same pass. Null
+    texts give nulls, empty texts an empty list. Rows with equal id and text get equal pieces; rows with a null id share one
+    key. Every row comes back once.
     """
-    kept = [c for c in docs.columns if c != "pieces"]
+    added = ["pieces", *([decoded] if decoded else [])]
+    kept = [c for c in docs.columns if c not in added]
     at_id, at_text = kept.index(id_col), kept.index(text_col)
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = rows.withColumn("pieces", F.lit(None).cast("array<int>")).schema
+    schema = rows.select("*", F.lit(None).cast("array<int>").alias("pieces"), *([F.lit(None).cast("string").alias(decoded)] if decoded else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(vocabulary(model, alpha))
         for batch in batches:
-            texts, keys = batch.column(at_text).to_pylist(), batch.column(at_id).to_pylist()
-            first = 0
-            while first < len(texts):
-                end, chars = first, 0
-                while end < len(texts) and (end == first or chars + len(texts[end] or "") <= RUN_CHARS):
-                    chars, end = chars + len(texts[end] or ""), end + 1
-                ids = segment([x or "" for x in texts[first:end]], keys[first:end], words, seed)
-                sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                nulls = pa.array([x is None for x in texts[first:end]])
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids), pa.int32()), mask=nulls)
+            for first, end, _, _ in T.runs(batch.column(at_text), RUN_CHARS):
                 part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "pieces"])
-                first = end
+                texts = part.column(at_text).to_pylist()
+                ids = segment([x or "" for x in texts], part.column(at_id).to_pylist(), words, seed)
+                sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids), pa.int32()), mask=pa.array([x is None for x in texts]))
+                more = [pa.array(_texts(lists, words.v), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], [*kept, *added])
 
     return rows.mapInArrow(run, schema)
 
 
+def _texts(lists: pa.ListArray, v: Vocabulary) -> list[str | None]:
+    """The text each list of pieces spells."""
+    edges, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    texts: list[str] = []
+    first = 0
+    while first < len(lists):
+        end = min(len(lists), max(first + 1, int(np.searchsorted(edges, edges[first] + RUN_CHARS // 2, "right")) - 1))
+        joined, sizes = spell(values[edges[first] : edges[end]], v.flat, v.offsets)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[edges[first : end + 1] - edges[first]].tolist()
+        texts += [joined[a:b][1:].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        first = end
+    return [None if null else x for null, x in zip(lists.is_null().to_pylist(), texts, strict=True)]
+
+
 def decode(encoded: DataFrame, pieces_col: str = "pieces", into: str = "decoded", model: str = MODEL) -> DataFrame:
     """All columns plus the text that the pieces spell; null pieces give null. Raises on ids outside the vocabulary."""
     kept = [c for c in encoded.columns if c != into]
@@ -269,22 +284,8 @@ def decode(encoded: DataFrame, pieces_col: str = "pieces", into: str = "decoded"
     schema = rows.withColumn(into, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(model, ALPHA).bytes
-        flat = np.frombuffer(b"".join(table), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in table])]).astype(np.int64)
+        v = vocabulary(model, ALPHA)
         for batch in batches:
-            lists = batch.column(at)
-            edges, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts: list[str | None] = []
-            first = 0
-            while first < len(lists):
-                end = min(len(lists), max(first + 1, int(np.searchsorted(edges, edges[first] + RUN_CHARS, "right")) - 1))
-                ids = values[edges[first] : edges[end]]
-                joined, sizes = spell(ids, flat, offsets)
-                cuts = np.concatenate([[0], np.cumsum(sizes)])[edges[first : end + 1] - edges[first]].tolist()
-                texts += [joined[a:b][1:].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                first = end
-            texts = [None if null else x for null, x in zip(lists.is_null().to_pylist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_texts(batch.column(at), v), pa.string())], [*batch.schema.names, into])
 
     return rows.mapInArrow(run, schema)

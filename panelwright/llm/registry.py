@@ -45,7 +45,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return coded.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

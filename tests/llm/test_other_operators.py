@@ -115,6 +115,7 @@ def test_pieces_are_lossless_and_seeded(spark):
     once = pieces.encode(docs)
     got = [tuple(r) for r in pieces.decode(once).select("doc_id", "text", "pieces", "decoded").collect()]
     assert all(t == d for _, t, _, d in got)
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in pieces.encode(docs, decoded="decoded").select("doc_id", "text", "pieces", "decoded").collect())
     again = [tuple(r) for r in pieces.encode(docs.repartition(5)).select("doc_id", "text", "pieces").collect()]
     key = lambda r: (r[0], str(r[1]))
     assert sorted((r[:3] for r in got), key=key) == sorted(again, key=key)
