@@ -35,8 +35,7 @@ def derived_edits(doc_id: Column, text: Column, n: int = 3) -> Column:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", derived_edits(F.col("doc_id"), F.col("text")).alias("edits"))
-    counted = token_counts.count_tokens(docs).withColumn("n_before", F.col("n_tokens"))
-    return token_counts.apply_edits(counted).select("doc_id", "n_before", "n_tokens", "encoded_chars")
+    return token_counts.apply_edits(docs).select("doc_id", "n_before", "n_tokens", "encoded_chars")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm import text_arrays as T
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 16
 LOOK_AHEAD = 2  # characters past its end that the pattern may read to end a pre-token
-KNOWN = 300_000
+KNOWN = 100_000
+RUN_BYTES = 1_000_000
 TREE = "struct<chars: array<int>, sums: array<bigint>>"
 
 
@@ -139,8 +142,10 @@ def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
         for batch in batches:
-            trees = [None if x is None else grown(x, c) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t and t.total for t in trees], pa.int64()), _packed(trees)], [*batch.schema.names, "n_tokens", "tree"])
+            for first, end, _, _ in T.runs(batch.column(at), RUN_BYTES):
+                part = batch.slice(first, end - first)
+                trees = [None if x is None else grown(x, c) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t and t.total for t in trees], pa.int64()), _packed(trees)], [*kept, "n_tokens", "tree"])
 
     return rows.mapInArrow(run, schema)
 
@@ -161,28 +166,36 @@ def apply_edits(counted: DataFrame, text_col: str = "text", edits_col: str = "ed
 
     ``edits_col`` is an array of (at, removed, inserted), applied in order, each on the text the one before left;
     places beyond the text are cut to its end. Null edits and null insertions count as empty. A null text stays
-    null. Other columns pass through.
+    null. Other columns pass through. Rows without a ``tree`` column get theirs built first, in the same pass, and
+    ``n_before``, the count before the edits.
     """
-    kept = [c for c in counted.columns if c not in ("n_tokens", "tree", "encoded_chars", text_col)]
-    rows = counted.select(*[F.col(f"`{c}`") for c in [*kept, text_col, "tree"]])
-    schema = rows.withColumn("n_tokens", F.lit(None).cast("long")).withColumn("encoded_chars", F.lit(None).cast("long")).schema
-    edits_at = kept.index(edits_col)
+    stored = "tree" in counted.columns
+    added = ["tree", "n_tokens", "encoded_chars", *([] if stored else ["n_before"])]
+    kept = [c for c in counted.columns if c not in (*added, text_col)]
+    rows = counted.select(*[F.col(f"`{c}`") for c in [*kept, text_col, *(["tree"] if stored else [])]])
+    nulls = {"tree": TREE, "n_tokens": "long", "encoded_chars": "long", "n_before": "long"}
+    schema = rows.drop("tree").select("*", *[F.lit(None).cast(nulls[x]).alias(x) for x in added]).schema
+    edits_at, at = kept.index(edits_col), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
         for batch in batches:
-            texts, trees, again = [], [], []
-            sums = batch.column(len(kept) + 1)
-            for i, (text, edits) in enumerate(zip(batch.column(len(kept)).to_pylist(), batch.column(edits_at).to_pylist(), strict=True)):
-                tree, n = None, None
-                if text is not None:
-                    stored = sums[i]
-                    tree, n = SegmentTree(stored["chars"].values.to_numpy().astype(np.int32), stored["sums"].values.to_numpy().astype(np.int64)), 0
-                    for e in edits or []:
+            for first, end, _, _ in T.runs(batch.column(at), RUN_BYTES):
+                part = batch.slice(first, end - first)
+                texts, trees, again, before = [], [], [], []
+                for i, (text, edits) in enumerate(zip(part.column(at).to_pylist(), part.column(edits_at).to_pylist(), strict=True)):
+                    tree, n = None, None
+                    if text is not None:
+                        old = part.column(at + 1)[i] if stored else None
+                        tree = SegmentTree(old["chars"].values.to_numpy().astype(np.int32), old["sums"].values.to_numpy().astype(np.int64)) if stored else grown(text, c)
+                        n = 0
+                    before.append(tree and tree.total)
+                    for e in (edits or []) if tree else []:
                         if e is not None:
                             text, more = edited(text, tree, e["at"] or 0, e["removed"] or 0, e["inserted"] or "", c)
                             n += more
-                texts.append(text), trees.append(tree), again.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string()), _packed(trees), pa.array([t and t.total for t in trees], pa.int64()), pa.array(again, pa.int64())], [*kept, text_col, "tree", "n_tokens", "encoded_chars"])
+                    texts.append(text), trees.append(tree), again.append(n)
+                made = [_packed(trees), pa.array([t and t.total for t in trees], pa.int64()), pa.array(again, pa.int64()), pa.array(before, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(texts, pa.string()), *made[: len(added)]], [*kept, text_col, *added])
 
     return rows.mapInArrow(run, schema)

@@ -87,6 +87,9 @@ def test_token_counts_follow_edits(spark):
     encode = token_counts.counter(token_counts.TOKENIZER).encode
     got = token_counts.apply_edits(token_counts.count_tokens(docs)).collect()
     assert len(got) == len(rows)
+    once = token_counts.apply_edits(docs.drop("tree")).collect()
+    assert sorted(str((r.doc_id, r.text, r.n_tokens, r.encoded_chars)) for r in once) == sorted(str((r.doc_id, r.text, r.n_tokens, r.encoded_chars)) for r in got)
+    assert all(r.n_before == len(encode(next(t for i, t, _, _ in rows if i == r.doc_id))) for r in once if r.text is not None)
     for r in got:
         want = next(t for i, t, _, _ in rows if i == r.doc_id)
         if want is None:
