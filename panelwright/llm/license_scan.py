@@ -6,13 +6,21 @@ A text is cut into units: sentences, lines and the text as a whole. A unit and a
 unit outside the bounds of every template is dropped before its bigrams are formed, and the others only
 meet templates within their bounds. The bigrams of a unit find templates by a hash join on the bigram.
 
+A notice may also be wrapped over lines or stand inside a longer text, where none of these units is the
+notice. So every run of words that begins and ends with a bigram of a template, and is no longer than the
+template's upper bound, is compared as well (a window; other ends only lower the score). A match shares at
+least ``t / (2 - t)`` of the template's bigrams, so a text must hold one of a few words of the template.
+
 Scale: templates are a fixed list (some hundred bigrams), so the join needs no shuffle of the corpus. Only
 bigrams that occur in a template within the bounds are shuffled, counted per (document, unit, template).
+Windows are formed in the row of their text; only those that reach the threshold are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -49,26 +57,77 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
-def _templates(spark, templates: dict[str, str], threshold: float) -> tuple[DataFrame, int, int]:
+def _templates(spark, templates: dict[str, str], threshold: float) -> tuple[DataFrame, list[Row]]:
     texts = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("wording")) for k, v in sorted(templates.items())])
     frame = spark.range(1).select(F.explode(texts).alias("t")).select("t.*").select("license", _bigrams(_words(F.col("wording"))).alias("b"))
     frame = frame.select("license", "b", F.size("b").alias("t_size"), F.ceil(F.size("b") * threshold / (2 - threshold) - 1e-9).alias("low"), F.floor(F.size("b") * (2 - threshold) / threshold + 1e-9).alias("high"))
-    low, high = frame.agg(F.min("low"), F.max("high")).first()
-    return frame.select("license", "t_size", "low", "high", F.explode("b").alias("bigram")), low, high
+    return frame.select("license", "t_size", "low", "high", F.explode("b").alias("bigram")), frame.where("t_size > 0").collect()
+
+
+def _keys(template: Row) -> list[str]:
+    """Words of which a match holds at least one: fewer than ``low`` of the template's bigrams have none of them."""
+    keys, left = [], [b.split(" ") for b in template["b"]]
+    while len(left) >= template["low"]:
+        keys.append(max((w for b in left for w in b), key=lambda w: (len(w), w)))
+        left = [b for b in left if keys[-1] not in b]
+    return keys
+
+
+def _windows(docs: DataFrame, text: Column, templates: list[Row], threshold: float) -> DataFrame:
+    """``id, license, dice, n_windows``: best window, and how many different ones match at places of their own."""
+    barrier = lambda x: F.explode(F.array(x))
+    keys = sorted({k for t in templates for k in _keys(t)})
+    keys = [k for k in keys if not any(o != k and o in k for o in keys)]
+    rows = docs.where(text.isNotNull()).select("id", barrier(F.lower(text)).alias("text")).where(reduce(lambda a, b: a | b, [F.contains("text", F.lit(k)) for k in keys]))
+    fixed = F.array(*[
+        F.struct(F.lit(t["license"]).alias("license"), F.lit(t["t_size"]).alias("t_size"), F.lit(int(t["low"])).alias("low"), F.lit(int(t["high"])).alias("high"), F.array(*map(F.lit, _keys(t))).alias("keys"), F.array(*map(F.lit, t["b"])).alias("b"))
+        for t in templates
+    ])
+    rows = rows.select("id", F.xxhash64("text").alias("key"), F.filter(fixed, lambda t: F.exists(t["keys"], lambda k: F.contains("text", k))).alias("t"), barrier(_words(F.col("text"))).alias("words"))
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    rows = rows.where(F.size("words") > 0).select("id", "key", "t", barrier(F.when(F.size("words") > 1, pairs).otherwise(F.col("words"))).alias("b"))
+    rows = rows.select("id", "key", "b", F.explode("t").alias("t"))
+    rows = rows.select("id", "key", "b", "t", barrier(F.filter(F.sequence(F.lit(1), F.size("b")), lambda i: F.array_contains(F.col("t.b"), F.get("b", i - 1)))).alias("hits"))
+    enough = F.filter(F.sequence(F.lit(0), F.size("hits")), lambda j: F.get("hits", j + F.col("t.low") - 1) - F.get("hits", j) < F.col("t.high"))
+    rows = rows.select("id", "key", "t", F.explode(F.transform(enough, lambda j: F.struct(F.get("hits", j).alias("at"), F.slice("b", F.get("hits", j), F.col("t.high")).alias("b")))).alias("w"))
+    ends = F.filter(F.sequence(F.col("t.low"), F.size("w.b")), lambda n: F.array_contains(F.col("t.b"), F.get("w.b", n - 1)))
+
+    def score(n: Column) -> Column:
+        cut = F.slice("w.b", 1, n)
+        return F.struct((2 * F.size(F.array_intersect(cut, "t.b")) / (F.size(F.array_distinct(cut)) + F.col("t.t_size"))).alias("dice"), (-n).alias("minus"))
+
+    rows = rows.select("id", "key", "t.license", "w", barrier(F.array_max(F.transform(ends, score))).alias("best")).where(F.col("best.dice") >= threshold)
+    rows = rows.select("id", "key", "license", F.struct("w.at", (F.col("w.at") - F.col("best.minus") - 1).alias("end"), "best.dice", F.xxhash64(F.slice("w.b", 1, -F.col("best.minus"))).alias("unit")).alias("w"))
+    found = rows.groupBy("id", "license", "key").agg(F.sort_array(F.collect_set("w")).alias("w"))
+    none = F.struct(F.lit(-1).cast("int").alias("end"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("unit"), F.array().cast("array<long>").alias("units"))
+
+    def take(seen: Column, w: Column) -> Column:
+        own = lambda units: F.struct(w["end"].alias("end"), w["dice"].alias("dice"), w["unit"].alias("unit"), units.alias("units"))
+        # Of windows that overlap only the best counts.
+        apart = own(F.when(seen["end"] < 0, seen["units"]).otherwise(F.array_append(seen["units"], seen["unit"])))
+        return F.when(w["at"] > seen["end"], apart).when(w["dice"] > seen["dice"], own(seen["units"])).otherwise(seen)
+
+    units = F.aggregate("w", none, take, lambda seen: F.array_append(seen["units"], seen["unit"]))
+    found = found.select("id", "license", F.array_max(F.transform("w", lambda w: w["dice"])).alias("dice"), units.alias("units"))
+    return found.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.size(F.array_distinct(F.flatten(F.collect_list("units")))).alias("n_windows"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and matching template: ``id_col, license, dice, n_units``.
 
-    ``dice`` is the best unit's score, ``n_units`` how many different units reach the threshold; where a
-    sentence is a whole line it is one unit. Documents without a match have no row, nor have null or empty
+    ``dice`` is the best score of a unit or window, ``n_units`` how many different units reach the threshold; where a
+    sentence is a whole line it is one unit. If more different windows than units do, at places that don't
+    overlap, ``n_units`` is their number. Documents without a match have no row, nor have null or empty
     texts and empty tables. Rows with the same id and text count once; rows with the same id and different
     texts are one document with the units of both. A null id is an id of its own. Other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     if not templates:
         raise ValueError("templates are empty")
-    grams, low, high = _templates(docs.sparkSession, templates, threshold)
+    grams, listed = _templates(docs.sparkSession, templates, threshold)
+    if not listed:
+        raise ValueError("templates have no words")
+    low, high = min(t["low"] for t in listed), max(t["high"] for t in listed)
     text = F.col(f"`{text_col}`")
     cut = F.array_distinct(F.concat(F.split(text, SENTENCE_END), F.split(text, "\n"), F.array(text)))
     # Generators keep the optimizer from writing the word split into each of its uses.
@@ -79,4 +138,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = sets.select("id", "unit", F.size("b").alias("u_size"), F.explode("b").alias("bigram")).join(grams, "bigram").where(F.col("u_size").between(F.col("low"), F.col("high")))
     shared = hits.groupBy("id", "unit", "u_size", "license", "t_size").agg(F.count_distinct("bigram").alias("shared"))
     scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("u_size") + F.col("t_size"))).where(F.col("dice") >= threshold)
-    return scored.groupBy(F.col("id").alias(id_col), "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
+    scored = scored.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
+    wrapped = _windows(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")), F.col("text"), listed, threshold)
+    both = scored.unionByName(wrapped.withColumnRenamed("n_windows", "n_units"))
+    return both.groupBy(F.col("id").alias(id_col), "license").agg(F.max("dice").alias("dice"), F.max("n_units").alias("n_units"))

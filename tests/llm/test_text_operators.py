@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,19 @@ def test_license_scan_scores_and_bounds(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_license_scan_finds_wrapped_notices_in_long_texts(spark):
+    rnd = random.Random(4)
+    names = ["apache-2.0 header", "bsd clause", "cc0-1.0 notice", "gpl-3.0 header", "isc grant", "mit grant"]
+    wrapped = lambda n, width=79: textwrap.fill(license_scan.TEMPLATES[n], width)
+    around = lambda x: "A title\n\n" + x + "\n\n" + " ".join(prose(rnd, 300))
+    texts = [around(wrapped(n)) for n in names]
+    half = " ".join(license_scan.TEMPLATES["mit grant"].split()[:30])
+    texts += [around(textwrap.fill(half, 79)), around(license_scan.TEMPLATES["apache-2.0 header"].replace(". You", ".  You")), around(wrapped("mit grant") + "\n\nand\n\n" + wrapped("mit grant", 50).replace("sublicense", "lend"))]
+    got = {(r.doc_id, r.license): (r.dice, r.n_units) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    # The first sentence of the Apache header holds the short notice in one line or over two.
+    assert {k: v for k, v in got.items() if k[1] != "apache-2.0 notice"} == {(i, n): (1.0, 1) for i, n in enumerate(names)} | {(7, names[0]): (1.0, 1), (8, "mit grant"): (1.0, 2)}
+
+
 def test_decontamination_follows_slots(spark):
     item = "The price of 3 apples for Anna is 12 dollars and Anna pays 12 now."
     items = spark.createDataFrame([(10, item), (11, item), (12, None), (13, "!?")], "item_id long, text string")
