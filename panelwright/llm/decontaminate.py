@@ -2,7 +2,9 @@
 
 Both sides are cut into tokens and made canonical: numbers, names (capitalised words inside a sentence) and
 units after a number become typed placeholders, other words lower case. Every run of five canonical tokens is
-a template window. Documents and items meet by a hash join on the window. For each (document, item, shift)
+a template window; an item of fewer than nine tokens is one window of its own length. The word that opens a
+sentence may be a name or not, so a window that begins with it has both readings. Documents and items meet by
+a hash join on the window. For each (document, item, shift)
 the operator counts the item's windows found and collects what the placeholders stand for on both sides: a
 re-parameterised copy replaces a value by the same value everywhere, so slots must map one to one. An item is
 found in a document if enough of its windows, at one place or in one order, agree.
@@ -29,6 +31,8 @@ COVERAGE = 0.8
 BLOOM_BITS = 23
 # Unit words that follow a number.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "miles", "feet", "inches", "pounds", "dollars", "euros", "cents", "percent", "degrees", "meters", "metres", "litres", "liters", "grams")
+# Words that open a sentence and are no names.
+OPENERS = ("a", "an", "all", "and", "are", "as", "at", "but", "by", "can", "compute", "could", "describe", "did", "do", "does", "each", "every", "explain", "find", "for", "from", "given", "has", "have", "he", "how", "if", "in", "is", "it", "let", "my", "name", "no", "of", "on", "or", "our", "she", "should", "some", "that", "the", "their", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what", "when", "where", "which", "who", "whom", "whose", "why", "will", "with", "would", "write", "you", "your", "der", "die", "das", "ein", "eine", "wer", "wie", "was", "wo", "le", "la", "les", "un", "une", "que", "qui", "quel", "quelle", "el", "los", "las", "una", "quien", "cual")
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (11, 12, 13))
 
 _WORD = np.zeros(256, bool)
@@ -48,11 +52,15 @@ def _folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-_UNIT_HASHES = np.sort(T.span_hashes(np.frombuffer("".join(UNITS).encode(), np.uint8), np.cumsum([0, *map(len, UNITS[:-1])]), np.cumsum([*map(len, UNITS)])))
+def _hashes(words: tuple[str, ...]) -> np.ndarray:
+    return np.sort(T.span_hashes(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words[:-1])]), np.cumsum([*map(len, words)])))
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, canonical hash and slot value (0: not a slot) of every token."""
+_UNIT_HASHES, _OPENER_HASHES = _hashes(UNITS), _hashes(OPENERS)
+
+
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, canonical hash, slot value (0: not a slot) and, for a capitalised word that opens a sentence, its value as a name of every token."""
     low, digit = _folded(data), _DIGIT[data]
     inside = _WORD[data].copy()
     if len(data) > 2:  # 3.5 and 1,000 are one number; the neighbours may not belong to other texts
@@ -61,7 +69,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         inside[1:-1] |= inner
     starts, ends, rows = T.words(inside, offsets)
     if not len(starts):
-        return rows, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return rows, *[np.zeros(0, np.uint64)] * 3
     raw = T.span_hashes(low, starts, ends)
     number = digit[starts] & ~_has_letter(data, starts, ends)
     # A name begins with a capital and goes on in lower case, so texts written all in capitals have none.
@@ -76,7 +84,8 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     unit = np.isin(raw, _UNIT_HASHES) & after_number & ~number
     name = capital & ~opening & ~number & ~unit
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, np.uint64(0))))
-    return rows, np.where(kind > 0, T.mix(kind), raw), np.where(kind > 0, np.maximum(raw, np.uint64(1)), np.uint64(0))
+    value, none = np.maximum(raw, np.uint64(1)), np.uint64(0)
+    return rows, np.where(kind > 0, T.mix(kind), raw), np.where(kind > 0, value, none), np.where(capital & opening & (kind == 0), value, none)
 
 
 def _upper(data: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -92,25 +101,32 @@ def _has_letter(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return letters[ends] > letters[starts]
 
 
-WINDOWS = "digest binary, place int, window long, slots array<long>"
+WINDOWS = "digest binary, place int, window long, slots array<long>, whole boolean, fixed boolean"
+_NAME_HASH = T.mix(np.array([NAME], np.uint64))[0]
 
 
-def _window_batch(digests: list[bytes], rows: np.ndarray, hashes: np.ndarray, slots: np.ndarray, width: int, bloom: np.ndarray | None) -> pa.RecordBatch:
-    first, found = T.windows(hashes, rows, width)
+def _window_batch(digests: list[bytes], rows: np.ndarray, hashes: np.ndarray, slots: np.ndarray, names: np.ndarray, width: int, bloom: np.ndarray | None, second: bool) -> pa.RecordBatch:
+    """Windows of ``width``; ``second``: in the other reading of their first word, a name."""
+    first, found = T.windows(hashes, rows, width, np.where(names > 0, _NAME_HASH, hashes) if second else None)
     if bloom is not None and len(found):
         passed = _bits(bloom, found)
         first, found = first[passed], found[passed]
     starts = np.searchsorted(rows, rows[first]) if len(first) else first
+    ends = np.searchsorted(rows, rows[first], "right") if len(first) else first
     grid = np.minimum(first[:, None] + np.arange(width), max(len(rows) - 1, 0))
-    within = rows[grid] == rows[first][:, None] if len(first) else np.zeros((0, width), bool)
+    within = first[:, None] + np.arange(width) < ends[:, None]
     values = np.where(within, slots[grid], np.uint64(0)) if len(first) else np.zeros((0, width), np.uint64)
+    if second and len(first):
+        values[:, 0] = names[first]
+    # A word that is no name stands for itself in either reading.
+    fixed = np.isin(names[first], _OPENER_HASHES) & second if len(first) else np.zeros(0, bool)
     flat = pa.array(values.astype(np.uint64).view(np.int64).ravel(), pa.int64())
     return pa.RecordBatch.from_arrays(
         [
             pa.array([digests[r] for r in rows[first]], pa.binary()), pa.array((first - starts).astype(np.int32)), pa.array(found.view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * width), flat),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * width), flat), pa.array(ends - starts <= width), pa.array(fixed),
         ],
-        ["digest", "place", "window", "slots"],
+        ["digest", "place", "window", "slots", "whole", "fixed"],
     )
 
 
@@ -119,15 +135,31 @@ def _bits(bloom: np.ndarray, found: np.ndarray) -> np.ndarray:
     return bloom[(found & mask).astype(np.int64)] & bloom[((found >> low) & mask).astype(np.int64)]
 
 
-def template_windows(texts: DataFrame, text_col: str, width: int = WIDTH, bloom: np.ndarray | None = None) -> DataFrame:
-    """``digest, place, window, slots`` of every template window (that may be in ``bloom``, if one is given)."""
+def _own_windows(digests: list[bytes], rows: np.ndarray, hashes: np.ndarray, slots: np.ndarray, names: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Windows of items: those of fewer than ``2 * width - 1`` tokens are one window. Only an item's first word has two readings."""
+    size = np.bincount(rows, minlength=len(digests))[rows]
+    names = np.where(np.concatenate([[True], rows[1:] != rows[:-1]])[: len(rows)], names, np.uint64(0))
+    for w in range(1, 2 * width):
+        held = size == w if w < 2 * width - 1 else size >= w
+        for second in (False, True) if held.any() else ():
+            yield _window_batch(digests, rows[held], hashes[held], slots[held], names[held], w if w < 2 * width - 1 else width, None, second)
+
+
+def template_windows(texts: DataFrame, text_col: str, width: int = WIDTH, bloom: np.ndarray | None = None, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """Template windows of documents, of ``width`` and all ``lengths``, that may be in ``bloom``; without one, those of items."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = batch.column(0).to_pylist()
             for first, end, data, offsets in T.runs(batch.column(1)):
-                rows, hashes, slots = canonical(data, offsets)
-                yield _window_batch(digests[first:end], rows, hashes, slots, width, bloom)
+                rows, hashes, slots, names = canonical(data, offsets)
+                if bloom is None:
+                    yield from _own_windows(digests[first:end], rows, hashes, slots, names, width)
+                    continue
+                names[np.isin(names, _OPENER_HASHES)] = 0
+                for w in sorted({width, *lengths}):
+                    for second in (False, True):
+                        yield _window_batch(digests[first:end], rows, hashes, slots, names, w, bloom, second)
 
     source = texts.where(F.col(f"`{text_col}`").isNotNull()).select(F.unhex(F.md5(F.col(f"`{text_col}`"))).alias("digest"), F.col(f"`{text_col}`").alias("text"))
     return source.mapInArrow(cut, WINDOWS)
@@ -158,16 +190,20 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     sized = items.where(F.col(f"`{item_text_col}`").isNotNull()).select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
     own = template_windows(sized, "text", width).distinct()
     named = sized.select("item", F.unhex(F.md5("text")).alias("digest")).distinct()
-    own = durable(own.select("digest", F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots")))
-    sizes = own.groupBy("digest").agg(F.countDistinct("window").alias("n"))
-    met = template_windows(docs, text_col, width, _bloom(own)).join(own.withColumnRenamed("digest", "item_digest"), "window")
-    met = met.select("digest", "item_digest", (F.col("place") - F.col("item_place")).alias("shift"), "window", F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda s: (s["a"] != 0) | (s["b"] != 0)).alias("pairs"))
+    own = durable(own.select("digest", F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), F.col("fixed").alias("item_fixed")))
+    sizes = own.groupBy("digest").agg(F.countDistinct("item_place").alias("n"))
+    lengths = tuple(r["size"] for r in own.select(F.size("item_slots").alias("size")).distinct().collect())  # below 2 * width - 1
+    met = template_windows(docs, text_col, width, _bloom(own), lengths).join(own.withColumnRenamed("digest", "item_digest"), "window")
+    # Fewer than width words are no template: inside a longer text they must be the item's own.
+    same = (F.col("slots") == F.col("item_slots")) | (F.size("item_slots") >= width) | F.col("whole")
+    met = met.where(same & (~F.col("item_fixed") | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))))
+    met = met.select("digest", "item_digest", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda s: (s["a"] != 0) | (s["b"] != 0)).alias("pairs"))
     met = durable(met)
     # A slot value of the item stands for one value in the document, and the other way round, within a place.
     pairs = met.select("digest", "item_digest", "shift", F.explode("pairs").alias("p")).select("digest", "item_digest", "shift", "p.*").distinct()
     clash = pairs.groupBy("digest", "item_digest", "shift").agg((F.countDistinct("a") != F.count("a")).alias("x"), (F.countDistinct("b") != F.count("b")).alias("y")).where("x OR y")
     agreed = met.join(clash, ["digest", "item_digest", "shift"], "left_anti")
-    found = agreed.groupBy("digest", "item_digest").agg(F.countDistinct("window").alias("hits")).join(sizes.withColumnRenamed("digest", "item_digest"), "item_digest")
+    found = agreed.groupBy("digest", "item_digest").agg(F.countDistinct("item_place").alias("hits")).join(sizes.withColumnRenamed("digest", "item_digest"), "item_digest")
     found = found.select("digest", "item_digest", (F.col("hits") / F.col("n")).alias("share")).where(F.col("share") >= coverage)
     return found.join(named.withColumnRenamed("digest", "item_digest"), "item_digest").select("digest", "item", "share")
 
@@ -177,8 +213,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Existing columns of these names are replaced. Every row comes back once and equal texts get equal verdicts.
     Null and empty texts, and texts without words, are clean, as is everything if there are no items; items with null or wordless text match
-    nothing. A text or item of fewer than ``width`` words is one window of all its words. Items with the same
-    text are all named.
+    nothing. An item of fewer than ``2 * width - 1`` words is found as a whole; one of fewer than ``width`` words
+    with other values only in a text of nothing else. Items with the same text are all named.
     """
     found = find_items(docs, items, text_col, item_col, item_text_col, width, coverage)
     verdict = found.groupBy("digest").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max("share").alias("share"))

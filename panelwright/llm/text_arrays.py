@@ -84,17 +84,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(terms, first) + size.astype(np.uint64))
 
 
-def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(first word, hash)`` of every run of ``width`` words of one row; a shorter row gives one of all its words."""
+def windows(hashes: np.ndarray, rows: np.ndarray, width: int, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(first word, hash)`` of every run of ``width`` words of one row; a shorter row gives one of all its words.
+
+    ``lead``: second hashes of the words; only runs whose first word has another one there, which is then used.
+    """
     if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(rows)]]))
     row_size = np.repeat(sizes, sizes)
     place = np.arange(len(rows)) - np.repeat(starts, sizes)
-    first = np.flatnonzero((place + width <= row_size) | (place == 0))
+    wanted = (place + width <= row_size) | (place == 0)
+    first = np.flatnonzero(wanted if lead is None else wanted & (lead != hashes))
     total = np.zeros(len(first), np.uint64)
     for j in range(width):
         within = place[first] + j < row_size[first]
-        total += np.where(within, hashes[np.minimum(first + j, len(hashes) - 1)] * _LOW[3 * j + 1], np.uint64(0))
+        own = hashes if j or lead is None else lead
+        total += np.where(within, own[np.minimum(first + j, len(hashes) - 1)] * _LOW[3 * j + 1], np.uint64(0))
     return first, mix(total + np.minimum(row_size[first], width).astype(np.uint64))

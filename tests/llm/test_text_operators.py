@@ -175,6 +175,17 @@ def test_decontamination_follows_slots(spark):
     assert decontaminate.decontaminate(empty(spark), items).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    short = ["What is the capital of France?", "Who wrote Hamlet?", "Tom has 3 apples and Ann has 5", "Photosynthesis"]
+    items = spark.createDataFrame(list(enumerate(short)), "item_id long, text string")
+    texts = [
+        "Q: What is the capital of France? A: a city", "then (" + short[0] + ")", "He asked: Who wrote Hamlet? Nobody knew", "Well, Who wrote Faust? Nobody knew", "who wrote Hamlet",
+        "So Tom has 3 apples and Ann has 5 of them", "Bob has 4 apples and Sue has 9 today", "So: Bob has 4 apples and Sue has 9 today", "Paris is the capital of France", "all about photosynthesis here", "What is the capital of", "Who wrote Faust?",
+    ]
+    got = {r.doc_id: (r["items"], r.share) for r in decontaminate.decontaminate(frame(spark, texts), items).where("contaminated").collect()}
+    assert got == {0: ([0], 1.0), 1: ([0], 1.0), 2: ([1], 1.0), 4: ([1], 1.0), 5: ([2], 1.0), 6: ([2], 1.0), 7: ([2], 1.0), 9: ([3], 1.0), 11: ([1], 1.0)}
+
+
 def test_decontamination_finds_verbatim_items(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     wanted = {r.doc_id for r in docs.crossJoin(F.broadcast(items.select(F.lower("text").alias("item")))).where(F.contains(F.lower("text"), F.col("item"))).collect()}
