@@ -186,6 +186,17 @@ def test_decontamination_finds_short_items(spark):
     assert got == {0: ([0], 1.0), 1: ([0], 1.0), 2: ([1], 1.0), 4: ([1], 1.0), 5: ([2], 1.0), 6: ([2], 1.0), 7: ([2], 1.0), 9: ([3], 1.0), 11: ([1], 1.0)}
 
 
+def test_decontamination_drops_only_windows_of_a_minority_value(spark):
+    long = "The shop of Anna sells 30 red chairs each day and a chair costs 12 dollars so that after one week of 7 days with no rest for the staff the owner has sold all of the 210 chairs that were made by Paul in the old town and by Anna herself"
+    items = spark.createDataFrame([(0, "Tom has 3 apples and Ann has 5"), (1, long), (2, "If 3 boys and 5 girls share 40 sweets and 8 more come, how many does each get?")], "item_id long, text string")
+    texts = [
+        "Bob has 4 apples and Sue has 4", "x. " + long.replace("by Anna", "by Hanna"), "x. " + long.replace("30", "5").replace("7", "5"), "If 6 boys and 6 girls share 60 sweets and 6 more come, how many does each get?",
+        "Tom has 3 apples", long.replace("Anna", "Carl", 1).replace("Paul", "Carl").replace("by Anna", "by Carl"),
+    ]
+    got = {r.doc_id: r["items"] for r in decontaminate.decontaminate(frame(spark, texts), items).where("contaminated").collect()}
+    assert got == {0: [0], 1: [1], 2: [1], 3: [2], 5: [1]}
+
+
 def test_decontamination_finds_verbatim_items(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     wanted = {r.doc_id for r in docs.crossJoin(F.broadcast(items.select(F.lower("text").alias("item")))).where(F.contains(F.lower("text"), F.col("item"))).collect()}
