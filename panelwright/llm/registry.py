@@ -54,7 +54,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # The query's SQL has the hard floor; the pipeline goes without.
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), hard_floor=True)
     return docs.select("doc_id", "source", "n_lines", "n_removed", "text")
 
 

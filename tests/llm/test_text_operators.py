@@ -136,6 +136,15 @@ def test_line_dedup_drops_a_hosts_frequent_lines_only(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("total, least", [(2, 2), (4, 3), (10, 3), (50, 5)])
+def test_line_dedup_on_small_hosts(spark, total, least):
+    """``least`` pages with the line are enough for it to go, one less isn't."""
+    rows = [(held, i, ("menu\n" if i < held else "") + f"own {i}") for held in (least - 1, least) for i in range(total)]
+    docs = spark.createDataFrame([(f"h{h}", i, t) for h, i, t in rows], "source string, doc_id long, text string")
+    got = {(r.source, r.doc_id): r.n_removed for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {(f"h{h}", i): int(h == least and i < least) for h, i, _ in rows}
+
+
 def test_license_scan_scores_and_bounds(spark):
     notice = license_scan.TEMPLATES["mpl-2.0 header"]
     texts = ["Some prose. Released under the MIT license! More.", notice.upper(), "x\n" + notice.replace("the terms", "the same terms"), "licensed", None, "", "Released under the MIT License.\nReleased under the MIT License."]
