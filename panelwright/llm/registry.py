@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, license_scan, line_dedup, near_dup, pieces, quality, repeats, token_counts, topk, url_filter
+from panelwright.llm import collocations, decontaminate, license_scan, line_dedup, near_dup, packing, pieces, quality, repeats, search, token_counts, topk, url_filter
+from panelwright.session import durable
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -73,6 +74,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = pieces_.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(digests)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(durable(search.build_index(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
     "op10_quality": op10_quality,
+    "op11_packing": op11_packing,
+    "op12_collocations": op12_collocations,
+    "op13_search": op13_search,
 }
 
 
@@ -148,4 +166,33 @@ l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 reach AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT reach.d, l.y FROM reach JOIN l ON l.x = reach.c)
 SELECT d AS doc_id, any_value(n) AS n_shingles, min(c) AS component_id, d = min(c) AS kept FROM reach JOIN n ON n.doc_id = d GROUP BY d"""
 
-SQL: dict[str, str] = {"op1_license_scan": _license_sql(), "op2_near_duplicates": NEAR_SQL, "op4_url_filter": _url_sql(), "op6_topk": TOPK_SQL, "op7_line_dedup": LINE_SQL}
+PHRASE_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) s(size)),
+c AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY lang, size, phrase HAVING count(*) >= 30),
+x AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM c WHERE size > 1),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM x)),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, h.a AS l, t.a AS r, CAST((CAST(2000000 AS HUGEINT) * k.a) // (h.a + t.a) AS BIGINT) AS score
+      FROM k JOIN c h ON h.lang = k.lang AND h.phrase = k.head JOIN c t ON t.lang = k.lang AND t.phrase = k.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (
+      SELECT lang, a, unnest(list_transform(range(1, size - part + 2), lambda j: array_to_string(w[j:j + part - 1], ' '))) AS phrase FROM x, (VALUES (2), (3)) q(part) WHERE part < size) GROUP BY lang, phrase),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase)
+      WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
+SEARCH_SQL = """
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT d, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+z AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM t),
+p AS (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(w) AS term FROM t) GROUP BY d, doc_id, n, term),
+v AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, z GROUP BY term, big_n),
+q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+s AS (SELECT item_id, d, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+      FROM q JOIN v USING (term) JOIN p USING (term), z GROUP BY item_id, d, doc_id),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
+SQL: dict[str, str] = {"op12_collocations": PHRASE_SQL, "op13_search": SEARCH_SQL, "op1_license_scan": _license_sql(), "op2_near_duplicates": NEAR_SQL, "op4_url_filter": _url_sql(), "op6_topk": TOPK_SQL, "op7_line_dedup": LINE_SQL}

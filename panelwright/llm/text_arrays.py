@@ -103,3 +103,19 @@ def windows(hashes: np.ndarray, rows: np.ndarray, width: int, lead: np.ndarray |
         own = hashes if j or lead is None else lead
         total += np.where(within, own[np.minimum(first + j, len(hashes) - 1)] * _LOW[3 * j + 1], np.uint64(0))
     return first, mix(total + np.minimum(row_size[first], width).astype(np.uint64))
+
+
+def coded(data: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each word among the distinct ones, and these; the words are the runs of ``inside`` bytes, in order."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data[inside])])
+    kinds = spans.dictionary_encode()
+    return kinds.indices.to_numpy(), kinds.dictionary
+
+
+def binary_hashes(values: pa.Array) -> np.ndarray:
+    """64-bit hash of each non-empty binary value."""
+    values = values.cast(pa.large_binary())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], np.uint8) if len(values) else np.zeros(0, np.uint8)
+    return span_hashes(data, ends[:-1], ends[1:])
