@@ -66,6 +66,45 @@ def turnover(weights: DataFrame, previous: DataFrame, by: list[str]) -> DataFram
     ).drop("_old", "_known")
 
 
+def one_allocation(
+    names: np.ndarray, mu: np.ndarray, sigma: np.ndarray, line: pd.Series | dict, stored: pd.Series | None
+) -> tuple[np.ndarray | None, np.ndarray | None, bool, str, str | None]:
+    """Weights of one portfolio, its previous ones, whether turnover was given up, a status, and what is wrong.
+
+    ``line`` holds optimizer, min_weight, w_max, delta and cost; ``stored`` the previous weights by asset, if any.
+    """
+    old = None
+    problem = box_problem(len(names), line["min_weight"], line["w_max"])
+    if stored is not None:
+        if not set(stored.index) <= set(names):
+            problem = problem or "previous weights hold an asset outside the universe"
+        elif not ((stored >= 0) & (stored <= 1)).all() or abs(stored.sum() - 1.0) > _PREVIOUS_TOLERANCE:
+            problem = problem or "previous weights must be in [0, 1] and sum to 1"
+        old = stored.reindex(names).fillna(0.0).to_numpy(float)
+    if line["optimizer"] not in OPTIMIZERS:
+        problem = problem or f"unknown optimizer {line['optimizer']}"
+    if not (np.isfinite(line["delta"]) and line["delta"] > 0 and np.isfinite(line["cost"]) and line["cost"] >= 0):
+        problem = problem or "delta must be positive and cost not negative"
+    if not np.isfinite(sigma).all() or (line["optimizer"] == "mvu" and not np.isfinite(mu).all()):
+        problem = problem or "mu or covariance not finite"
+    elif not np.allclose(sigma, sigma.T, rtol=0.0, atol=1e-10):
+        problem = problem or "covariance not symmetric"
+    safe = regularized((sigma + sigma.T) / 2) if problem is None else None
+    if problem is None and safe is None:
+        problem = "covariance is indefinite"
+    weights, relaxed, status = None, False, "optimal"
+    if problem is None:
+        low, high = float(line["min_weight"]), float(line["w_max"])
+        if line["optimizer"] == "min_variance":
+            weights = solve(np.zeros(len(names)), safe, None, 2.0, 0.0, low, high)
+        else:
+            weights = solve(mu, safe, old, float(line["delta"]), float(line["cost"]), low, high)
+            if weights is None and old is not None:
+                weights, relaxed, status = solve(mu, safe, None, float(line["delta"]), 0.0, low, high), True, "optimal without turnover"
+        problem = None if weights is not None else "solver did not converge"
+    return None if weights is None else tidy(weights), old, relaxed, status, problem
+
+
 def allocate(
     post: DataFrame,
     recipes: DataFrame,
@@ -109,43 +148,13 @@ def allocate(
         mu = diagonal.loc[names, "mu"].to_numpy(float)
         line = inputs.iloc[0]
         stored = inputs.dropna(subset=["asset"])
-        old = None
-        problem = box_problem(len(names), line["min_weight"], line["w_max"])
-        if len(stored):
-            values = stored.set_index("asset")["weight"].astype(float)
-            if not set(values.index) <= set(names):
-                problem = problem or "previous weights hold an asset outside the universe"
-            elif not ((values >= 0) & (values <= 1)).all() or abs(values.sum() - 1.0) > _PREVIOUS_TOLERANCE:
-                problem = problem or "previous weights must be in [0, 1] and sum to 1"
-            old = values.reindex(names).fillna(0.0).to_numpy(float)
-        if line["optimizer"] not in OPTIMIZERS:
-            problem = problem or f"unknown optimizer {line['optimizer']}"
-        if not (np.isfinite(line["delta"]) and line["delta"] > 0 and np.isfinite(line["cost"]) and line["cost"] >= 0):
-            problem = problem or "delta must be positive and cost not negative"
-        if not np.isfinite(sigma).all() or (line["optimizer"] == "mvu" and not np.isfinite(mu).all()):
-            problem = problem or "mu or covariance not finite"
-        elif not np.allclose(sigma, sigma.T, rtol=0.0, atol=1e-10):
-            problem = problem or "covariance not symmetric"
-        safe = regularized((sigma + sigma.T) / 2) if problem is None else None
-        if problem is None and safe is None:
-            problem = "covariance is indefinite"
-        weights, relaxed, status = None, False, "optimal"
-        if problem is None:
-            low, high = float(line["min_weight"]), float(line["w_max"])
-            if line["optimizer"] == "min_variance":
-                weights = solve(np.zeros(len(names)), safe, None, 2.0, 0.0, low, high)
-            else:
-                weights = solve(mu, safe, old, float(line["delta"]), float(line["cost"]), low, high)
-                if weights is None and old is not None:
-                    weights, relaxed, status = solve(mu, safe, None, float(line["delta"]), 0.0, low, high), True, "optimal without turnover"
-            problem = None if weights is not None else "solver did not converge"
+        values = stored.set_index("asset")["weight"].astype(float) if len(stored) else None
+        weights, old, relaxed, status, problem = one_allocation(names, mu, sigma, line, values)
         if problem is not None:
             group = {b: matrix[b].iloc[0] for b in by}
             if strict:
                 raise ValueError(f"allocation {group}: {problem}")
             weights, status = np.full(len(names), np.nan), f"invalid: {problem}"
-        else:
-            weights = tidy(weights)
         frame = pd.DataFrame({"asset": names, "weight": weights})
         frame["prev_weight"] = old if old is not None else np.nan
         frame["turnover"] = np.abs(weights - old) if old is not None else 0.0

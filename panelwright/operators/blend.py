@@ -52,6 +52,17 @@ def view_terms(views: DataFrame, cov: DataFrame, by: list[str], tau: float = TAU
     )
 
 
+def blended(s: np.ndarray, pi: np.ndarray, view_mu: np.ndarray, omega: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mean and matrix of one portfolio; an asset without a view has no ``omega``."""
+    seen = ~np.isnan(omega)
+    m, spread = pi.copy(), tau * s
+    if seen.any():
+        gain = np.linalg.solve(tau * s[np.ix_(seen, seen)] + np.diag(omega[seen]), tau * s[seen, :])
+        m = pi + gain.T @ (view_mu[seen] - pi[seen])
+        spread = tau * s - tau * s[:, seen] @ gain
+    return m, s + (spread + spread.T) / 2
+
+
 def posterior(cov: DataFrame, prior: DataFrame, terms: DataFrame, by: list[str], tau: float = TAU) -> DataFrame:
     """``(by, asset_i, asset_j, cov, mu)`` per group; ``mu`` is set on the diagonal.
 
@@ -70,13 +81,7 @@ def posterior(cov: DataFrame, prior: DataFrame, terms: DataFrame, by: list[str],
         s = (s + s.T) / 2
         lines = assets.set_index("asset").loc[names]
         pi = lines["prior_mu"].to_numpy(float)
-        seen = lines["omega"].notna().to_numpy()
-        m, spread = pi.copy(), tau * s
-        if seen.any():
-            gain = np.linalg.solve(tau * s[np.ix_(seen, seen)] + np.diag(lines["omega"].to_numpy(float)[seen]), tau * s[seen, :])
-            m = pi + gain.T @ (lines["view_mu"].to_numpy(float)[seen] - pi[seen])
-            spread = tau * s - tau * s[:, seen] @ gain
-        total = s + (spread + spread.T) / 2
+        m, total = blended(s, pi, lines["view_mu"].to_numpy(float), lines["omega"].to_numpy(float), tau)
         i, j = np.meshgrid(names, names, indexing="ij")
         mu = np.full(total.shape, np.nan)
         np.fill_diagonal(mu, m)
