@@ -295,6 +295,13 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN date <= DATE '2000-12-31' THEN volume END AS volume FROM sprices"""))
     add("append_prices", build("SELECT asset, date, adj_close, CASE WHEN date <= DATE '2000-12-31' THEN volume END AS volume FROM sprices"))
     add("high_watermark", build("SELECT asset, max(date) AS max_date FROM sprices GROUP BY 1 UNION ALL SELECT asset, NULL FROM ghosts"))
+    early = """SELECT asset, date, CASE WHEN date >= DATE '2000-07-01' THEN adj_close * 2 ELSE adj_close END AS adj_close,
+      CASE WHEN date <= DATE '2000-12-31' THEN volume END AS volume FROM sprices"""
+    late = """SELECT asset, date, CASE WHEN asset LIKE '%7' AND date >= DATE '2000-12-01' THEN p.adj_close * 0.7 ELSE e.adj_close END AS adj_close,
+      CASE WHEN asset LIKE '%7' AND date >= DATE '2000-12-01' THEN p.volume ELSE e.volume END AS volume FROM early e JOIN sprices p USING (asset, date)"""
+    kept = {"early": early, "late": late}
+    add("store_snapshot", build("SELECT 'early' AS version, asset, date, adj_close, volume FROM early UNION ALL SELECT 'late', asset, date, adj_close, volume FROM late", kept))
+    add("store_marks", build("SELECT asset, max_date, date, adj_close FROM late JOIN (SELECT asset, max(date) AS max_date FROM late GROUP BY 1) USING (asset) WHERE date >= max_date - 10", kept))
     add("incremental_prices", build("""SELECT asset, date, adj_close FROM sprices LEFT JOIN (SELECT asset, max(date) AS m FROM sstored GROUP BY 1) USING (asset) WHERE m IS NULL OR date >= m - 10"""))
     add("incremental_macro", build("""SELECT series_id, obs_date, round(value, 4) AS value FROM macro LEFT JOIN (
       SELECT series_id, max(obs_date) AS m FROM macro WHERE obs_date <= DATE '1998-06-30' AND series_id <> '5-LOW' GROUP BY 1) USING (series_id) WHERE m IS NULL OR obs_date > m"""))
@@ -364,7 +371,36 @@ def oracle_sql() -> dict[str, str]:
     add("bl_posterior", build(REPORT.format(key="CAST(m6.g AS BIGINT)", name="group_id", d=7, terms="terms"), one))
     add("bl_posterior_cov", build("SELECT asset_i, asset_j, round((a.cov + b.cov) / 2, 8) AS cov FROM post a JOIN (SELECT asset_j AS asset_i, asset_i AS asset_j, cov FROM post) b USING (asset_i, asset_j)", one))
     add("recipe_posteriors", build(REPORT.format(key="CAST(m6.g AS BIGINT)", name="config_id", d=6, terms="recipe_terms"), posterior_ctes("recipe_groups", "recipe_terms")))
+    customers = {
+        "recipes": """SELECT CAST(c_custkey AS BIGINT) AS g, 21.0 + (c_custkey % 200) * 0.75 AS h, CAST(c_nationkey % 7 + 1 AS BIGINT) AS scenario_id,
+          CASE WHEN c_custkey % 5 = 0 THEN 'fracdiff_macro' ELSE 'basic' END AS feature_set FROM customer WHERE c_custkey % 11 <> 0""",
+        "slots": "SELECT DISTINCT CAST(h AS DOUBLE) AS h FROM recipes WHERE scenario_id = 1",
+        "slot_mu": """SELECT h, asset, date, pos, n, log_return, 21 * sum(log_return * pow(2.0, pos / h)) OVER w / sum(pow(2.0, pos / h)) OVER w AS mu FROM prices_r, slots
+          WINDOW w AS (PARTITION BY h, asset ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        "slot_error": """SELECT h, asset, date, pos, n, mu, lag(mu, 21) OVER w - sum(log_return) OVER (PARTITION BY h, asset ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS e
+          FROM slot_mu WINDOW w AS (PARTITION BY h, asset ORDER BY date)""",
+        "slot_last": """SELECT h, asset, max_by(date, pos) AS as_of, max_by(mu, pos) AS mu, stddev_samp(CASE WHEN pos >= 42 THEN e END) AS sigma FROM slot_error GROUP BY 1, 2""",
+        "customer_views": """SELECT g, asset, mu, sigma FROM recipes r JOIN slot_last s ON s.h = r.h WHERE scenario_id = 1 UNION ALL
+          SELECT g, asset, mu, sigma FROM recipes JOIN past_views USING (scenario_id) UNION ALL
+          SELECT g, asset, mu, sigma FROM recipes JOIN written_views USING (scenario_id)""",
+        "customer_terms": terms_of("customer_views", "g,"),
+        "customer_groups": "SELECT g FROM recipes",
+    }
+    add("customer_posteriors", build(REPORT.format(key="m6.g", name="config_id", d=6, terms="customer_terms"), {**customers, **posterior_ctes("customer_groups", "customer_terms")}))
+    add("customer_forecasts", build("""SELECT g AS config_id, asset, as_of, 21 AS horizon_days, 'ewma:' || CAST(CAST(r.h AS DOUBLE) AS VARCHAR) AS model_version, round(mu, 8) AS mu, round(sigma, 8) AS sigma
+      FROM recipes r JOIN slot_last s ON s.h = r.h WHERE scenario_id = 1""", customers))
+    add("customer_rejects", "SELECT CAST(c_custkey AS BIGINT) AS config_id, 'unknown forecaster unheard' AS problem FROM customer WHERE c_custkey % 11 = 0")
+    plain = """SELECT asset, name, value FROM (SELECT asset, max_by(log_return, date) AS log_return, max_by(realized_vol, date) AS realized_vol FROM {0} GROUP BY 1)
+      UNPIVOT (value FOR name IN (log_return, realized_vol))"""
+    sets = {
+        "basic_values": plain.format("pfeatures"),
+        "macro_values": plain.format("jfeatures") + """ UNION ALL SELECT asset, series_id, value FROM (SELECT asset, max(date) AS date FROM jfeatures GROUP BY 1) JOIN macro_at USING (date)""",
+    }
+    add("customer_features", build("""SELECT g AS config_id, asset, name, round(value, 4) AS value FROM recipes JOIN basic_values ON feature_set = 'basic' UNION ALL
+      SELECT g, asset, name, round(value, 4) FROM recipes JOIN macro_values ON feature_set <> 'basic'""", {**customers, **sets, "macro_at": asof_sql("jfeatures")}))
     add("historical_views", build(f"SELECT CAST(scenario_id AS BIGINT) AS scenario_id, asset, round(mu, 8) AS mu, round(sigma, 8) AS sigma FROM ({historical_of('sprices_r')})"))
+    add("order_views", build("""SELECT CAST(o_orderkey AS BIGINT) AS scenario_id, asset, round(avg(log_return) * 21, 8) AS mu, round(greatest(stddev_samp(log_return) * sqrt(21), 1e-8), 8) AS sigma
+      FROM bprices_r JOIN orders ON date BETWEEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 700 AS INTEGER) AND CAST(o_orderdate AS DATE) GROUP BY 1, 2 HAVING count(*) >= 2"""))
     scores = ", ".join(f"({k}, {z_of(c)!r})" for k, c in enumerate(SUPPLIER_CONFIDENCES))
     assets = ", ".join(f"({k}, '{a}')" for k, a in enumerate(ASSETS))
     add(

@@ -140,7 +140,7 @@ def allocate(
 
     def run(matrix: pd.DataFrame, inputs: pd.DataFrame) -> pd.DataFrame:
         if matrix.empty or inputs.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
         wide = matrix.pivot(index="asset_i", columns="asset_j", values="cov")
         names = wide.index.to_numpy()
         sigma = wide.loc[names, names].to_numpy(float)

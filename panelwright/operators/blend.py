@@ -74,7 +74,7 @@ def posterior(cov: DataFrame, prior: DataFrame, terms: DataFrame, by: list[str],
 
     def blend(matrix: pd.DataFrame, assets: pd.DataFrame) -> pd.DataFrame:
         if matrix.empty or assets.empty:
-            return pd.DataFrame({c: [] for c in [*by, "asset_i", "asset_j", "cov", "mu"]})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in [*by, "asset_i", "asset_j", "cov", "mu"]})
         wide = matrix.pivot(index="asset_i", columns="asset_j", values="cov")
         names = wide.index.to_numpy()
         s = wide.loc[names, names].to_numpy(float)

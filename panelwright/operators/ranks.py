@@ -1,45 +1,22 @@
 """Exact ranks and nearest-rank percentiles without sorting a group in one task.
 
-Equal values are first collapsed to counts. Values then fall into buckets bounded by global
-quantiles, so even a group holding most rows is spread over all buckets; the buckets only decide
-where work happens, the ranks are exact whatever the bounds are.
+Equal values are first collapsed to counts, which are then dealt over range partitions of (group, value): a group with
+most rows is spread, and a thousand groups with ranges of their own are too.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import correlation
-
-BUCKETS = 32
+from panelwright.operators.ranged import running_sums
 
 
-def value_counts(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """``(by, value, _c, _bucket, _before)``: count of each value and of all smaller values in its group."""
-    bounds = df.select(
-        F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000))
-    ).scalar()
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(by, value, _c, _before, _total)``: count of each value, of all smaller ones in its group, and of the group."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    passed = [F.when(F.col("_bounds")[i] < F.col(value), 1).otherwise(0) for i in range(buckets - 1)]
-    counts = counts.withColumn("_bounds", bounds).withColumn("_bucket", reduce(lambda a, b: a + b, passed)).drop("_bounds")
-    totals = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_t"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *by,
-        "_bucket",
-        F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_t").over(Window.partitionBy(*by)).alias("_total"),
-    )
-    smaller = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = counts.withColumn("_smaller", F.coalesce(F.sum("_c").over(smaller), F.lit(0)))
-    return (
-        local.join(totals, [*by, "_bucket"])
-        .withColumn("_before", F.col("_offset") + F.col("_smaller"))
-        .drop("_bucket", "_offset", "_smaller")
-    )
+    return running_sums(counts, by, [value], "_c")
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:

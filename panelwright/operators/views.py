@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import HORIZON_BARS, SIGMA_FLOOR
 from panelwright.functions.scalars import horizon_mean, horizon_sigma, json_object
+from panelwright.operators.moment_tree import window_moments
 from panelwright.session import unite
 
 KINDS = ("forecast", "historical", "counterfactual")
@@ -48,45 +49,15 @@ def historical_views(
 ) -> DataFrame:
     """Mean and deviation of each asset's returns inside each scenario's window, on the H-day scale.
 
-    Returns are first reduced to moments per (asset, segment), where segments are cut at the window
-    bounds, so a row is never copied once per scenario; each window then merges its segments.
+    Windows are put together from a tree of moments over power-of-two date ranges, so neither a return row nor a
+    plan grows with the number of scenarios.
     """
-    bounds = windows.select(
-        F.collect_set("window_start").alias("_s"), F.collect_set(F.date_add("window_end", 1)).alias("_e")
-    ).select(F.array_sort(F.array_distinct(F.concat("_s", "_e")))).scalar()
-    cut = returns.withColumn("_cuts", bounds).withColumn(
-        "_segment", F.array_max(F.filter("_cuts", lambda c: c <= F.col(order)))
-    )
-    parts = cut.groupBy(key, "_segment").agg(
-        F.count(ret).alias("_k"), F.avg(ret).alias("_m"), (F.var_pop(ret) * F.count(ret)).alias("_v")
-    )
-    segments = windows.withColumn("_cuts", bounds).withColumn(
-        "_segment",
-        F.explode(
-            F.concat(
-                F.when(F.col("window_start").isNull(), F.array(F.lit(None).cast("date"))).otherwise(F.array().cast("array<date>")),
-                F.filter(
-                    "_cuts",
-                    lambda c: (F.col("window_start").isNull() | (c >= F.col("window_start")))
-                    & (F.col("window_end").isNull() | (c <= F.col("window_end"))),
-                ),
-            )
-        ),
-    )
-    spans = segments.select(scenario, F.col("_segment").alias("_seg"))
-    joined = parts.join(spans, F.col("_segment").eqNullSafe(F.col("_seg")))
-    moments = joined.groupBy(scenario, key).agg(
-        F.sum("_k").alias("n"),
-        (F.sum(F.col("_k") * F.col("_m")) / F.sum("_k")).alias("_mean"),
-        F.sum("_v").alias("_within"),
-        F.sum(F.col("_k") * F.col("_m") * F.col("_m")).alias("_square"),
-    )
-    between = F.greatest(F.col("_square") - F.col("n") * F.col("_mean") * F.col("_mean"), F.lit(0.0))
-    deviation = F.sqrt((F.col("_within") + between) / (F.col("n") - 1))
+    moments = window_moments(returns, windows, scenario, key, order, ret)
+    deviation = F.sqrt(F.col("square") / (F.col("n") - 1))
     return moments.filter("n >= 2").select(
         scenario,
         key,
-        (F.col("_mean") * HORIZON_BARS).alias("mu"),
+        (F.col("mean") * HORIZON_BARS).alias("mu"),
         F.greatest(deviation * math.sqrt(HORIZON_BARS), F.lit(SIGMA_FLOOR)).alias("sigma"),
     )
 

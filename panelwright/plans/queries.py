@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.defaults import OVERLAP_DAYS
 from panelwright.functions.scalars import annualize_mean, annualize_vol, confidence, json_error, json_object
 from panelwright.operators import (
     allocate as al,
@@ -26,12 +28,13 @@ from panelwright.operators import (
     windows as win,
 )
 from panelwright.operators.ewma import ewma_forecast, latest_forecast
-from panelwright.plans.recipes import run_recipes
-from panelwright.plans.registry import Recipe, known_keys
+from panelwright.plans.recipe_table import recipe_features, recipe_settings, run_recipe_table
+from panelwright.plans.registry import Recipe, known_keys, recipe_rows
 from panelwright.plans.walk_forward import evaluation_frame, joint_positions, ridge_latest, ridge_walk_forward
-from panelwright.session import durable, unite
+from panelwright.session import durable, stored_folder, unite
 from panelwright.sources import derived as src
 from panelwright.sources.panel_store import normalize_bars, slice_panel
+from panelwright.sources.versioned import Store
 from panelwright.streaming import ewma_state, price_ingest
 from panelwright.streaming.bars import tick_bars
 
@@ -146,6 +149,37 @@ def upsert_prices(spark, sf):
     return ing.upsert(stored, updates, ["asset", "date"])
 
 
+def _stored_versions(spark, sf):
+    """A store holding the early history, then an upsert of later prices, compacted, then rows of one ending rebased."""
+    panel, stored, updates = _split_store(spark, sf)
+    store = Store(spark, f"{stored_folder(spark)}")
+    store.declare("prices", stored, ["asset", "date"], "date")
+    store.commit({"prices": stored}, unique=True)
+    store.commit({"prices": updates})
+    store.compact("prices")
+    early = store.snapshot("prices")
+    rebased = panel.filter(F.col("asset").endswith("7") & (F.col("date") >= F.lit("2000-12-01").cast("date")))
+    store.commit({"prices": rebased.withColumn("adj_close", F.col("adj_close") * 0.7)})
+    return early, store.snapshot("prices")
+
+
+@query
+def store_snapshot(spark, sf):
+    """The newest version and the one before it, read from base files and deltas."""
+    early, late = _stored_versions(spark, sf)
+    return unite(early.read().withColumn("version", F.lit("early")), late.read().withColumn("version", F.lit("late")))
+
+
+@query
+def store_marks(spark, sf):
+    """Newest date per key and the rows of the overlap, from the listings and the newest files alone."""
+    _, late = _stored_versions(spark, sf)
+    marks = late.marks().select("asset", "max_date")
+    oldest = marks.agg(F.min("max_date")).first()[0]
+    recent = late.read(low=oldest - timedelta(days=OVERLAP_DAYS)) if oldest else late.read()
+    return recent.join(marks, "asset").filter(F.col("date") >= F.date_sub("max_date", OVERLAP_DAYS)).select("asset", "max_date", "date", "adj_close")
+
+
 @query
 def append_prices(spark, sf):
     panel, stored, _ = _split_store(spark, sf)
@@ -460,6 +494,16 @@ def historical_views(spark, sf):
     return rounded(vw.historical_views(rt.log_returns(src.supplier_prices(spark, sf)), windows), mu=8, sigma=8)
 
 
+@query
+def order_views(spark, sf):
+    """A window per order, thousands of them, over one asset per brand."""
+    day = F.col("o_orderdate").cast("date")
+    windows = src.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("long").alias("scenario_id"), F.date_sub(day, (F.col("o_orderkey") % 700).cast("int")).alias("window_start"), day.alias("window_end")
+    )
+    return rounded(vw.historical_views(rt.log_returns(src.brand_prices(spark, sf)), windows), mu=8, sigma=8)
+
+
 @query
 def counterfactual_views(spark, sf):
     return rounded(vw.counterfactual_views(scenarios(spark), universe(src.prices(spark, sf))), mu=10, sigma=8)
@@ -489,9 +533,39 @@ def _recipes() -> list[Recipe]:
     ]
 
 
-def _batch(spark, sf):
+def _batch(spark, sf, **how):
+    prices = durable(src.prices(spark, sf))
+    return run_recipe_table(prices, recipe_rows(spark, _recipes()), scenarios(spark), universe(prices), _benchmark(prices), **how)
+
+
+def _customer_batch(spark, sf, **how):
+    """A recipe per customer, with the weights of its latest run as the previous ones."""
     prices = durable(src.prices(spark, sf))
-    return run_recipes(prices, _recipes(), scenarios(spark), KINDS, universe(prices), _benchmark(prices))
+    return run_recipe_table(prices, src.recipes(spark, sf), scenarios(spark), universe(prices), _benchmark(prices), allocations=False, on_invalid="quarantine", **how)
+
+
+@query
+def customer_posteriors(spark, sf):
+    """Hundreds of recipes read from a table: their halflives share one pass, their matrix is never copied."""
+    names = ("prior_mu", "view_mu", "view_confidence", "omega", "posterior_mu", "posterior_sigma", "tilt")
+    return rounded(_customer_batch(spark, sf)["posteriors"], **{n: 6 for n in names})
+
+
+@query
+def customer_forecasts(spark, sf):
+    return rounded(_customer_batch(spark, sf)["forecasts"], mu=8, sigma=8)
+
+
+@query
+def customer_features(spark, sf):
+    macro = asof.available_date(src.macro(spark, sf), src.MACRO_LAGS)
+    settings, _ = recipe_settings(src.recipes(spark, sf), scenarios(spark), "quarantine")
+    return rounded(recipe_features(durable(src.prices(spark, sf)), durable(settings), macro), value=4)
+
+
+@query
+def customer_rejects(spark, sf):
+    return recipe_settings(src.recipes(spark, sf), scenarios(spark), "quarantine")[1]
 
 
 @query

@@ -17,6 +17,7 @@ from panelwright.operators.returns import log_returns
 from panelwright.operators.views import counterfactual_views, historical_views, parse_windows
 from panelwright.plans.registry import Recipe, resolve
 from panelwright.session import durable, unite
+from panelwright.sources.versioned import Prepared, Store
 
 GROUP = ["config_id"]
 
@@ -118,3 +119,53 @@ def publish_run(spark: SparkSession, root: str, run_id: int, config_id: int, sta
         "run_id long, config_id long, status string, trig string, started_at timestamp_ntz, finished_at timestamp_ntz, error_text string",
     ).coalesce(1).write.mode("append").parquet(f"{root}/runs")
     return status
+
+
+RUN_KEYS = {
+    "features": ["run_id", "asset", "name"],
+    "forecasts": ["run_id", "asset"],
+    "posteriors": ["run_id", "asset"],
+    "target_weights": ["run_id", "asset"],
+    "run_stages": ["run_id", "stage"],
+    "runs": ["run_id"],
+}
+
+
+def publish_versioned(store: Store, run_id: int, config_id: int, stages: dict, trig: str = "manual") -> str:
+    """``publish_run`` into a versioned store: outputs and ledger rows of a run become visible in one version.
+
+    Each stage's tables are written as soon as it ends but named by no version until all have succeeded; a failed
+    run publishes its ledger rows only. Tables are declared when first met; their keys are ``RUN_KEYS``, or the run
+    and the first column.
+    """
+    started, records, parts, status, error = _now(), [], [], "ok", None
+
+    def prepared(tables: dict[str, DataFrame]) -> Prepared:
+        known = store.manifest()["tables"]
+        tables = {n: (df if "run_id" in df.columns else df.select(F.lit(run_id).cast("long").alias("run_id"), "*")) for n, df in tables.items()}
+        for name, df in tables.items():
+            if name not in known:
+                store.declare(name, df, RUN_KEYS.get(name, ["run_id", df.columns[1]]))
+        return store.prepare(tables)
+
+    for name in [s for s in STAGES if s in stages]:
+        begun = _now()
+        try:
+            outputs, detail = stages[name]()
+            parts.append(prepared(outputs))
+            skipped = bool(detail.get("skip"))
+            records.append((run_id, name, "skipped" if skipped else "ok", begun, _now(), json.dumps(detail, sort_keys=True, default=str)))
+            if skipped:
+                status = "skipped"
+                break
+        except Exception as problem:  # the ledger must record any failure
+            status, error, parts = "error", f"{name}: {type(problem).__name__}: {problem}", []
+            records.append((run_id, name, "error", begun, _now(), json.dumps({"error": error})))
+            break
+    lines = store.spark.createDataFrame(records, "run_id long, stage string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, detail_json string")
+    run = store.spark.createDataFrame(
+        [(run_id, config_id, status, trig, started, _now(), error)],
+        "run_id long, config_id long, status string, trig string, started_at timestamp_ntz, finished_at timestamp_ntz, error_text string",
+    )
+    store.publish([*parts, prepared({"run_stages": lines, "runs": run})])
+    return status

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -150,6 +151,12 @@ def resolve(recipe: Recipe, kind: str, forecaster_override: Callable | None = No
     return Stack(features, forecaster, view_kind, optimizer, settings)
 
 
+def recipe_rows(spark: SparkSession, recipes: list[Recipe]) -> DataFrame:
+    """Recipes written in code as rows, for ``recipe_table``."""
+    rows = [(r.config_id, r.name, r.feature_set, r.forecaster, r.scenario_id, r.optimizer, json.dumps({k: dict(v) for k, v in r.params.items()})) for r in recipes]
+    return spark.createDataFrame(rows, "config_id long, name string, feature_set string, forecaster string, scenario_id long, optimizer string, params_json string")
+
+
 def manifest(spark: SparkSession) -> DataFrame:
     """Every registered stage and parameter as rows."""
     rows = [

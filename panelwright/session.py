@@ -67,12 +67,18 @@ def durable(df: DataFrame) -> DataFrame:
     repeats the work behind it. (A Dataset checkpoint would compute the frame twice.)
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/panelwright-{uuid.uuid4().hex}"
-    _stored.append(path)
+    path = stored_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that ``release`` deletes with the stored frames."""
+    path = f"{shared_folder(spark)}/panelwright-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
 def stored_mark() -> int:
     """A point in the list of stored frames, to release only what is stored after it."""
     return len(_stored)

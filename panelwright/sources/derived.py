@@ -89,6 +89,20 @@ def configs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def recipes(spark: SparkSession, folder: str) -> DataFrame:
+    """One recipe per customer with its own halflife; every eleventh names a forecaster nobody registered."""
+    c = table(spark, folder, "customer")
+    halflife = F.lit(21.0) + (F.col("c_custkey") % 200) * 0.75
+    return c.select(
+        F.col("c_custkey").cast("long").alias("config_id"),
+        F.when(F.col("c_custkey") % 5 == 0, "fracdiff_macro").otherwise("basic").alias("feature_set"),
+        F.when(F.col("c_custkey") % 11 == 0, "unheard").otherwise("ewma").alias("forecaster"),
+        (F.col("c_nationkey") % 7 + 1).cast("long").alias("scenario_id"),
+        F.when(F.col("c_custkey") % 2 == 0, "min_variance").otherwise("mvu").alias("optimizer"),
+        F.to_json(F.struct(F.struct(halflife.alias("halflife")).alias("forecaster"))).alias("params_json"),
+    )
+
+
 def run_stages(spark: SparkSession, folder: str) -> DataFrame:
     """A stage per distinct line of an order; the seventh line is a stage no run requires."""
     names = F.array(*[F.lit(s) for s in (*STAGES, "notify")])

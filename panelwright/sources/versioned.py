@@ -34,6 +34,15 @@ class Conflict(RuntimeError):
     """Another writer committed the version this one was made for."""
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """Segments by table that were written for a version but not published."""
+
+    version: int
+    segments: dict[str, str]
+    whole: bool
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """One table at one version."""
@@ -239,17 +248,9 @@ class Store:
         keys, absent = snapshot.table["keys"], [c for c in snapshot.columns if c not in rows.columns]
         return rows.join(snapshot.read().select(*keys, *absent), keys, "left").select(*snapshot.columns)
 
-    def commit(self, changes: dict[str, DataFrame], batch: tuple[str, int] | None = None, unique: bool = False) -> int:
-        """Upsert rows into tables, all in one version; returns it.
-
-        Rows replace stored ones of the same key; columns they lack keep the stored value. A key that occurs twice
-        stops the job (``unique=True`` skips that check), unknown columns are refused. ``batch`` names a stream and
-        its batch: a batch that is already in changes nothing and gives the version that has it.
-        """
-        now = self.manifest()
-        if batch and (done := self.batch(*batch, manifest=now)):
-            return done["version"]
-        written, whole = {}, True
+    def prepare(self, changes: dict[str, DataFrame], unique: bool = False) -> Prepared:
+        """Write rows as segments that no version names yet, to be published later, alone or with others."""
+        now, written, whole = self.manifest(), {}, True
         for name, rows in changes.items():
             snapshot = self.snapshot(name, now["version"])
             if strange := [c for c in rows.columns if c not in snapshot.columns]:
@@ -259,21 +260,37 @@ class Store:
             if len(rows.columns) < len(snapshot.columns):
                 rows, whole = self._filled(rows, snapshot), False
             written[name] = self._write(rows, snapshot.table, unique)
+        return Prepared(now["version"], written, whole)
+
+    def publish(self, parts: list[Prepared], batch: tuple[str, int] | None = None) -> int:
+        """Make prepared segments visible in one new version, later parts over earlier ones; returns the version."""
         for left in range(TRIES, 0, -1):
-            tables = {n: {**t, "deltas": [*t["deltas"], *([written[n]] if n in written else [])]} for n, t in now["tables"].items()}
+            now = self.manifest()
+            if batch and (done := self.batch(*batch, manifest=now)):
+                return done["version"]
+            if any(not p.whole and p.version != now["version"] for p in parts):
+                raise Conflict("rows filled up from an older version can't follow a newer one")
+            tables = {n: {**t, "deltas": [*t["deltas"], *[p.segments[n] for p in parts if n in p.segments]]} for n, t in now["tables"].items()}
             entry = {batch[0]: {"id": batch[1], "version": now["version"] + 1, "parent": now["version"]}} if batch else {}
             try:
                 self._publish({"version": now["version"] + 1, "tables": tables, "batches": {**now["batches"], **entry}})
                 return now["version"] + 1
             except Conflict:
-                # Whole rows can follow any version; rows filled from an older one can't.
-                if left == 1 or not whole:
+                if left == 1:
                     raise
-                now = self.manifest()
-                if batch and (done := self.batch(*batch, manifest=now)):
-                    return done["version"]
         raise AssertionError("unreachable")
 
+    def commit(self, changes: dict[str, DataFrame], batch: tuple[str, int] | None = None, unique: bool = False) -> int:
+        """Upsert rows into tables, all in one version; returns it.
+
+        Rows replace stored ones of the same key; columns they lack keep the stored value. A key that occurs twice
+        stops the job (``unique=True`` skips that check), unknown columns are refused. ``batch`` names a stream and
+        its batch: a batch that is already in changes nothing and gives the version that has it.
+        """
+        if batch and (done := self.batch(*batch)):
+            return done["version"]
+        return self.publish([self.prepare(changes, unique)], batch)
+
     def batch(self, stream: str, batch_id: int, manifest: dict | None = None) -> dict | None:
         """Version and parent version of a stream's batch, if it is in."""
         found = (manifest or self.manifest())["batches"].get(stream)

@@ -141,3 +141,46 @@ def test_changing_the_future_changes_no_earlier_forecast(spark, uneven):
     f2 = ridge_walk_forward(r2, points).filter(early).toPandas().sort_values(["asset", "date"]).reset_index(drop=True)
     assert len(f1) > 20
     pd.testing.assert_frame_equal(f1, f2)
+
+
+def test_ranks_follow_groups_with_ranges_of_their_own(spark):
+    from panelwright.operators.ranks import nearest_rank, spearman
+
+    # A thousand groups of disjoint ranges, and one that holds a third of all rows.
+    small = spark.range(20_000).select((F.col("id") % 1000).alias("g"), ((F.col("id") % 1000) * 1000 + F.pmod(F.hash("id"), F.lit(50))).cast("double").alias("x"))
+    both = small.unionByName(spark.range(10_000).select(F.lit(-1).cast("long").alias("g"), F.pmod(F.hash("id"), F.lit(3000)).cast("double").alias("x")))
+    both = both.withColumn("y", F.pmod(F.hash("x", "g"), F.lit(7)).cast("double"))
+    plain = both.toPandas()
+    got = nearest_rank(both, ["g"], "x", {"p50": 0.5, "p95": 0.95}).toPandas().set_index("g")
+    for g, own in plain.groupby("g"):
+        values = sorted(own["x"])
+        assert (got.p50[g], got.p95[g], got.n[g]) == (values[min(len(values) - 1, int(0.5 * len(values)))], values[min(len(values) - 1, int(0.95 * len(values)))], len(values))
+    some = both.filter("g IN (-1, 5, 77)")
+    ic = {r.g: r.ic for r in spearman(some, ["g"], "x", "y", "ic").collect()}
+    for g, own in plain[plain["g"].isin([-1, 5, 77])].groupby("g"):
+        assert ic[g] == pytest.approx(own["x"].rank().corr(own["y"].rank()), abs=1e-12)
+
+
+def test_windows_from_a_moment_tree_equal_a_scan(spark):
+    import datetime as dt
+
+    from panelwright.operators.moment_tree import LEVELS, window_moments, window_nodes
+
+    day = dt.date(2019, 12, 25)
+    rows = [(a, day + dt.timedelta(days=k), 1e6 + (k * 7919 % 101) / 100 if k % 9 else None) for a in "AB" for k in range(0, 400, 1 if a == "A" else 3)]
+    returns = spark.createDataFrame(rows, "asset string, date date, log_return double")
+    bounds = [(None, None), (0, 0), (5, 4), (3, 3), (-50, 10), (390, 900), (500, 600), (None, 77), (100, None), *[(k, k + 2**j + k % 3) for k in range(0, 40, 7) for j in range(8)]]
+    at = lambda k: None if k is None else day + dt.timedelta(days=k)
+    windows = spark.createDataFrame([(i, at(a), at(b)) for i, (a, b) in enumerate(bounds)], "scenario_id long, window_start date, window_end date")
+    got = {(r.scenario_id, r.asset): (r.n, r["mean"], r.square) for r in window_moments(returns, windows).collect()}
+    want = {}
+    for i, (a, b) in enumerate(bounds):
+        for asset in "AB":
+            x = np.array([v for s, d, v in rows if s == asset and v is not None and (a is None or d >= at(a)) and (b is None or d <= at(b))])
+            if len(x):
+                want[i, asset] = (len(x), x.mean(), ((x - x.mean()) ** 2).sum())
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and np.allclose(got[k][1:], want[k][1:], rtol=1e-9, atol=1e-6) for k in want)
+    nodes = window_nodes(windows, F.lit(1 << 20), F.lit((1 << 20) + 30_000)).groupBy("scenario_id").count().agg(F.max("count")).first()[0]
+    assert nodes <= 2 * LEVELS
+    assert window_moments(returns.limit(0), windows).count() == 0 and window_moments(returns, windows.limit(0)).count() == 0
