@@ -35,6 +35,27 @@ def _fit(gram: np.ndarray, used: list[int]) -> tuple[np.ndarray, np.ndarray, flo
     return beta, inverse, max(float(gram[-1, -1] - b @ beta), 0.0)
 
 
+def nested_ssr(gram: np.ndarray, lags: int) -> np.ndarray | None:
+    """Residual sums of the regressions on constant, level and the first 0..lags differences, from one factorization.
+
+    With the columns in that order each further one lowers the sum by the square of its entry in the solved
+    triangle. None where the columns are too close to dependent for that.
+    """
+    order = [lags + 1, 0, *range(1, lags + 1)]
+    a, b = gram[np.ix_(order, order)], gram[order, -1]
+    scale = np.sqrt(np.diag(a))
+    if not (scale > 0).all():
+        return None
+    try:
+        lower = np.linalg.cholesky(a / np.outer(scale, scale))
+    except np.linalg.LinAlgError:
+        return None
+    if np.diag(lower).min() < 1e-6:
+        return None
+    drops = np.linalg.solve(lower, b / scale) ** 2
+    return np.maximum(gram[-1, -1] - np.cumsum(drops)[1:], 0.0)
+
+
 def p_value(tau: float) -> float:
     if tau > TAU_MAX:
         return 1.0
@@ -51,10 +72,10 @@ def adf_from_moments(gram: np.ndarray, n: int, head: np.ndarray, lags: int) -> f
     whose extra leading rows come from ``head``.
     """
     const = lags + 1
-    best = None
+    best, sums = None, nested_ssr(gram, lags)
     for p in range(lags + 1):
         used = [0, *range(1, p + 1), const]
-        _, _, ssr = _fit(gram, used)
+        ssr = _fit(gram, used)[2] if sums is None else float(sums[p])
         aic = n * math.log(max(ssr, 1e-300) / n) + 2 * len(used)
         if best is None or aic < best[0]:
             best = (aic, p)

@@ -21,12 +21,16 @@ MEMBER_PERCENT = 80
 
 
 def fit_moments(rows: DataFrame, width: int, fits: dict[int, Column], features: str = "context", target: str = "realized_h") -> DataFrame:
-    """``(fit, i, j, v)``: sums of products of ``[features, target, 1]`` over the rows of each fit.
+    """``(fit, i, j, v, cx, cy)``: sums of products of ``[features - cx, target - cy, 1]`` over the rows of each fit.
+
+    ``cx`` and ``cy`` are values met in the rows, so inputs far from zero lose no digits in the squares.
 
     ``fits`` maps a fit id to the condition its rows meet; a row is read once however many fits share
     it. Vectors cross into Python as plain columns, so a batch is a matrix without copying lists.
     """
-    columns = [F.col(features)[i].alias(f"_x{i}") for i in range(width)]
+    near = rows.select(F.struct(F.min(F.col(features)[0]).cast("double").alias("x"), F.min(target).cast("double").alias("y"))).scalar()
+    rows = rows.withColumn("_near", near)
+    columns = [(F.col(features)[i] - F.col("_near.x")).alias(f"_x{i}") for i in range(width)]
     flags = [F.coalesce(condition, F.lit(False)).alias(f"_f{fit}") for fit, condition in fits.items()]
     size, ids = width + 2, list(fits)
 
@@ -41,8 +45,10 @@ def fit_moments(rows: DataFrame, width: int, fits: dict[int, Column], features:
         for fit, gram in totals.items():
             yield pd.DataFrame({"fit": fit, "i": i.ravel(), "j": j.ravel(), "v": gram.ravel()})
 
-    parts = rows.select(*columns, target, *flags).mapInPandas(multiply, "fit long, i int, j int, v double")
-    return parts.groupBy("fit", "i", "j").agg(F.sum("v").alias("v"))
+    shifted = rows.select(*columns, (F.col(target) - F.col("_near.y")).alias(target), *flags)
+    parts = shifted.mapInPandas(multiply, "fit long, i int, j int, v double")
+    sums = parts.groupBy("fit", "i", "j").agg(F.sum("v").alias("v"))
+    return sums.withColumn("_near", near).select("fit", "i", "j", "v", F.col("_near.x").alias("cx"), F.col("_near.y").alias("cy"))
 
 
 def solve_fits(moments: DataFrame, ridge: float, members: int, scaled: bool = True) -> DataFrame:
@@ -77,7 +83,9 @@ def solve_fits(moments: DataFrame, ridge: float, members: int, scaled: bool = Tr
             xx = (gram[:width, :width] / k - np.outer(x, x)) / std**2
             xy = (gram[:width, width] / k - x * y) / std
             w = np.linalg.solve(xx + ridge * np.eye(width), xy)
-            out.append((fold, slot - 1, mean, std, float(y - ((x - mean) / std) @ w), w.tolist()))
+            cx, cy = (float(rows[c].iloc[0]) for c in ("cx", "cy"))
+            # The shifts fall out of the weights; mean and intercept take them back.
+            out.append((fold, slot - 1, mean + (cx if scaled else 0.0), std, float(y + cy - ((x - mean + (0.0 if scaled else cx)) / std) @ w), w.tolist()))
         return pd.DataFrame(out, columns=["fold", "member", "mean", "std", "intercept", "weights"])
 
     keyed = moments.withColumn("fold", F.floor(F.col("fit") / slots))

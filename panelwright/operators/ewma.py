@@ -82,22 +82,22 @@ def _blocked(returns, key, order, ret, halflife, horizon, warmup, block):
     frame, near = arrange(scored, [key], order, back=horizon, rows_per_block=max(block, horizon))
     error = F.lag("mu", horizon).over(near) - F.sum("_r").over(near.rowsBetween(-(horizon - 1), 0))
     errors = frame.withColumn("_e", F.when(F.col("_pos") >= warmup + horizon, error)).filter("_core").drop("_core")
-    sums = errors.groupBy(key, "_blk").agg(
-        F.count("_e").alias("_bk"), F.sum("_e").alias("_bs"), F.sum(F.col("_e") * F.col("_e")).alias("_bq")
-    )
+    # Counts, means and centred squares of the blocks, merged around the key's own level: no square of a far value.
+    sums = errors.groupBy(key, "_blk").agg(F.count("_e").alias("_bk"), F.avg("_e").alias("_bm"), (F.var_pop("_e") * F.count("_e")).alias("_bv"))
+    sums = sums.withColumn("_c", F.coalesce(F.avg("_bm").over(Window.partitionBy(key)), F.lit(0.0))).withColumn("_d", F.coalesce(F.col("_bm") - F.col("_c"), F.lit(0.0)))
     prior = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        key,
-        "_blk",
-        *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(c.replace("_b", "_c")) for c in ("_bk", "_bs", "_bq")],
-    )
+    carried = {"_ck": F.col("_bk"), "_cs": F.col("_bk") * F.col("_d"), "_cq": F.coalesce("_bv", F.lit(0.0)) + F.col("_bk") * F.col("_d") * F.col("_d")}
+    sums = sums.select(key, "_blk", "_c", *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(n) for n, c in carried.items()])
     joined = errors.join(sums, [key, "_blk"])
-    k = F.col("_ck") + F.count("_e").over(_running(near))
-    s = F.col("_cs") + F.coalesce(F.sum("_e").over(_running(near)), F.lit(0.0))
-    q = F.col("_cq") + F.coalesce(F.sum(F.col("_e") * F.col("_e")).over(_running(near)), F.lit(0.0))
-    joined = joined.withColumn("_k", k).withColumn("_s", s).withColumn("_q", q)
-    spread = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k")) / (F.col("_k") - 1)
-    return joined.withColumn("sigma", F.when(F.col("_k") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))))
+    running = _running(near)
+    own = F.count("_e").over(running)
+    joined = joined.withColumn("_lk", own).withColumn("_lm", F.avg("_e").over(running) - F.col("_c")).withColumn("_lv", F.var_pop("_e").over(running) * own)
+    k = F.col("_ck") + F.col("_lk")
+    mean = F.when(F.col("_ck") > 0, F.col("_cs") / F.col("_ck")).otherwise(0.0)
+    before = F.when(F.col("_ck") > 0, F.col("_cq") - F.col("_cs") * mean).otherwise(0.0)
+    gap = F.coalesce("_lm", F.lit(0.0)) - mean
+    square = before + F.coalesce("_lv", F.lit(0.0)) + F.when(k > 0, gap * gap * F.col("_ck") * F.col("_lk") / k).otherwise(0.0)
+    return joined.withColumn("sigma", F.when(k > 1, F.sqrt(F.greatest(square, F.lit(0.0)) / (k - 1))))
 
 
 def ewma_forecast(

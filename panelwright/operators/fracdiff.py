@@ -93,6 +93,36 @@ def fracdiff(
     return out if report is None else (out, report)
 
 
+def spectra(kernels: dict[float, np.ndarray], size: int) -> dict[float, np.ndarray]:
+    return {d: np.fft.rfft(k, size) for d, k in kernels.items()}
+
+
+def convolved(x: np.ndarray, kernels: dict[float, np.ndarray], known: dict[int, dict[float, np.ndarray]] | None = None) -> dict[float, np.ndarray]:
+    """``np.convolve(x, kernel, "valid")`` for every kernel that fits, from one transform of each piece of ``x``.
+
+    Overlap-save: pieces of a power-of-two size, each with the last ``widest - 1`` values before it, so the cost per
+    value is the logarithm of the widest kernel instead of its length. ``known`` keeps kernel transforms by size.
+    """
+    fits = {d: k for d, k in kernels.items() if len(k) <= len(x)}
+    if not fits:
+        return {}
+    known = {} if known is None else known
+    widest = max(map(len, kernels.values()))
+    size = 1 << int(max(min(4 * widest, len(x) + widest), 2) - 1).bit_length()
+    if size not in known:
+        known[size] = spectra(kernels, size)
+    # Differencing at the mean keeps the transform's rounding small against the steps of the series.
+    level = float(x.mean())
+    step = size - widest + 1
+    padded = np.concatenate([np.zeros(widest - 1), x - level, np.zeros(step)])
+    parts: dict[float, list[np.ndarray]] = {d: [] for d in fits}
+    for at in range(0, len(x), step):
+        piece = np.fft.rfft(padded[at : at + size], size)
+        for d in fits:
+            parts[d].append(np.fft.irfft(piece * known[size][d], size)[widest - 1 :])
+    return {d: np.concatenate(p)[len(fits[d]) - 1 : len(x)] + level * fits[d].sum() for d, p in parts.items()}
+
+
 def min_d_search(
     series: DataFrame,
     d_grid: tuple[float, ...] = D_GRID,
@@ -107,8 +137,8 @@ def min_d_search(
     """Smallest grid order whose differenced series passes the unit-root test, per key.
 
     Pass training rows only. Each key block yields the cross-product moments of its regression rows
-    for every order; the moments add up across blocks, and only that small sum reaches the task that
-    chooses the lag and evaluates the test. No task needs a whole series in the blocked layout.
+    for every order, all from one transform of the block; the moments add up across blocks, and only that small sum
+    reaches the task that chooses the lag and evaluates the test. No task needs a whole series in the blocked layout.
     """
     contracts.check_mode(on_invalid)
     kernels = {float(d): np.asarray(ffd_weights(float(d), threshold)) for d in sorted(d_grid)}
@@ -126,19 +156,19 @@ def min_d_search(
         longest = indexed.agg(F.max("_n")).first()[0] or 0
         reach = widest + default_max_lag(max(longest, 1)) + 2
         frame, _ = arrange(indexed, [key], order, back=reach, rows_per_block=max(block, reach))
-    key_type = series.schema[key].dataType.simpleString()
+    key_type, known = series.schema[key].dataType.simpleString(), {}
 
     def moments(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_pos")
         x, pos = rows["_x"].to_numpy(float), rows["_pos"].to_numpy(int)
         core, n = rows["_core"].to_numpy(bool), int(rows["_n"].iloc[0])
-        out = []
+        out, differenced = [], convolved(x, kernels, known)
         for d, kernel in kernels.items():
             terms = len(kernel)
             usable = n - terms + 1
             if usable < MIN_ADF_SAMPLES or len(x) < terms:
                 continue
-            z, at = np.convolve(x, kernel, "valid"), pos[terms - 1 :] - (terms - 1)
+            z, at = differenced[d], pos[terms - 1 :] - (terms - 1)
             own, level = core[terms - 1 :], x[terms - 1 :]
             lags = default_max_lag(usable)
             design = lag_design(z, lags)

@@ -159,3 +159,45 @@ def test_embedding_metrics(spark):
     c = np.cov(x.T)
     assert s["variance_term"] == pytest.approx(np.maximum(0, 1 - np.sqrt(x.var(axis=0) + 1e-4)).mean(), rel=1e-9)
     assert s["covariance_term"] == pytest.approx(((c - np.diag(np.diag(c))) ** 2).sum() / 6, rel=1e-9)
+
+
+def test_fits_and_spectra_do_not_change_far_from_zero(spark):
+    from panelwright.operators.challenger import fit_moments, solve_fits
+    from panelwright.operators.embeddings import collapse_metrics, regularity_scores
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    y = x @ np.arange(6) + rng.normal(size=400)
+    found = []
+    for shift in (0.0, 2.0**20):
+        rows = spark.createDataFrame([(i % 2, (v + shift).tolist(), float(t + shift)) for i, (v, t) in enumerate(zip(x, y))], "g long, context array<double>, realized_h double")
+        fits = {0: F.lit(True), 1: F.col("g") == 0}
+        (model,) = solve_fits(fit_moments(rows, 6, fits), 0.1, 1).collect()
+        metrics = sorted(map(tuple, collapse_metrics(rows, "context", ["g"]).collect())) + sorted(map(tuple, regularity_scores(rows, "context").collect()))
+        found.append((model, metrics))
+    (a, near), (b, far) = found
+    assert np.allclose(a.weights, b.weights, rtol=1e-8) and a.std == pytest.approx(b.std, rel=1e-8)
+    assert a.mean + 2.0**20 == pytest.approx(b.mean, abs=1e-8) and a.intercept + 2.0**20 == pytest.approx(b.intercept, abs=1e-7)
+    assert np.allclose(np.concatenate(near), np.concatenate(far), rtol=1e-8)
+
+
+def test_one_transform_serves_all_orders_and_one_factor_all_lags():
+    from panelwright.functions import stationarity as st
+    from panelwright.operators.fracdiff import convolved
+
+    rng, known = np.random.default_rng(3), {}
+    kernels = {d: np.asarray(ffd_weights(d, 1e-4)) for d in (0.0, 0.05, 0.35, 0.8, 1.0)}
+    for n in (1, 2, 90, 1000, 9000):
+        x = np.cumsum(rng.normal(size=n)) * 0.01 + 7
+        got = convolved(x, kernels, known)
+        assert set(got) == {d for d, k in kernels.items() if len(k) <= n}
+        assert all(np.abs(z - np.convolve(x, kernels[d], "valid")).max() < 1e-10 for d, z in got.items())
+    z = np.cumsum(rng.normal(size=500))
+    design = st.lag_design(z, 12)
+    sums = st.nested_ssr(design.T @ design, 12)
+    for p in range(13):
+        used = design[:, [0, *range(1, p + 1), 13]]
+        beta = np.linalg.lstsq(used, design[:, -1], rcond=None)[0]
+        assert sums[p] == pytest.approx(((design[:, -1] - used @ beta) ** 2).sum(), rel=1e-9)
+    flat = st.lag_design(np.ones(50), 2)
+    assert st.nested_ssr(flat.T @ flat, 2) is None
