@@ -31,8 +31,8 @@ def box_feasibility(groups: DataFrame, by: list[str]) -> DataFrame:
 
 def expand_previous(previous: DataFrame, universe: DataFrame, by: list[str]) -> DataFrame:
     """Stored weights filled with zeros over the universe, with the reason a group's weights are unusable."""
-    everyone = universe.select(F.collect_set("asset")).scalar()
-    grid = previous.select(*by).distinct().withColumn("asset", F.explode(everyone))
+    # Every group times every asset is the result; which side is sent around is left to Spark's size check.
+    grid = previous.select(*by).distinct().crossJoin(universe.select("asset").distinct())
     filled = grid.join(previous.select(*by, "asset", "weight"), [*by, "asset"], "left").select(
         *by, "asset", F.coalesce("weight", F.lit(0.0)).alias("prev_weight")
     )

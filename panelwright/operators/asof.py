@@ -60,8 +60,11 @@ def asof_join(
     a table with one row per bucket, so a long series is never sorted in one task.
     """
     wanted = dates.select(date).distinct()
-    names = macro.select(F.collect_set(series)).scalar() if series_ids is None else F.array(*[F.lit(s) for s in series_ids])
-    grid = wanted.withColumn(series, F.explode(names))
+    # Every date times every series is the result; a given list rides along as a literal.
+    if series_ids is None:
+        grid = wanted.crossJoin(macro.select(series).filter(F.col(series).isNotNull()).distinct())
+    else:
+        grid = wanted.withColumn(series, F.explode(F.array(*[F.lit(s) for s in series_ids])))
     match = F.struct(F.col(value).alias("value"))
     right = macro.select(
         F.col(series), F.col(available).alias("_ts"), F.lit(0).alias("_side"), F.col(obs).alias("_obs"), match.alias("_match")

@@ -81,12 +81,15 @@ def eval_points(
     return tests.filter(inside).drop("role", "test_start")
 
 
-def leakage_audit(folds: DataFrame, horizon: int = HORIZON_BARS) -> DataFrame:
-    """``(fold, reason)`` for every fold that is empty, leaks, or is out of order. Empty means clean."""
-    from pyspark.sql import Window
+def leakage_audit(folds: DataFrame, horizon: int = HORIZON_BARS, by: list[str] | None = None) -> DataFrame:
+    """``(by, fold, reason)`` for every fold that is empty, leaks, or is out of order. Empty means clean.
 
-    last_test = F.lag(F.col("test_end") - 1).over(Window.orderBy("fold"))  # one row per fold
-    checked = folds.withColumn("_previous", last_test)
+    Folds are numbered in steps of one; each is held against the one before it in its own panel (``by``), which a join
+    finds, so the folds of many panels are not ordered in one task.
+    """
+    by = by or []
+    before = folds.select(*by, (F.col("fold") + 1).alias("fold"), (F.col("test_end") - 1).alias("_previous"))
+    checked = folds.join(before, [*by, "fold"], "left")
     reasons = F.array_compact(
         F.array(
             F.when(F.col("train_end") <= F.col("train_start"), F.lit("train is empty")),
@@ -95,7 +98,7 @@ def leakage_audit(folds: DataFrame, horizon: int = HORIZON_BARS) -> DataFrame:
             F.when(F.col("test_start") <= F.col("_previous"), F.lit("test windows overlap or run backwards")),
         )
     )
-    return checked.select("fold", F.explode(reasons).alias("reason"))
+    return checked.select(*by, "fold", F.explode(reasons).alias("reason"))
 
 
 def fold_report(roles: DataFrame, points: DataFrame, order: str = "date") -> DataFrame:

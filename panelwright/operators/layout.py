@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelwright.operators.ranged import running_sums
+from panelwright.session import durable, unite
+
 AUTO = "auto"
 DEFAULT_ROWS_PER_BLOCK = 65_536
 ROWS_PER_BUCKET = 1_000_000
@@ -57,37 +60,27 @@ def index_rows(
 ) -> DataFrame:
     """Add the 0-based position of each row within its key and the key's length.
 
-    A key longer than ``rows_per_bucket`` is cut into as many equal spans of its own order range as
-    it has that many rows; rows are ranked inside a span, and spans get their offset from a table with
-    one row per span. Short keys stay in one piece. ``keys=[]`` ranks the whole frame the same way.
-
-    Of N rows at most ``N / rows_per_bucket`` keys can be long, and those have at most twice that many
-    spans. Both helper tables grow with N, so whether they are broadcast is left to Spark's size check.
+    Keys of up to ``rows_per_bucket`` rows are ranked in one piece. Rows of longer keys are dealt over range
+    partitions whose bounds are sampled from them, with a hash of the row behind the order column, so neither a burst
+    nor rows of one instant stay together; positions are sums of what came before (``ranged``). ``keys=[]`` ranks the
+    whole frame the same way. Which keys are long is counted first: of N rows at most ``N / rows_per_bucket``.
     """
-    staged = df.withColumn("_v", order_number(df, order).cast("double"))
-    ends = [F.count(F.lit(1)).alias("_all"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
-    if keys:
-        long_keys = staged.select(*keys, "_v").groupBy(*keys).agg(*ends).filter(F.col("_all") > rows_per_bucket)
-        staged = staged.join(long_keys, keys, "left")
-    else:
-        whole = staged.agg(*ends).select(F.struct("_all", "_low", "_high")).scalar()
-        staged = staged.withColumn("_w", whole).select(*staged.columns, "_w.*")
-    spans = F.ceil(F.col("_all") / rows_per_bucket)
-    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1.0)
-    bucket = F.coalesce(F.least(F.floor(share * spans), spans - 1), F.lit(0))
-    staged = staged.withColumn("_bucket", bucket).drop("_v", "_low", "_high")
-    counts = staged.filter(F.col("_all").isNotNull()).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    near = Window.partitionBy(*keys, "_bucket")
-    ranked = staged.withColumn("_local", F.row_number().over(near.orderBy(order)) - 1).withColumn(
-        size, F.coalesce("_all", F.count(F.lit(1)).over(near))
-    )
-    return (
-        ranked.join(offsets, [*keys, "_bucket"], "left")
-        .withColumn(pos, F.col("_local") + F.coalesce("_before", F.lit(0)))
-        .drop("_bucket", "_local", "_before", "_all")
-    )
+    one = Window.partitionBy(*keys)
+    ranked = lambda rows: rows.withColumn(pos, (F.row_number().over(one.orderBy(order)) - 1).cast("long")).withColumn(size, F.count(F.lit(1)).over(one))
+    if not keys:
+        return _dealt(df, keys, order, pos, size) if df.count() > rows_per_bucket else ranked(df)
+    long_keys = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > rows_per_bucket).select(*keys)
+    if long_keys.isEmpty():
+        return ranked(df)
+    long_keys = durable(long_keys)
+    long_rows = df.join(long_keys, keys, "left_semi").select(*df.columns)
+    return unite(ranked(df.join(long_keys, keys, "left_anti").select(*df.columns)), _dealt(long_rows, keys, order, pos, size))
+
+
+def _dealt(df: DataFrame, keys: list[str], order: str, pos: str, size: str) -> DataFrame:
+    ties = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    rows = df.withColumn("_one", F.lit(1).cast("long")).withColumn("_tie", F.xxhash64(*ties))
+    return running_sums(rows, keys, [order, "_tie"], "_one").select(*df.columns, F.col("_before").alias(pos), F.col("_total").alias(size))
 
 
 def arrange(

@@ -28,6 +28,11 @@ def _changes(columns: list[pa.Array], last: tuple | None) -> np.ndarray:
     return new
 
 
+def dealt(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows over range partitions of (by, order), each sorted."""
+    return rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+
+
 def running_sums(rows: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:
     """``rows`` with ``_before long``, the sum of the whole-number ``amount`` over the rows of the same group that sort
     earlier, and ``_total long``, over the group. Rows equal in ``order`` should be collapsed before: their order
@@ -36,7 +41,7 @@ def running_sums(rows: DataFrame, by: list[str], order: list[str], amount: str)
     names = rows.columns
     held = by if by else ["_all"]
     staged = rows if by else rows.withColumn("_all", F.lit(0))
-    laid = staged.repartitionByRange(*held, *order).sortWithinPartitions(*held, *order)
+    laid = dealt(staged, held, order)
     schema = laid.select("*", F.lit(0).cast("int").alias("_part"), F.lit(0).cast("long").alias("_local")).schema
     groups, at = [laid.columns.index(b) for b in held], laid.columns.index(amount)
 

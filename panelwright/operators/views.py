@@ -93,14 +93,3 @@ def counterfactual_views(
         return out
     return out, checked.filter(F.col("reason").isNotNull()).select(scenario, key, "reason")
 
-
-def scenario_views(
-    scenarios: DataFrame, forecasts: DataFrame, returns: DataFrame, universe: DataFrame, scenario: str = "scenario_id", key: str = "asset"
-) -> DataFrame:
-    """All views of all scenarios: ``(scenario, asset, mu, sigma)``."""
-    everyone = universe.select(F.collect_set(key)).scalar()
-    follow = scenarios.filter("kind = 'forecast'").select(scenario, F.explode(everyone).alias(key))
-    from_model = follow.join(forecast_views(forecasts, key), key).select(scenario, key, "mu", "sigma")
-    from_past = historical_views(returns, parse_windows(scenarios, scenario), scenario, key)
-    by_hand = counterfactual_views(scenarios, universe, scenario, key)
-    return unite(from_model, from_past, by_hand)

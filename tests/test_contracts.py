@@ -73,3 +73,22 @@ def test_forecast_quarantine(spark, walk):
 def test_exactly_enough_history(spark):
     df = spark.createDataFrame(walk_frame(days=53), "asset string, date date, adj_close double")
     assert ewma_forecast(log_returns(df)).filter(F.col("n_bars") == 52).count() == 3
+
+
+def test_the_normal_quantile_is_exact_to_double_precision(spark):
+    from statistics import NormalDist
+
+    from panelwright.functions.scalars import two_sided_z
+
+    chances = [0.0, 1e-9, 0.02, 0.5, 0.8499, 0.85, 0.8501, 0.93, 0.95, 0.999]
+    got = [r.z for r in spark.createDataFrame([(c,) for c in chances], "c double").select("c", two_sided_z(F.col("c")).alias("z")).orderBy("c").collect()]
+    assert all(abs(z - NormalDist().inv_cdf((1 + c) / 2)) <= 1e-14 * max(1.0, z) for c, z in zip(chances, got, strict=True))
+    assert spark.range(1).select(two_sided_z(F.lit(None).cast("double")).alias("z")).first().z is None
+
+
+def test_folds_of_several_panels_are_audited_apart(spark):
+    from panelwright.operators.folds import leakage_audit
+
+    rows = [("a", 0, 0, 20, 60, 80), ("a", 1, 0, 40, 80, 99), ("b", 0, 0, 10, 40, 50), ("b", 1, 0, 15, 45, 70)]
+    folds = spark.createDataFrame(rows, "panel string, fold long, train_start long, train_end long, test_start long, test_end long")
+    assert [tuple(r) for r in leakage_audit(folds, 21, ["panel"]).collect()] == [("b", 1, "test windows overlap or run backwards")]

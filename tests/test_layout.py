@@ -68,3 +68,27 @@ def test_ewma_against_pandas(long_walk):
         assert np.allclose(mine["mu"], mu[51:], rtol=1e-12)
         want = [err[: t - 20].std(ddof=1) for t in range(51, len(x))]
         assert np.allclose(mine["sigma"], want, rtol=1e-10)
+
+
+def test_positions_in_a_burst_and_at_one_instant(spark):
+    from panelwright.operators.layout import index_rows
+    from panelwright.operators.ranged import dealt
+
+    # One key with most rows; 99 % of them in one hour and a third at one instant.
+    minute = F.when(F.col("id") % 100 == 0, F.col("id") * 1000).when(F.col("id") % 3 == 0, F.lit(5_000_000)).otherwise(5_000_000 + F.pmod(F.hash("id"), F.lit(3600)))
+    big = spark.range(30_000).select(F.lit("hot").alias("key"), F.timestamp_seconds(minute).alias("at"), F.col("id").alias("n"))
+    rows = big.unionByName(spark.range(3_000).select(F.concat(F.lit("k"), F.col("id") % 40).alias("key"), F.timestamp_seconds("id").alias("at"), F.col("id").alias("n")))
+    got = index_rows(rows, ["key"], "at", rows_per_bucket=5_000).toPandas()
+    assert len(got) == 33_000
+    for key, own in got.groupby("key"):
+        own = own.sort_values("_pos")
+        assert own["_pos"].tolist() == list(range(len(own))) and own["at"].is_monotonic_increasing and set(own["_n"]) == {len(own)}
+    whole = index_rows(big, [], "at", rows_per_bucket=1_000).toPandas().sort_values("_pos")
+    assert whole["_pos"].tolist() == list(range(30_000)) and whole["at"].is_monotonic_increasing
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        laid = dealt(big.withColumn("_tie", F.xxhash64("key", "at", "n")), ["key"], ["at", "_tie"])
+        sizes = [r["count"] for r in laid.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 2 * 30_000 / 4
