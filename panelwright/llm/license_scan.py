@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from panelwright.session import durable
+
 THRESHOLD = 0.8
 
 # Wording of public licence notices.
@@ -44,6 +46,7 @@ TEMPLATES = {
     "cc0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "all rights reserved": "Copyright. All rights reserved.",
 }
+WHOLE_BELOW = 4  # key words shorter than this must stand alone
 SENTENCE_END = r"\n+|(?<=[.!?])\s+"
 
 
@@ -73,12 +76,23 @@ def _keys(template: Row) -> list[str]:
     return keys
 
 
-def _windows(docs: DataFrame, text: Column, templates: list[Row], threshold: float) -> DataFrame:
+def _holding_keys(docs: DataFrame, text: Column, templates: list[Row]) -> DataFrame:
+    """``id, text, lower`` of the texts that hold a key word of any template; no other text can match one."""
+    keys = sorted({k for t in templates for k in _keys(t)})
+    keys = [k for k in keys if not any(o != k and o in k and len(o) >= WHOLE_BELOW for o in keys)]
+    rows = docs.where(text.isNotNull()).select("id", "text", F.explode(F.array(F.lower(text))).alias("lower"))
+
+    def holds(key: str) -> Column:
+        found = F.contains("lower", F.lit(key))
+        # Short words also stand inside many others; those are told apart where the quick test finds something.
+        return found if len(key) >= WHOLE_BELOW else found & F.rlike("lower", F.lit(rf"(?<![\p{{L}}\p{{N}}]){key}(?![\p{{L}}\p{{N}}])"))
+
+    return rows.where(reduce(lambda a, b: a | b, map(holds, keys)))
+
+
+def _windows(rows: DataFrame, templates: list[Row], threshold: float) -> DataFrame:
     """``id, license, dice, n_windows``: best window, and how many different ones match at places of their own."""
     barrier = lambda x: F.explode(F.array(x))
-    keys = sorted({k for t in templates for k in _keys(t)})
-    keys = [k for k in keys if not any(o != k and o in k for o in keys)]
-    rows = docs.where(text.isNotNull()).select("id", barrier(F.lower(text)).alias("text")).where(reduce(lambda a, b: a | b, [F.contains("text", F.lit(k)) for k in keys]))
     fixed = F.array(*[
         F.struct(F.lit(t["license"]).alias("license"), F.lit(t["t_size"]).alias("t_size"), F.lit(int(t["low"])).alias("low"), F.lit(int(t["high"])).alias("high"), F.array(*map(F.lit, _keys(t))).alias("keys"), F.array(*map(F.lit, t["b"])).alias("b"))
         for t in templates
@@ -128,10 +142,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not listed:
         raise ValueError("templates have no words")
     low, high = min(t["low"] for t in listed), max(t["high"] for t in listed)
-    text = F.col(f"`{text_col}`")
+    # A unit that reaches the threshold holds a key word as well, so texts without one are left out before any split.
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    held = durable(_holding_keys(texts, F.col("text"), listed))  # read twice, and a small part of the corpus
+    text = F.col("text")
     cut = F.array_distinct(F.concat(F.split(text, SENTENCE_END), F.split(text, "\n"), F.array(text)))
     # Generators keep the optimizer from writing the word split into each of its uses.
-    units = docs.where(text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.explode(F.transform(cut, _words)).alias("words"))
+    units = held.select("id", F.explode(F.transform(cut, _words)).alias("words"))
     # There are no more distinct bigrams than words, so the lower bound holds before bigrams are formed.
     units = units.where(F.size("words") >= low)
     sets = units.select("id", F.xxhash64("words").alias("unit"), F.explode(F.array(_bigrams(F.col("words")))).alias("b")).where(F.size("b").between(low, high))
@@ -139,6 +156,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = hits.groupBy("id", "unit", "u_size", "license", "t_size").agg(F.count_distinct("bigram").alias("shared"))
     scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("u_size") + F.col("t_size"))).where(F.col("dice") >= threshold)
     scored = scored.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count(F.lit(1)).alias("n_units"))
-    wrapped = _windows(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")), F.col("text"), listed, threshold)
+    wrapped = _windows(held.select("id", F.col("lower").alias("text")), listed, threshold)
     both = scored.unionByName(wrapped.withColumnRenamed("n_windows", "n_units"))
     return both.groupBy(F.col("id").alias(id_col), "license").agg(F.max("dice").alias("dice"), F.max("n_units").alias("n_units"))
