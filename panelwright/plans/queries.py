@@ -30,7 +30,7 @@ from panelwright.operators import (
 from panelwright.operators.ewma import ewma_forecast, latest_forecast
 from panelwright.plans.recipe_table import recipe_features, recipe_settings, run_recipe_table
 from panelwright.plans.registry import Recipe, known_keys, recipe_rows
-from panelwright.plans.walk_forward import evaluation_frame, joint_positions, ridge_latest, ridge_walk_forward
+from panelwright.plans.walk_forward import evaluation_frame, joint_positions, ridge_latest, ridge_walk_forward, weighted_models
 from panelwright.session import durable, stored_folder, unite
 from panelwright.sources import derived as src
 from panelwright.sources.panel_store import normalize_bars, slice_panel
@@ -668,8 +668,7 @@ def fold_report(spark, sf):
 
 def _scored(spark, sf):
     returns = rt.log_returns(src.prices(spark, sf))
-    forecasts = {m: ewma_forecast(returns, halflife=h) for m, h in HALFLIVES.items()}
-    return evaluation_frame(returns, forecasts, joint_positions(returns, len(ASSETS)), FOLDS)
+    return evaluation_frame(returns, weighted_models(returns, HALFLIVES), joint_positions(returns, len(ASSETS)), FOLDS)
 
 
 @query

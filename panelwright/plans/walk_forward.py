@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.defaults import HORIZON_BARS
 from panelwright.operators.challenger import ensemble_forecast, fit_moments, fits_of, predict_members, residual_variance, solve_fits
 from panelwright.operators.evaluate import forecast_metrics, promotion, score_points
-from panelwright.operators.ewma import ewma_forecast
+from panelwright.operators.ewma_grid import forecast_grid
 from panelwright.operators.folds import eval_points, fold_report, fold_roles, walk_forward_folds
 from panelwright.operators.panel import common_dates
 from panelwright.operators.layout import AUTO, arrange, core_rows, index_rows
@@ -25,26 +25,35 @@ def joint_positions(returns: DataFrame, n_assets: int | None = None) -> DataFram
 
 
 def evaluation_frame(
-    returns: DataFrame, forecasts: dict[str, DataFrame], positions: DataFrame, n_splits: int, horizon: int = HORIZON_BARS, stride: int = HORIZON_BARS
+    returns: DataFrame, forecasts: dict[str, DataFrame] | DataFrame, positions: DataFrame, n_splits: int, horizon: int = HORIZON_BARS, stride: int = HORIZON_BARS
 ) -> DataFrame:
-    """``(model, asset, date, fold, mu, sigma, realized_h)`` at every evaluation point.
+    """``(model, asset, date, fold, mu, sigma, realized_h)`` at every evaluation point; ``forecasts`` by model, or one
+    frame with a ``model`` column.
 
     Forecast frames hold every as-of date already, so the points are joined, not looped over.
     """
     points = eval_points(positions, n_splits, horizon, stride)
     panel = returns.join(positions.select("date"), "date", "left_semi")
     realized = forward_return(panel, horizon=horizon).select("asset", "date", "realized_h")
-    models = unite(*[f.select("asset", "date", "mu", "sigma").withColumn("model", F.lit(m)) for m, f in forecasts.items()])
+    if isinstance(forecasts, dict):
+        forecasts = unite(*[f.withColumn("model", F.lit(m)).select("model", "asset", "date", "mu", "sigma") for m, f in forecasts.items()])
+    models = forecasts.select("model", "asset", "date", "mu", "sigma")
     return score_points(points, realized, models)
 
 
+def weighted_models(returns: DataFrame, halflives: dict[str, float]) -> DataFrame:
+    """``(model, asset, date, mu, sigma, n_bars)`` of every named halflife at every bar, in one pass over the returns."""
+    names = F.array(*[F.struct(F.lit(float(h)).alias("h"), F.lit(m).alias("m")) for m, h in halflives.items()])
+    grid = forecast_grid(returns, list(halflives.values()))
+    named = grid.withColumn("_names", F.filter(names, lambda n: n["h"] == F.col("halflife")))
+    return named.withColumn("model", F.explode("_names.m")).select("model", "asset", "date", "mu", "sigma", "n_bars")
+
+
 def walk_forward(prices: DataFrame, halflives: dict[str, float], baseline: str, n_splits: int = 4, n_assets: int | None = None) -> dict[str, DataFrame]:
     """Metrics, decision and fold report for exponentially weighted forecasters."""
-    # One plan: the joint panel and all forecasters share the exchange below the returns.
     returns = log_returns(prices)
     positions = joint_positions(returns, n_assets)
-    forecasts = {m: ewma_forecast(returns, halflife=h) for m, h in halflives.items()}
-    metrics = forecast_metrics(evaluation_frame(returns, forecasts, positions, n_splits))
+    metrics = forecast_metrics(evaluation_frame(returns, weighted_models(returns, halflives), positions, n_splits))
     return {
         "folds": walk_forward_folds(positions.select("n_panel").distinct(), n_splits),
         "report": fold_report(fold_roles(positions, n_splits), eval_points(positions, n_splits)),

@@ -12,7 +12,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 import __spark_entry__ as entry  # noqa: E402
 
 duckdb = pytest.importorskip("duckdb")
-SAMPLE = ["ewma_forecasts", "macro_asof_join", "ledoit_wolf_cov", "revision_merge", "forecast_metrics", "stage_completeness", "poke_percentiles", "bl_posterior"]
+SAMPLE = ["ewma_forecasts", "macro_asof_join", "ledoit_wolf_cov", "revision_merge", "forecast_metrics", "stage_completeness", "poke_percentiles", "bl_posterior", "customer_forecasts", "customer_features", "store_marks", "historical_views"]
 
 
 def test_every_statement_has_a_query():

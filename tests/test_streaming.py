@@ -166,7 +166,7 @@ def test_recompute_reads_a_store_that_holds_the_batch(spark, tmp_path):
     found = []
     handler = price_ingest.foreach_batch(str(tmp_path / "p"), recompute=lambda keys, b: found.append((b, keys.count(), spark.read.parquet(str(tmp_path / "p")).count())))
     rows = spark.createDataFrame(walk_frame(days=5), PRICES).withColumn("fetched_at", F.lit("2026-02-01 00:00:00").cast("timestamp_ntz"))
-    first = rows.filter("date < '2026-01-07'")
+    first = rows.filter("date < '2024-01-04'")
     handler(first, 0)
     handler(rows, 1)
     assert found == [(0, 3, first.count()), (1, 3, rows.count())]
