@@ -82,7 +82,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``id, n, k, bands``: shingles, digest of the set (null without words) and band keys of every row."""
+    """``id, n, k, d, bands``: shingles, digest of the set (null without words), of the text, and band keys of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,11 +92,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE
                 flat = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), lists], ["id", "n", "k", "bands"]
+                    [batch.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), batch.column(2).slice(first, end - first), lists], ["id", "n", "k", "d", "bands"]
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(sign, f"id {kind}, n long, k binary, bands array<long>")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_digest(F.col(f"`{text_col}`")).alias("d"))
+    return texts.mapInArrow(sign, f"id {kind}, n long, k binary, d binary, bands array<long>")
+
+
+def _text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``k, text``: the document that stands for each wanted set, found by id and text. Rows that share an id, or have
+    none, don't meet each other's sets."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_digest(F.col(f"`{text_col}`")).alias("d"))
+    own = wanted.select("k", F.col("one.id").alias("wanted_id"), F.col("one.d").alias("wanted_d"))
+    return texts.join(own, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("d") == F.col("wanted_d"))).select("k", "text")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -109,8 +122,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
                 sets = [(k, s) for k, s in zip(keys[first:end], shingle_sets(data, offsets, width), strict=True) if len(s) and _digest(s) == k]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.binary()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["k", "shingles"])
 
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    joined = texts.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("k", "text")
+    joined = _fetched(docs, wanted, id_col, text_col)
     return joined.mapInArrow(cut, "k binary, shingles binary")
 
 
@@ -235,12 +247,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id (null if there is none, then it stays). Other columns are ignored. An empty table gives no rows.
     """
     rows = durable(signatures(docs, id_col, text_col, width))
-    nodes = durable(rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
+    nodes = durable(rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("id"), F.min(F.struct("id", "d")).alias("one"), F.any_value("bands").alias("bands")))
     keys = nodes.select("k", F.explode("bands").alias("band"))
     crowd = keys.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     members = keys.join(crowd, "band")
     members = durable(members.join(members.groupBy("k").agg(F.sum("crowd").alias("score")), "k").select("band", "k", "score"))
-    sets = durable(_sets(docs, nodes.join(members.select("k").distinct(), "k").select("k", "id"), id_col, text_col, width))
+    sets = durable(_sets(docs, nodes.join(members.select("k").distinct(), "k").select("k", "one"), id_col, text_col, width))
     open_members = members.select("*", F.col("k").alias("root"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("place"))
     scores = members.select("k", "score").distinct()
     roots, tested, hubs = None, None, 1
