@@ -4,10 +4,12 @@ Both sides are cut into tokens and made canonical: numbers, names (capitalised w
 units after a number become typed placeholders, other words lower case. Every run of five canonical tokens is
 a template window; an item of fewer than nine tokens is one window of its own length. The word that opens a
 sentence may be a name or not, so a window that begins with it has both readings. Documents and items meet by
-a hash join on the window. For each (document, item, shift)
-the operator counts the item's windows found and collects what the placeholders stand for on both sides: a
-re-parameterised copy replaces a value by the same value everywhere (two values may become one), so windows
-with another value than most of them hold are dropped. An item is found in a document if enough of its windows, at one place or in one order, agree.
+a hash join on the window. Windows of a document belong together if their places follow the item's with a drift of no
+more than the item's own length (words put in or left out); windows scattered over a document don't add up. For each
+(document, item, stretch of shifts) the operator counts the item's windows found and collects what the placeholders
+stand for on both sides: a re-parameterised copy replaces a value by the same value everywhere (two values may become
+one), so windows with another value than most of them hold are dropped. An item is found in a document if enough of its
+windows agree in one stretch.
 
 Scale: windows of documents are first looked up in a Bloom filter of the item windows, whose size is fixed;
 what passes is joined exactly, by a shuffle if the items are many. Documents themselves aren't shuffled; they
@@ -198,16 +200,19 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     same = (F.col("slots") == F.col("item_slots")) | (F.size("item_slots") >= width) | F.col("whole")
     met = met.where(same & (~F.col("item_fixed") | (F.get("slots", F.lit(0)) == F.get("item_slots", F.lit(0)))))
     met = met.select("digest", "item_digest", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda s: (s["a"] != 0) | (s["b"] != 0)).alias("pairs"))
-    met = durable(met)
-    # A slot value of the item stands for one value in the document: the one that most windows at a shift hold. Others
+    # Two overlapping rows of stretches: shifts that lie within the drift share at least one of them.
+    met = met.join(sizes.withColumnRenamed("digest", "item_digest"), "item_digest").withColumn("drift", F.greatest(F.col("n"), F.lit(2 * width)))
+    stretches = F.array(2 * F.floor(F.col("shift") / (2 * F.col("drift"))), 2 * F.floor((F.col("shift") + F.col("drift")) / (2 * F.col("drift"))) + 1)
+    met = durable(met.select("digest", "item_digest", "item_place", "pairs", "n", F.explode(stretches).alias("stretch")))
+    # A slot value of the item stands for one value in the document: the one that most windows of a stretch hold. Others
     # take only their own windows along. Two item values may become the same one.
-    at = ["digest", "item_digest", "shift"]
+    at = ["digest", "item_digest", "stretch"]
     counts = met.select(*at, "item_place", F.explode(F.array_distinct("pairs")).alias("p")).groupBy(*at, "p").agg(F.countDistinct("item_place").alias("k"))
     chosen = counts.groupBy(*at, F.col("p.a").alias("a")).agg(F.max(F.struct("k", (F.col("p.a") == F.col("p.b")).alias("same"), F.col("p.b").alias("b"))).alias("best"), F.collect_list("p").alias("all"))
     minor = chosen.select(*at, F.explode(F.filter("all", lambda p: p["b"] != F.col("best.b"))).alias("p")).groupBy(*at).agg(F.collect_list("p").alias("minor"))
     agreed = met.join(minor, at, "left").where(F.col("minor").isNull() | ~F.arrays_overlap("pairs", "minor"))
-    found = agreed.groupBy("digest", "item_digest").agg(F.countDistinct("item_place").alias("hits")).join(sizes.withColumnRenamed("digest", "item_digest"), "item_digest")
-    found = found.select("digest", "item_digest", (F.col("hits") / F.col("n")).alias("share")).where(F.col("share") >= coverage)
+    found = agreed.groupBy(*at, "n").agg(F.countDistinct("item_place").alias("hits"))
+    found = found.groupBy("digest", "item_digest").agg(F.max(F.col("hits") / F.col("n")).alias("share")).where(F.col("share") >= coverage)
     return found.join(named.withColumnRenamed("digest", "item_digest"), "item_digest").select("digest", "item", "share")
 
 
