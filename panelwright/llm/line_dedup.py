@@ -31,30 +31,27 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, hard_floor: bool = False) -> DataFrame:
-    """``host, line, pages, share``: digests of the lines over the ratio. Blank lines and null hosts never are.
-
-    ``hard_floor``: lines of fewer than ``min_pages`` pages aren't either, whatever their share.
-    """
+def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``host, line, pages, share``: digests of the lines over the ratio. Blank lines and null hosts never are."""
     pages = docs.where(F.col(f"`{host_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
         F.col(f"`{host_col}`").alias("host"), _digest(F.col(f"`{text_col}`")).alias("page"), _lines(F.col(f"`{text_col}`")).alias("lines")
     )
     totals = pages.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("total"))
     trimmed = F.filter(F.transform("lines", F.trim), lambda x: x != "")
     held = pages.select("host", "page", F.explode(F.array_distinct(trimmed)).alias("line")).select("host", "page", _digest(F.col("line")).alias("line"))
-    counts = held.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= (min_pages if hard_floor else min(2, min_pages)))
+    counts = held.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min(2, min_pages))
     needed = F.when(F.col("pages") < min_pages, ratio * F.pow(min_pages / F.col("pages"), F.lit(2.0))).otherwise(F.lit(ratio))
     return counts.join(totals, "host").select("host", "line", "pages", (F.col("pages") / F.col("total")).alias("share")).where(F.col("share") > needed)
 
 
-def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, hard_floor: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns of ``docs`` with the text cut, plus ``n_lines`` and ``n_removed``.
 
     Lines are compared without surrounding blanks; blank lines stay. A null host or text passes unchanged
     (null text: 0 lines); an empty text is one blank line. A text of boilerplate only becomes empty. Repeated
     rows are treated alike and all come back. Existing columns called ``n_lines`` or ``n_removed`` are replaced.
     """
-    found = boilerplate_lines(docs, host_col, text_col, ratio, min_pages, hard_floor).groupBy("host").agg(F.collect_set("line").alias("drop"))
+    found = boilerplate_lines(docs, host_col, text_col, ratio, min_pages).groupBy("host").agg(F.collect_set("line").alias("drop"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
     hosts = docs.select(F.col(f"`{host_col}`").alias("host")).where("host IS NOT NULL")
     hot = F.broadcast(hot_parts(hosts, "host"))

@@ -55,8 +55,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The query's SQL has the hard floor; the pipeline goes without.
-    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), hard_floor=True)
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "source", "n_lines", "n_removed", "text")
 
 
@@ -151,7 +150,8 @@ WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FRO
 p AS (SELECT DISTINCT source, text, lines FROM d WHERE source IS NOT NULL AND text IS NOT NULL),
 t AS (SELECT source, count(*) AS total FROM p GROUP BY source),
 l AS (SELECT source, line, count(*) AS pages FROM (SELECT source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM p) GROUP BY source, line),
-b AS (SELECT source, list(line) AS cut FROM l JOIN t USING (source) WHERE line <> '' AND pages >= {line_dedup.MIN_PAGES} AND CAST(pages AS DOUBLE) / total > {line_dedup.RATIO} GROUP BY source),
+b AS (SELECT source, list(line) AS cut FROM l JOIN t USING (source) WHERE line <> '' AND pages >= 2
+      AND CAST(pages AS DOUBLE) / total > CASE WHEN pages < {line_dedup.MIN_PAGES} THEN {line_dedup.RATIO} * pow({line_dedup.MIN_PAGES}.0 / pages, 2) ELSE {line_dedup.RATIO} END GROUP BY source),
 k AS (SELECT doc_id, source, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(cut, []), trim(x))) AS kept FROM d LEFT JOIN b USING (source))
 SELECT doc_id, source, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(lines) - len(kept) AS INTEGER) AS n_removed, array_to_string(kept, chr(10)) AS text FROM k"""
 
