@@ -78,6 +78,16 @@ def test_near_duplicates_of_repeated_rows_null_ids_and_no_rows(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_many_rows_without_an_id_or_with_one(spark):
+    base = [f"t{i} " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(150)]
+    rows = spark.createDataFrame([(i if i is None else 7, t) for i in (None, 7) for t in [*base, *[b + " end" for b in base]]], "doc_id long, text string")
+    signed = near_dup.signatures(rows, "doc_id", "text", 5)
+    nodes = signed.groupBy("k").agg(F.min(F.struct("id", "d")).alias("one"))
+    assert near_dup._fetched(rows, nodes, "doc_id", "text").count() == nodes.count() == 300
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(rows).collect())
+    assert got == {(None, 7, False): 300, (7, 7, True): 300}
+
+
 def repeats_by_brute_force(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(d[s : s + length] for d in data for s in range(len(d) - length + 1))
@@ -210,3 +220,39 @@ def test_decontamination_finds_verbatim_items(spark):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     wanted = {r.doc_id for r in docs.crossJoin(F.broadcast(items.select(F.lower("text").alias("item")))).where(F.contains(F.lower("text"), F.col("item"))).collect()}
     assert {r.doc_id for r in decontaminate.decontaminate(docs, items).where("contaminated").collect()} == wanted
+
+
+def test_decontamination_counts_windows_of_one_stretch_only(spark):
+    item = "the quick runner met seven tired walkers near an old stone bridge before the market opened its wooden doors at noon"
+    words = item.split()
+    windows = [" ".join(words[i : i + 5]) for i in range(0, len(words) - 4)]
+    filler = lambda k, n: " ".join(f"filler{k}x{j}" for j in range(n))
+    scattered = " ".join(f"{w} {filler(k, 200)}" for k, w in enumerate(reversed(windows)))
+    drifting = " ".join([*words[:7], "really", "very", *words[7:15], "indeed", *words[15:]])
+    texts = [scattered, f"{filler(0, 300)} {item} {filler(1, 300)}", f"{filler(2, 50)} {item} {filler(3, 5000)} {item}", f"{filler(4, 9)} {drifting}", " ".join(reversed(windows))]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    judged = {r.doc_id: r for r in decontaminate.decontaminate(frame(spark, texts), items, coverage=0.3).collect()}
+    share = [judged[i].share for i in range(len(texts))]
+    assert share[0] <= 0.2 and share[1] == share[2] == 1.0 and share[3] >= 0.4 and share[4] < 0.8
+    assert [i for i, r in judged.items() if r.contaminated and r.share >= 0.8] == [1, 2]
+    clash = frame(spark, texts).withColumn("share", F.lit("own")).withColumn("contaminated", F.lit(3)).withColumn("items", F.lit(0))
+    assert {r.doc_id for r in decontaminate.decontaminate(clash, items).where("contaminated").collect()} == {1, 2}
+    numbers = spark.createDataFrame([(1, "1 2 3 5 8 13 21 34 55 89")], "item_id long, text string")
+    table = frame(spark, [" ".join(str(3 * k + 1) for k in range(400)), "1 2 3 5 8 13 21 34 55 89"])
+    assert 1 in {r.doc_id for r in decontaminate.decontaminate(table, numbers).where("contaminated").collect()}
+
+
+def test_license_scan_of_many_copies_and_texts_without_key_words(spark):
+    notice = license_scan.TEMPLATES["mpl-2.0 header"]
+    texts = ["plain words only " * 5000, (notice + "\n") * 40, "This Source Code is form subject", None, ""]
+    got = {(r.doc_id, r.license): (r.dice, r.n_units) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert got[1, "mpl-2.0 header"][0] == 1.0 and {d for d, _ in got} == {1}
+
+
+def test_repeats_show_what_is_left(spark):
+    from panelwright.llm import registry
+
+    got = registry.QUERIES["op9_repeats"](spark, "/root/testdata/sf0.001").select("doc_id", "n_kept", "kept_sha256")
+    whole = repeats.remove_repeats(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    want = {r.doc_id: (len(r.kept), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in whole.collect()}
+    assert {r.doc_id: (r.n_kept, r.kept_sha256) for r in got.collect()} == want
