@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.defaults import STAGES
+from panelwright.operators.layout import by_key
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,8 +30,15 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """One asset per supplier: the number of assets grows with the data."""
-    return _bars(table(spark, folder, "lineitem"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    """One asset per supplier: the number of assets grows with the data.
+
+    A supplier has hardly two lines a day, so lines go to the tasks of their asset at once: the bars and all windows
+    over them need no other exchange.
+    """
+    lines = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("asset"), "l_shipdate", "l_quantity", "l_extendedprice"
+    )
+    return _bars(by_key(lines, "asset"), F.col("asset"))
 
 
 def brand_prices(spark: SparkSession, folder: str) -> DataFrame:
