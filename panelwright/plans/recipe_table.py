@@ -269,9 +269,18 @@ def run_recipe_table(
         forecasts = todo.sparkSession.createDataFrame([], "model_version string, asset string, as_of date, horizon_days int, mu double, sigma double")
     else:
         forecasts = durable(model_forecasts(returns, todo))
+        ours, alike = todo, None
+        if not allocations and results is None:
+            # Without allocations a posterior follows from the views alone: one recipe of each kind of views is solved.
+            views = F.when(F.col("kind") == "forecast", F.concat(F.lit("model "), "model_version")).otherwise(F.concat(F.lit("scenario "), F.col("scenario_id").cast("string")))
+            alike = todo.withColumn("_views", views)
+            ours = durable(alike.groupBy("_views").agg(F.min_by(F.struct(*todo.columns), "config_id").alias("r")).select("r.*"))
         cov = durable(ledoit_wolf(durable(pair_moments(common_date_panel(returns)))))
-        terms = view_terms(recipe_views(todo, scenarios, forecasts, returns, universe), cov, ["config_id"])
-        solved = durable(solve_blocks(todo, terms, cov, equilibrium_prior(cov, benchmark), previous, allocations, on_invalid == contracts.RAISE))
+        terms = view_terms(recipe_views(ours, scenarios, forecasts, returns, universe), cov, ["config_id"])
+        solved = durable(solve_blocks(ours, terms, cov, equilibrium_prior(cov, benchmark), previous, allocations, on_invalid == contracts.RAISE))
+        if alike is not None:
+            shared = solved.join(alike.select("config_id", "_views"), "config_id").drop("config_id")
+            solved = alike.select("config_id", "_views").join(shared, "_views").drop("_views").select(*solved.columns)
     if results is not None:
         if solved is not None:
             keyed = solved.join(todo.select("config_id", "result_key"), "config_id").drop("config_id")
