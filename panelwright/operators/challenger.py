@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelwright import contracts
 from panelwright.defaults import SIGMA_FLOOR
 from panelwright.operators.layout import index_rows
-from panelwright.session import unite
+from panelwright.session import durable, unite
 
 # Share of the training rows that each ensemble member draws, by a hash of the row.
 MEMBER_PERCENT = 80
@@ -119,21 +119,41 @@ def predict_members(rows: DataFrame, models: DataFrame, keep: list[str], fold: s
     return out.select(*keep, F.col("_model.member").alias("member"), linear_prediction(F.col("_model")).alias("prediction"))
 
 
+def predict_mean(rows: DataFrame, models: DataFrame, keep: list[str], fold: str = "fold") -> DataFrame:
+    """``keep`` plus ``prediction``, the mean of the members, without a row per member; rows of folds without models go."""
+    packed = models.select(F.collect_list(F.struct(*models.columns))).scalar()
+    out = rows.withColumn("_models", packed).withColumn("_mine", F.filter("_models", lambda m: m["fold"] == F.col(fold))).filter(F.size("_mine") > 0)
+    total = F.aggregate(F.transform("_mine", lambda m: linear_prediction(m)), F.lit(0.0), lambda a, x: a + x)
+    return out.select(*keep, (total / F.size("_mine")).alias("prediction"))
+
+
 def residual_variance(predictions: DataFrame, key: str = "asset", by: list[str] | None = None, assets: DataFrame | None = None) -> DataFrame:
     """Holdout variance of realized minus ensemble mean per asset; pooled where an asset has under two points.
 
     ``assets`` lists the (by, key) pairs that need one, by default those of the predictions: an asset
     too young to have a holdout is listed there and takes the pooled variance.
     """
+    by = by or []
+    rows = predictions if assets is None else predictions.filter("role = 'holdout'")
+    held = lambda c: F.when(F.col("role") == "holdout", F.col(c))
+    means = rows.groupBy(*by, key, "pos").agg(F.avg(held("prediction")).alias("_mu"), F.first(held("realized_h"), ignorenulls=True).alias("_y"))
+    return variance_of_errors(means.select(*by, key, (F.col("_y") - F.col("_mu")).alias("_e")), key, by, assets)
+
+
+def variance_of_errors(errors: DataFrame, key: str = "asset", by: list[str] | None = None, assets: DataFrame | None = None) -> DataFrame:
+    """``residual_variance`` of errors ``(by, key, _e)``; rows with a NULL error only name their key."""
     by, floor = by or [], SIGMA_FLOOR**2
-    means = predictions.filter("role = 'holdout'").groupBy(*by, key, "pos").agg(
-        F.avg("prediction").alias("_mu"), F.first("realized_h").alias("_y")
-    )
-    errors = means.withColumn("_e", F.col("_y") - F.col("_mu"))
-    pooled = errors.groupBy(*by).agg(F.greatest(F.coalesce(F.var_samp("_e"), F.lit(0.0)), F.lit(floor)).alias("_pooled"))
-    per_asset = errors.groupBy(*by, key).agg(F.count("_e").alias("n_holdout"), F.var_samp("_e").alias("_v"))
-    listed = (predictions if assets is None else assets).select(*by, key).distinct()
-    assets = listed.join(per_asset, [*by, key], "left")
+    # One pass; the pooled variance is put together from the moments of the assets, around their means.
+    per_asset = durable(errors.groupBy(*by, key).agg(F.count("_e").alias("n_holdout"), F.avg("_e").alias("_m"), F.var_samp("_e").alias("_v"), F.var_pop("_e").alias("_vp")))
+    seen = per_asset.filter("n_holdout > 0")
+    n, total = F.col("n_holdout"), F.sum("n_holdout")
+    middle = seen.groupBy(*by).agg((F.sum(n * F.col("_m")) / total).alias("_mean"))
+    around = seen.join(middle, by) if by else seen.withColumn("_mean", middle.scalar())
+    gap = F.col("_m") - F.col("_mean")
+    square = F.when(total > 1, F.sum(n * (F.col("_vp") + gap * gap)) / (total - 1))
+    pooled = around.groupBy(*by).agg(F.greatest(F.coalesce(square, F.lit(0.0)), F.lit(floor)).alias("_pooled"))
+    per_asset = per_asset.select(*by, key, "n_holdout", "_v")
+    assets = per_asset if assets is None else assets.select(*by, key).distinct().join(per_asset, [*by, key], "left")
     assets = assets.join(pooled, by, "left") if by else assets.withColumn("_pooled", pooled.scalar())
     own = F.when(F.col("n_holdout") >= 2, F.greatest("_v", F.lit(floor))).otherwise(
         F.coalesce("_pooled", contracts.fail("no holdout at all: no residual variance for ", F.col(key)))

@@ -22,25 +22,32 @@ def _running(w):
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _whole_key(returns, key, order, ret, halflife, horizon, warmup):
-    w = Window.partitionBy(key).orderBy(order)
-    pos = (F.row_number().over(w) - 1).cast("long")
-    base = returns.select(
-        key, order, F.col(ret).alias("_r"), pos.alias("_pos"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n")
-    )
+def _with_mean(base: DataFrame, key: str, order: str, ret: str, halflife: float, horizon: int, name: str) -> DataFrame:
+    """``base``, which has the position ``_pos``, with the weighted mean times the horizon as a column."""
     # Weights start again every span; what one span hands to the next fades by 2^-512, and what lay
     # before that by 2^-1024, so the last finished span is all that a double can show.
+    w = Window.partitionBy(key).orderBy(order)
     span = max(1, int(_BLOCK_HALFLIVES * halflife))
+    columns = base.columns
     base = base.withColumn("_span", F.floor(F.col("_pos") / span)).withColumn("_w", F.pow(F.lit(2.0), (F.col("_pos") % span) / halflife))
     near = _running(Window.partitionBy(key, "_span").orderBy(order))
-    base = base.withColumn("_ln", F.sum(F.col("_r") * F.col("_w")).over(near)).withColumn("_lw", F.sum("_w").over(near))
+    base = base.withColumn("_ln", F.sum(F.col(ret) * F.col("_w")).over(near)).withColumn("_lw", F.sum("_w").over(near))
     closing = (F.col("_pos") + 1) % span == 0
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     fade = 2.0 ** (-span / halflife)
     handed = [F.coalesce(F.last(F.when(closing, F.col(c)), ignorenulls=True).over(past) * fade, F.lit(0.0)) for c in ("_ln", "_lw")]
     base = base.withColumn("_cn", handed[0]).withColumn("_cw", handed[1])
     mu = (F.col("_ln") + F.col("_cn")) / (F.col("_lw") + F.col("_cw")) * horizon
-    scored = base.withColumn("mu", mu)
+    return base.select(*columns, mu.alias(name))
+
+
+def _whole_key(returns, key, order, ret, halflife, horizon, warmup):
+    w = Window.partitionBy(key).orderBy(order)
+    pos = (F.row_number().over(w) - 1).cast("long")
+    base = returns.select(
+        key, order, F.col(ret).alias("_r"), pos.alias("_pos"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("_n")
+    )
+    scored = _with_mean(base, key, order, "_r", halflife, horizon, "mu")
     error = F.lag("mu", horizon).over(w) - F.sum("_r").over(w.rowsBetween(-(horizon - 1), 0))
     scored = scored.withColumn("_e", F.when(F.col("_pos") >= warmup + horizon, error))
     return scored.withColumn("sigma", F.stddev_samp("_e").over(_running(w)))
@@ -100,6 +107,22 @@ def _blocked(returns, key, order, ret, halflife, horizon, warmup, block):
     return joined.withColumn("sigma", F.when(k > 1, F.sqrt(F.greatest(square, F.lit(0.0)) / (k - 1))))
 
 
+def ewma_means(
+    returns: DataFrame, halflives: dict[str, float], key: str = "asset", order: str = "date", ret: str = "log_return", horizon: int = HORIZON_BARS, warmup: int = ERROR_WARMUP_BARS
+) -> DataFrame:
+    """``returns`` with the forecast mean of every named halflife as a column, where ``ewma_forecast`` has one.
+
+    The columns share the panel's exchange, so neither copies of the panel nor joins of it grow with the settings.
+    For panels ordered by date. Errors aren't scored here: deviations come from ``ewma_forecast``.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    base = returns.withColumn("_pos", (F.row_number().over(w) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    for name, halflife in halflives.items():
+        base = _with_mean(base, key, order, ret, halflife, horizon, name)
+    need = warmup + horizon + MIN_ERROR_SAMPLES
+    return base.filter((F.col("_pos") >= need - 1) | (F.col("_n") < need)).drop("_pos", "_n")
+
+
 def ewma_forecast(
     returns: DataFrame,
     key: str = "asset",

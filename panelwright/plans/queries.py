@@ -27,7 +27,7 @@ from panelwright.operators import (
     views as vw,
     windows as win,
 )
-from panelwright.operators.ewma import ewma_forecast, latest_forecast
+from panelwright.operators.ewma import ewma_forecast, ewma_means, latest_forecast
 from panelwright.plans.recipe_table import recipe_features, recipe_settings, run_recipe_table
 from panelwright.plans.registry import Recipe, known_keys, recipe_rows
 from panelwright.plans.walk_forward import evaluation_frame, joint_positions, ridge_latest, ridge_walk_forward, weighted_models
@@ -720,14 +720,11 @@ def standardized_windows(spark, sf):
 def _member_predictions(spark, sf):
     """Three halflives as ensemble members, scored where the horizon is complete."""
     returns = rt.log_returns(src.supplier_prices(spark, sf))
-    realized = rt.bar_positions(rt.forward_return(returns)).filter("realized_h IS NOT NULL")
+    means = {f"mu{i}": float(h) for i, h in enumerate((63, 42, 21))}
+    realized = ewma_means(rt.bar_positions(rt.forward_return(returns)), means).filter("realized_h IS NOT NULL")
     role = F.when(F.col("pos") >= F.col("n_bars") * 3 / 4, "holdout").otherwise("train")
-    base = realized.select("asset", "date", "pos", role.alias("role"), "realized_h")
-    members = [
-        ewma_forecast(returns, halflife=float(h)).select("asset", "date", F.lit(i).cast("long").alias("member"), F.col("mu").alias("prediction"))
-        for i, h in enumerate((63, 42, 21))
-    ]
-    return base.join(unite(*members), ["asset", "date"])
+    members = F.array(*[F.struct(F.lit(i).cast("long").alias("member"), F.col(n).alias("prediction")) for i, n in enumerate(means)])
+    return realized.select("asset", "date", "pos", role.alias("role"), "realized_h", F.explode(members).alias("_m")).select("asset", "date", "pos", "role", "realized_h", "_m.*")
 
 
 @query
