@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.defaults import HORIZON_BARS
-from panelwright.operators.challenger import ensemble_forecast, fit_moments, fits_of, predict_members, residual_variance, solve_fits
+from panelwright.operators.challenger import ensemble_forecast, fit_moments, fits_of, predict_mean, predict_members, solve_fits, variance_of_errors
 from panelwright.operators.evaluate import forecast_metrics, promotion, score_points
 from panelwright.operators.ewma_grid import forecast_grid
 from panelwright.operators.folds import eval_points, fold_report, fold_roles, walk_forward_folds
 from panelwright.operators.panel import common_dates
-from panelwright.operators.layout import AUTO, arrange, core_rows, index_rows
+from panelwright.operators.layout import AUTO, arrange, by_key, core_rows, index_rows
 from panelwright.operators.returns import bar_positions, forward_return, log_returns
 from panelwright.operators.windows import CONTEXT_BARS, HOLDOUT_SHARE
 from panelwright.session import durable, unite
@@ -99,12 +99,13 @@ def ridge_forecast(
     holds out each asset's trailing windows for the residual variance. ``targets`` is ``(fold, date)``.
     """
     folds = range(n_folds)
+    returns = by_key(returns, "asset")
     ends = cuts.groupBy().pivot("fold", list(folds)).agg(F.first("last")).select(F.struct(*[F.col(str(f)).alias(f"_e{f}") for f in folds])).scalar()
     history = (
         returns.select("asset", "date").withColumn("_e", ends).groupBy("asset")
         .agg(*[F.count(F.when(F.col("date") <= F.col(f"_e._e{f}"), 1)).alias(f"_h{f}") for f in folds])
     )
-    windows = _contexts(returns, context, horizon).join(history, "asset")
+    windows = _contexts(returns, context, horizon).join(history, "asset")  # both lie by asset
     roles = [_role(F.col(f"_h{f}"), context, horizon).alias(f"_role{f}") for f in folds]
     # The windows feed the fits, the holdout scores and the targets, so they are stored once.
     windows = durable(windows.select("asset", "date", "pos", "context", "realized_h", *roles))
@@ -112,11 +113,10 @@ def ridge_forecast(
     fits = {i: c for f in folds for i, c in fits_of(f, F.col(f"_role{f}"), "asset", members).items()}
     models = durable(solve_fits(fit_moments(labelled, context, fits), ridge, members))
     held = F.array_compact(F.array(*[F.when(F.col(f"_role{f}") == "holdout", F.lit(f).cast("long")) for f in folds]))
-    held = labelled.withColumn("fold", F.explode(held)).withColumn("role", F.lit("holdout"))
+    held = predict_mean(labelled.withColumn("fold", F.explode(held)), models, ["fold", "asset", "realized_h"])
+    errors = held.select("fold", "asset", (F.col("realized_h") - F.col("prediction")).alias("_e"))
     wanted = windows.select("asset", "date", "context").join(targets.select("fold", "date"), "date")
-    residuals = residual_variance(
-        predict_members(held, models, ["fold", "asset", "date", "pos", "role", "realized_h"]), by=["fold"], assets=wanted.select("fold", "asset")
-    )
+    residuals = variance_of_errors(errors, by=["fold"], assets=wanted.select("fold", "asset"))
     return ensemble_forecast(predict_members(wanted, models, ["fold", "asset", "date"]), residuals, by=["fold"])
 
 
