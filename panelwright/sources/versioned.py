@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright import contracts
+from panelwright.operators.layout import by_key
 from panelwright.session import unite
 
 CELL = ["_bucket", "_period"]
@@ -123,10 +124,10 @@ class Snapshot:
         out = unite(*base) if base else self.empty()
         if deltas:
             others = [c for c in self.columns if c not in keys]
-            newest = unite(*deltas).groupBy(*keys).agg(F.max_by(F.struct(F.lit(1).alias("_one"), *others), "_seq").alias("_r"))
+            newest = by_key(unite(*deltas), *keys).groupBy(*keys).agg(F.max_by(F.struct(F.lit(1).alias("_one"), *others), "_seq").alias("_r"))
             newest = newest.select(*keys, *[F.col(f"_r.{c}") for c in others]).select(*self.columns)
             # Both sides are cut to the same files' range, and a key's order value is part of it: nothing newer is missed.
-            out = unite(out.join(newest.select(*keys), keys, "left_anti").select(*self.columns), newest) if base else newest
+            out = unite(by_key(out, *keys).join(newest.select(*keys), keys, "left_anti").select(*self.columns), newest) if base else newest
         if low is not None:
             out = out.filter(F.col(order) >= F.lit(low))
         if high is not None:
@@ -246,7 +247,7 @@ class Store:
     def _filled(self, rows: DataFrame, snapshot: Snapshot) -> DataFrame:
         """Columns that ``rows`` lacks, from the stored rows of the same keys."""
         keys, absent = snapshot.table["keys"], [c for c in snapshot.columns if c not in rows.columns]
-        return rows.join(snapshot.read().select(*keys, *absent), keys, "left").select(*snapshot.columns)
+        return by_key(rows, *keys).join(by_key(snapshot.read().select(*keys, *absent), *keys), keys, "left").select(*snapshot.columns)
 
     def prepare(self, changes: dict[str, DataFrame], unique: bool = False) -> Prepared:
         """Write rows as segments that no version names yet, to be published later, alone or with others."""
