@@ -67,11 +67,8 @@ def purged_holdout(
 
 def train_scale(windows: DataFrame, vector: str = "context") -> DataFrame:
     """One row: mean and population deviation over all training values of the vector column."""
-    total = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x)
-    train = windows.filter("role = 'train'")
-    mean = train.agg((F.sum(total) / F.sum(F.size(vector))).alias("m")).select("m").scalar()
-    spread = F.aggregate(F.transform(vector, lambda x: (x - F.col("_m")) * (x - F.col("_m"))), F.lit(0.0), lambda a, x: a + x)
-    stats = train.withColumn("_m", mean).agg(F.first("_m").alias("mean"), F.sqrt(F.sum(spread) / F.sum(F.size(vector))).alias("_s"))
+    values = windows.filter("role = 'train'").select(F.explode(vector).alias("_x"))
+    stats = values.agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("_s"))
     return stats.select("mean", F.when(F.col("_s") < _STD_FLOOR, 1.0).otherwise(F.col("_s")).alias("std"))
 
 
