@@ -174,7 +174,8 @@ def border_starts(stretches: DataFrame, length: int) -> DataFrame:
 def repeated_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     """``t, low, more``: all starts low .. low + more of text t begin a string that occurs elsewhere too."""
     rows = durable(sampled(docs, text_col, length))  # read for the ranks and for the rows that share one
-    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("h", "mixed")
+    # Stored, so that the join has a plain exchange on both sides: only then adaptive execution splits the short string of periodic texts.
+    twice = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1").select("h", "mixed"))
     rows = durable(rows.join(twice, "h"))
     again = durable(rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.any_value("mixed").alias("mixed"), F.min(F.struct("t", "low", "more", "at")).alias("one")))
     whole = rows.join(again.where("n > 1").select("h", "c"), ["h", "c"]).select("t", "low", "more").distinct()
