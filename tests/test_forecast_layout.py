@@ -6,7 +6,7 @@ from panelwright.operators import layout
 from panelwright.plans.queries import REGISTERED
 
 
-@pytest.mark.parametrize("name", ["ewma_forecasts"])
+@pytest.mark.parametrize("name", ["ewma_forecasts", "idzorek_confidence"])
 def test_forecasts_keep_the_tasks_sized_by_the_input(spark, monkeypatch, name):
     monkeypatch.setattr(layout, "BYTES_PER_TASK", 4096, raising=False)
     found = REGISTERED[name](spark, "/root/testdata/sf0.001")
