@@ -54,3 +54,13 @@ def test_kept_text_lacks_planted_passages_and_clean_texts_stay(spark, tmp_path):
     assert got[0].text.startswith(_words(1, 80)) and got[1].text.endswith(_words(3, 80))
     assert [got[i].text for i in range(2, 7)] == [t or "" for t in texts[2:]]
     assert all(got[i].n_removed == 0 for i in range(2, 7))
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, tmp_path):
+    long, short = (" ".join(w[:6] for w in _words(k, 60).split())[:n] for k, n in ((7, 400), (8, 399)))
+    assert len(long.split()) > 50 and len(short.split()) > 50
+    texts = [f"{_words(i, 60)}{i}{passage}{9 - i}{_words(10 + i, 60)}" for i, passage in enumerate([long, long, short, short])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op9_repeats"](spark, str(tmp_path)).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(4)] == [(400, 1), (400, 1), (0, 0), (0, 0)]
+    assert [got[i].text for i in range(4)] == [texts[0].replace(long, ""), texts[1].replace(long, ""), *texts[2:]]

@@ -115,6 +115,16 @@ def test_repeats_equal_brute_force(spark, length):
     assert got == repeats_by_brute_force(texts, length)
 
 
+def test_repeats_of_a_given_table_equal_brute_force(spark):
+    from panelwright.llm import registry
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = repeats_by_brute_force([r.text for r in docs], 400)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.QUERIES["op9_repeats"](spark, "/root/testdata/sf0.001").drop("text").collect()}
+    assert got == {r.doc_id: want[i] for i, r in enumerate(docs)}
+    assert 0 < sum(x[1] > 0 for x in got.values()) < len(got)
+
+
 def test_repeats_across_segments_and_no_rows(spark, monkeypatch):
     rnd = random.Random(8)
     passage = "".join(rnd.choice("abcdef") for _ in range(90))
