@@ -43,7 +43,9 @@ _PLACE = np.uint64((1 << 21) - 1)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, short-string hash, representative, first start and last start (places in ``data``), by segments."""
+    """Row, short-string hash, representative, first start and last start (places in ``data``), by segments.
+
+    ``data`` are bytes, or 64-bit hashes of larger units such as words."""
     span = 3 * length // 4
     short = length - span + 1
     for base in range(0, max(len(data), 1), SEGMENT):
@@ -51,7 +53,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tu
         if len(part) < length:
             return
         power, inverse = T.powers(SEGMENT + 65536)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(T.BYTE_KEYS[part] * power[: len(part)], dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((T.BYTE_KEYS[part] if part.dtype == np.uint8 else part) * power[: len(part)], dtype=np.uint64)])
         raw = T.mix((sums[short:] - sums[:-short]) * inverse[: len(part) - short + 1])
         keys = (raw & ~_PLACE) | np.arange(len(raw), dtype=np.uint64)  # ties: the first place
         blocks = -(-len(keys) // span)
@@ -74,11 +76,11 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tu
         yield rows[first], raw[chosen[first]], chosen[first] + base, starts[first], starts[last]
 
 
-def _digest(text: bytes | memoryview) -> bytes:
+def digest(text: bytes | memoryview) -> bytes:
     return xxhash.xxh3_128_digest(text)
 
 
-def _bytes(texts: DataFrame, text_col: str) -> DataFrame:
+def text_rows(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
@@ -90,14 +92,14 @@ def sampled(docs: DataFrame, text_col: str, length: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in T.runs(batch.column(0), SEGMENT):
                 view = memoryview(data)
-                digests = [_digest(view[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
+                digests = [digest(view[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
                 for rows, h, at, low, high in stretches(data, offsets, length):
                     c = np.array([xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], np.uint64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array([digests[r] for r in rows.tolist()], pa.binary()), pa.array(low - offsets[rows]), pa.array((high - low).astype(np.int32)), pa.array((at - low).astype(np.int32))], ["h", "c", "t", "low", "more", "at"]
                     )
 
-    return _bytes(docs, text_col).mapInArrow(sample, "h long, c long, t binary, low long, more int, at int")
+    return text_rows(docs, text_col).mapInArrow(sample, "h long, c long, t binary, low long, more int, at int")
 
 
 def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -108,9 +110,9 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in T.runs(batch.column(0), SEGMENT):
                 parts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(offsets) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in parts], pa.binary()), pa.array([press.compress(x) for x in parts], pa.binary())], ["t", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in parts], pa.binary()), pa.array([press.compress(x) for x in parts], pa.binary())], ["t", "z"])
 
-    return _bytes(docs, text_col).mapInArrow(pack, "t binary, z binary").groupBy("t").agg(F.first("z").alias("z"))
+    return text_rows(docs, text_col).mapInArrow(pack, "t binary, z binary").groupBy("t").agg(F.first("z").alias("z"))
 
 
 def border_bytes(texts: DataFrame, borders: DataFrame, length: int) -> DataFrame:
@@ -184,13 +186,14 @@ def repeated_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     return whole.unionByName(border_starts(borders, length))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``id_col, n_bytes, n_removed, n_spans, kept, kept_sha256`` for every row of ``docs``.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, beside: DataFrame | None = None) -> DataFrame:
+    """``id_col, n_bytes, n_removed, n_spans, kept, kept_sha256`` for every row of ``docs``, then the columns of ``beside``.
 
     ``kept`` is the rest as bytes (a cut may fall inside a character), ``n_spans`` the number of maximal
     removed runs. Strings are judged on the input. Null texts are empty: 0 bytes. Texts shorter than
     ``length`` stay. Repeated rows and equal texts are occurrences of each other, so texts of at least ``length`` bytes
     that occur twice are removed whole, in every copy. Other columns are ignored; an empty table gives no rows.
+    ``beside``: columns by text digest ``t``, null where it has none.
     """
     if length < 4 or length > 65536:
         raise ValueError("length must be 4 to 65536 bytes")
@@ -199,14 +202,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_buffer() for x in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) for x in texts], pa.binary()), pa.array([len(memoryview(x)) for x in texts], pa.int64())], ["id", "t", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in texts], pa.binary()), pa.array([len(memoryview(x)) for x in texts], pa.int64())], ["id", "t", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             for t, z, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text, kept, at, removed, runs = press.decompress(z), [], 0, 0, 0
-                for a, b in _merged(spans or [], length):
+                for a, b in merged(spans or [], length):
                     kept.append(text[at:a])
                     at, removed, runs = b, removed + b - a, runs + 1
                 rest = b"".join([*kept, text[at:]])
@@ -215,10 +218,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeated_starts(docs, text_col, length).groupBy("t").agg(F.collect_list(F.struct("low", "more")).alias("spans"))
     cuts = distinct_texts(docs, text_col).join(found, "t", "left").mapInArrow(cut, "t binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInArrow(name, f"id {kind}, t binary, n long")
-    return rows.join(cuts, "t").select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept", "kept_sha256")
+    more = [] if beside is None else [x for x in beside.columns if x != "t"]
+    rows = rows if beside is None else rows.join(beside, "t", "left")
+    return rows.join(cuts, "t").select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept", "kept_sha256", *more)
 
 
-def _merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
+def merged(spans: list[dict], length: int) -> list[tuple[int, int]]:
     """Covered byte ranges, joined where they touch."""
     out: list[tuple[int, int]] = []
     for a, b in sorted((s["low"], s["low"] + s["more"] + length) for s in spans):
