@@ -34,6 +34,7 @@ from panelwright.session import durable, unite
 K = 20
 BLOCK = 128
 SHARD_BYTES = 8_000_000
+SHARDS_PER_FILE = 4  # what a task holds of the index at once when it writes or reads one, about 30 MB
 QUERY_TERMS = 200_000  # terms of one block of queries, about
 KEPT_POSTINGS = 2_000_000  # unpacked postings a task remembers within one shard
 BITS = 1_000_000_000
@@ -106,6 +107,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, schema)
 
 
+def store_index(index: DataFrame) -> DataFrame:
+    """The index as a stored frame in small files, so that memory follows a few shards, not a task's share of the input."""
+    return durable(index, SHARDS_PER_FILE)
+
+
 class Shard:
     """One shard, ready to be searched under the statistics of the whole corpus: N documents, L terms."""
 
@@ -230,7 +236,7 @@ def _search(index: DataFrame, queries: list[tuple[int, list[tuple[str, int]]]],
 def search(index: DataFrame, items: DataFrame, k: int = K, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``k`` best documents of each item with a score above 0 (all, if fewer).
 
-    ``index`` should be stored: it is read for the statistics and for each block of queries. Equal rows of ``items``
+    ``index`` should be stored (``store_index``): it is read for the statistics and for each block of queries. Equal rows of ``items``
     are one query; rows that share an id but not a text are ranked apart. Items without terms, null texts too, find
     nothing; neither does an empty index. Equal scores go by ascending document id, nulls last. A term's weight is
     ``floor(1000 ln((2 N + 2) / (2 df + 1)))``, a score the sum of ``weight * (1e9 tf div (1000 tf + 12 m))`` with

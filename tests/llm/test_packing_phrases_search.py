@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import collocations, packing, search
+from panelwright.llm import collocations, packing, registry, search
 from panelwright.llm import text_arrays as T
 
 ODD = ["'", "s", "ll", "re", " ", "  ", "\n", "\t", "a", "B", "12", "²", "é", "ß", "日本", "!?", " ", "　", "\x1c", "\x85", "\U0001f600", "'ve", "<|endoftext|>", "́"]
@@ -212,6 +212,22 @@ def test_search_equals_brute_force(spark, monkeypatch, shard_bytes):
     assert sorted(got, key=str) == plain_search(rows, items, 20)
 
 
+def test_stored_index_is_in_files_of_a_few_shards(spark, monkeypatch, tmp_path):
+    """A task's whole share of the index in one file is one Parquet page and row group: 10 GB of an executor at splits of 128 MB."""
+    rows = [(i, f"w{i} w{i % 7} common " * 20) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w5 w8 common"), (2, "w399")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole, seen = search.build_index, []
+    monkeypatch.setattr(search, "build_index", lambda docs: whole(docs, shard_bytes=2000))
+    within = search.search
+    monkeypatch.setattr(search, "search", lambda index, items: seen.append(index) or within(index, items))
+    got = sorted((tuple(r) for r in registry.op13_search(spark, str(tmp_path)).collect()), key=str)
+    assert got == plain_search(rows, [(1, "w5 w8 common"), (2, "w399")], 20)
+    files = seen[0].groupBy(F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("docs")).collect()
+    assert sum(r["docs"] for r in files) == 400 and sum(r["n"] for r in files) > 50
+    assert max(r["n"] for r in files) <= 4
+
+
 def test_search_without_documents_or_items(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
