@@ -8,44 +8,54 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright import contracts
 from panelwright.defaults import SIGMA_FLOOR
-from panelwright.operators.layout import index_rows
-from panelwright.session import durable, unite
+from panelwright.session import durable
 
 # Share of the training rows that each ensemble member draws, by a hash of the row.
 MEMBER_PERCENT = 80
+ROWS_PER_PART = 65_536
+ROWS_PER_TASK = 524_288
+WINDOWS_PER_BLOCK = 256
 
 
-def fit_moments(rows: DataFrame, width: int, fits: dict[int, Column], features: str = "context", target: str = "realized_h") -> DataFrame:
+def fit_moments(
+    rows: DataFrame, width: int, fits: dict[int, Column], features: str = "context", target: str = "realized_h",
+    targets: dict[int, str] | None = None, stored: DataFrame | None = None,
+) -> DataFrame:
     """``(fit, i, j, v, cx, cy)``: sums of products of ``[features - cx, target - cy, 1]`` over the rows of each fit.
 
     ``cx`` and ``cy`` are values met in the rows, so inputs far from zero lose no digits in the squares.
 
     ``fits`` maps a fit id to the condition its rows meet; a row is read once however many fits share
     it. Vectors cross into Python as plain columns, so a batch is a matrix without copying lists.
+    ``targets`` names the target of fits that have another one. ``stored`` holds the same features and targets where
+    ``rows`` should be read once only.
     """
-    near = rows.select(F.struct(F.min(F.col(features)[0]).cast("double").alias("x"), F.min(target).cast("double").alias("y"))).scalar()
+    near = (rows if stored is None else stored).select(F.struct(F.min(F.col(features)[0]).cast("double").alias("x"), F.min(target).cast("double").alias("y"))).scalar()
     rows = rows.withColumn("_near", near)
     columns = [(F.col(features)[i] - F.col("_near.x")).alias(f"_x{i}") for i in range(width)]
     flags = [F.coalesce(condition, F.lit(False)).alias(f"_f{fit}") for fit, condition in fits.items()]
     size, ids = width + 2, list(fits)
+    goals = {fit: (targets or {}).get(fit, target) for fit in ids}
+    names = list(dict.fromkeys([target, *goals.values()]))
+    own = {fit: [*range(width), width + names.index(goals[fit]), width + len(names)] for fit in ids}
 
     def multiply(batches):
         totals = {fit: np.zeros((size, size)) for fit in ids}
         for batch in batches:
-            m = np.column_stack([batch.iloc[:, : width + 1].to_numpy(float), np.ones(len(batch))])
+            m = np.column_stack([batch.iloc[:, : width + len(names)].to_numpy(float), np.ones(len(batch))])
             for fit in ids:
-                part = m[batch[f"_f{fit}"].to_numpy(bool)]
+                part = m[batch[f"_f{fit}"].to_numpy(bool)][:, own[fit]]
                 totals[fit] += part.T @ part
         i, j = np.indices((size, size))
         for fit, gram in totals.items():
             yield pd.DataFrame({"fit": fit, "i": i.ravel(), "j": j.ravel(), "v": gram.ravel()})
 
-    shifted = rows.select(*columns, (F.col(target) - F.col("_near.y")).alias(target), *flags)
+    shifted = rows.select(*columns, *[(F.col(name) - F.col("_near.y")).alias(name) for name in names], *flags)
     parts = shifted.mapInPandas(multiply, "fit long, i int, j int, v double")
     sums = parts.groupBy("fit", "i", "j").agg(F.sum("v").alias("v"))
     return sums.withColumn("_near", near).select("fit", "i", "j", "v", F.col("_near.x").alias("cx"), F.col("_near.y").alias("cy"))
@@ -175,24 +185,67 @@ def ensemble_forecast(
     )
 
 
+def _tasks(rows: DataFrame, n: int) -> int:
+    """As many tasks as ``n`` rows ask for, so that what one holds doesn't grow with them."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
+
+
+def _ranked(rows: DataFrame, by: Column, ties: list[str], n: int) -> DataFrame:
+    """``rows`` with ``_rank``, the 0-based place among all ``n`` rows by a 64-bit hash.
+
+    Hashes lie evenly over their range, so equal shares of it are parts of about ``ROWS_PER_PART`` rows: a row's
+    place is that within its part and the sizes of the parts before, a table with one row per part.
+    """
+    parts = -(-n // ROWS_PER_PART)
+    share = F.floor((by.cast("double") / 2.0**63 + 1) / 2 * parts)
+    rows = rows.withColumn("_by", by).withColumn("_part", F.least(share, F.lit(max(parts - 1, 0))))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = durable(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy("_by", *ties)) - 1
+    placed = rows.repartition(_tasks(rows, n), "_part").withColumn("_local", local).join(sizes, "_part")
+    return placed.withColumn("_rank", F.col("_before") + F.col("_local")).drop("_by", "_part", "_local", "_before")
+
+
+def drawn_targets(train: DataFrame, n: int, seed: int = 0, key: str = "asset", target: str = "realized_h") -> DataFrame:
+    """``(key, pos, _drawn)``: targets permuted over the rows; rows ranked by one hash are paired with targets ranked by another.
+
+    ``train``, of ``n`` rows, is read several times. Only names and targets of rows move, no vectors.
+    """
+    rows = _ranked(train.select(key, "pos"), F.xxhash64(key, "pos", F.lit(seed)), [key, "pos"], n)
+    targets = _ranked(train.select(key, "pos", target), F.xxhash64(key, "pos", F.lit(seed + 1_000_003)), [key, "pos"], n)
+    rows, targets = (x.repartition(_tasks(train, n), "_rank") for x in (rows, targets.select("_rank", F.col(target).alias("_drawn"))))
+    return rows.join(targets, "_rank").select(key, "pos", "_drawn")
+
+
 def shuffled_targets(train: DataFrame, seed: int = 0, key: str = "asset", target: str = "realized_h") -> DataFrame:
-    """Training windows with targets permuted: rows ranked by one hash are paired with targets ranked by another."""
-    contexts = train.select("context", F.xxhash64(key, "pos", F.lit(seed)).alias("_h"))
-    targets = train.select(target, F.xxhash64(key, "pos", F.lit(seed + 1_000_003)).alias("_h"))
-    left = index_rows(contexts, [], "_h").select("context", "_pos")
-    right = index_rows(targets, [], "_h").select(target, "_pos")
-    return left.join(right, "_pos").select("context", target)
+    """Training windows ``(context, target, _drawn)``: beside its own target each has one of the permuted targets.
+
+    Windows and drawn targets meet as arrays of up to ``WINDOWS_PER_BLOCK`` consecutive positions of a key.
+    """
+    n = train.count()
+
+    def packed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        rows = rows.withColumn("_blk", F.floor(F.col("pos") / WINDOWS_PER_BLOCK)).repartition(_tasks(train, n), key, "_blk")
+        return rows.groupBy(key, "_blk").agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias(name))
 
+    own = packed(train, "own", "context", target)
+    blocks = own.join(packed(drawn_targets(train, n, seed, key, target), "other", "_drawn"), [key, "_blk"])
+    pairs = blocks.select(F.inline(F.arrays_zip("own", "other")))
+    return pairs.select("own.context", f"own.{target}", "other._drawn")
 
-def shuffled_control(windows: DataFrame, width: int = 16, ridge: float = 0.1, seed: int = 0, target: str = "realized_h") -> DataFrame:
+
+def shuffled_control(
+    windows: DataFrame, width: int = 16, ridge: float = 0.1, seed: int = 0, target: str = "realized_h", key: str = "asset"
+) -> DataFrame:
     """Holdout error of a fit on real pairs against one on permuted pairs: ``(real_mse, shuffled_mse)``.
 
-    Both are fits of one fold; the rows of the scale slot are the real ones.
+    Both are fits of one fold over the same rows, which give the scale as well. The windows are made once and stored.
     """
+    windows = durable(windows.filter("role IN ('train', 'holdout')").select(key, "pos", "role", "context", target))
     train = windows.filter("role = 'train'")
-    real = train.select("context", target).withColumn("_mixed", F.lit(False))
-    mixed = shuffled_targets(train, seed, target=target).withColumn("_mixed", F.lit(True))
-    moments = fit_moments(unite(real, mixed), width, {0: ~F.col("_mixed"), 1: ~F.col("_mixed"), 2: F.col("_mixed")}, target=target)
+    pairs = shuffled_targets(train, seed, key, target)
+    moments = fit_moments(pairs, width, {fit: F.lit(True) for fit in range(3)}, target=target, targets={2: "_drawn"}, stored=train)
     models = solve_fits(moments, ridge, members=2)
     held = windows.filter("role = 'holdout'").withColumn("fold", F.lit(0))
     scored = predict_members(held, models, [target])

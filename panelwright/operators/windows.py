@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright import contracts
 from panelwright.defaults import HORIZON_BARS
-from panelwright.operators.layout import AUTO, arrange, core_rows
+from panelwright.operators.layout import AUTO, arrange, core_rows, is_date
 from panelwright.operators.returns import bar_positions
 
 CONTEXT_BARS = 16
@@ -43,19 +43,26 @@ def context_windows(
 
 
 def purged_holdout(
-    windows: DataFrame, horizon: int = HORIZON_BARS, share: float = HOLDOUT_SHARE, key: str = "asset", on_invalid: str = "raise"
+    windows: DataFrame, horizon: int = HORIZON_BARS, share: float = HOLDOUT_SHARE, key: str = "asset", on_invalid: str = "raise", order: str = "date"
 ):
     """Mark each key's trailing windows ``holdout`` and the earlier ones ``train``; windows whose label
     reaches the holdout are dropped. A key left without training windows stops the job; with
-    ``on_invalid="quarantine"`` such keys are reported and left out."""
+    ``on_invalid="quarantine"`` such keys are reported and left out.
+
+    Where ``order`` is a DATE, a key's rows lie in one task anyway, so its span is read there and nothing before is
+    done twice for it; otherwise spans are a table of their own."""
     contracts.check_mode(on_invalid)
-    spans = windows.groupBy(key).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_k"))
+    first, k = F.min("pos"), F.count(F.lit(1))
+    if order in windows.columns and is_date(windows, order):
+        whole = Window.partitionBy(key)
+        spanned = windows.filter(F.col(key).isNotNull()).withColumns({"_begin": first.over(whole), "_k": k.over(whole)})
+    else:
+        spanned = windows.join(windows.groupBy(key).agg(first.alias("_begin"), k.alias("_k")), key)
     holdout = F.greatest(F.lit(2), F.bround(F.col("_k") * share).cast("long"))
-    spans = spans.select(key, F.col("_first").alias("_begin"), (F.col("_first") + F.col("_k") - holdout).alias("_start"))
+    spanned = spanned.withColumn("_start", F.col("_begin") + F.col("_k") - holdout)
     role = F.when(F.col("pos") >= F.col("_start"), "holdout").when(F.col("pos") + horizon < F.col("_start"), "train")
     # Positions of a key's windows are consecutive, so the first window tells whether any trains.
-    spans = spans.withColumn("_empty", F.col("_begin") + horizon >= F.col("_start"))
-    joined = windows.join(spans, key)
+    joined = spanned.withColumn("_empty", F.col("_begin") + horizon >= F.col("_start")).drop("_k")
     if on_invalid == contracts.RAISE:
         stop = contracts.fail("no training windows before the holdout of ", F.col(key), type_="string")
         role = F.when(F.col("_empty"), stop).otherwise(role)

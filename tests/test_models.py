@@ -9,6 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from panelwright.functions.stationarity import adf_from_moments, default_max_lag, lag_design
+from panelwright.operators import challenger
 from panelwright.operators.challenger import ensemble_forecast, fit_moments, residual_variance, shuffled_control, solve_fits
 from panelwright.operators.embeddings import collapse_metrics, collapse_verdict, regularity_scores
 from panelwright.operators.fracdiff import ffd_weights, min_d_search
@@ -130,6 +131,46 @@ def test_real_targets_beat_shuffled_ones(windows):
     assert row["real_mse"] < 0.8 * row["shuffled_mse"]
 
 
+def test_control_makes_its_windows_once(spark, windows):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    n = windows.count()
+    once = shuffled_control(windows.select("asset", "pos", "role", "context", "realized_h").mapInArrow(counted, "asset string, pos long, role string, context array<double>, realized_h double"))
+    row = once.first()
+    assert made.value == n
+    assert tuple(row) == pytest.approx(tuple(shuffled_control(windows).first()), rel=1e-9)
+
+
+@pytest.mark.parametrize("per_part, per_block", [(65_536, 256), (100, 7)])
+def test_targets_are_paired_by_the_ranks_of_two_hashes(spark, windows, monkeypatch, per_part, per_block):
+    monkeypatch.setattr(challenger, "ROWS_PER_PART", per_part)
+    monkeypatch.setattr(challenger, "WINDOWS_PER_BLOCK", per_block)
+    train = windows.filter("role = 'train' AND (asset <> 'a1' OR pos % 3 > 0)")
+    hashes = [F.xxhash64("asset", "pos", F.lit(s)).alias(f"h{i}") for i, s in enumerate((5, 5 + 1_000_003))]
+    plain = train.select("context", "realized_h", *hashes).toPandas()
+    drawn = plain.sort_values("h1")["realized_h"].to_numpy()
+    want = sorted((*c, y, d) for (c, y), d in zip(plain.sort_values("h0")[["context", "realized_h"]].itertuples(index=False), drawn, strict=True))
+    got = sorted((*r["context"], r["realized_h"], r["_drawn"]) for r in challenger.shuffled_targets(train, seed=5).collect())
+    assert got == want
+
+
+def test_shuffled_targets_of_nothing(spark, windows):
+    assert challenger.shuffled_targets(windows.filter("false")).count() == 0
+
+
+def test_holdout_needs_no_second_pass_over_dates(spark, windows):
+    plain = windows.drop("role").unionByName(windows.drop("role").limit(3).withColumn("asset", F.lit(None).cast("string")))
+    one = purged_holdout(plain)
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (sorted(map(tuple, x.select("asset", "pos", "role").collect())) for x in (one, purged_holdout(plain.drop("date"))))
+    assert got == want and {r[0] for r in got} == {"a0", "a1", "a2", "a3"}
+
+
 def test_ensemble(spark):
     rows = [("a", i, "holdout", 0.1 * i, m, 0.05 * i + 0.01 * m) for i in range(5) for m in range(3)] + [("b", 1, "holdout", 0.2, 0, 0.1)]
     p = spark.createDataFrame(rows, "asset string, pos long, role string, realized_h double, member long, prediction double").withColumn("date", F.col("pos"))
